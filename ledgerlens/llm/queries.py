@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_format
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .packing import op6_best_fit_pack
+from .simhash import op10_simhash_near_dedup
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_best_fit_pack, op9_chat_format, op10_simhash_near_dedup)}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_chat_format": OP9_SQL}
