@@ -50,3 +50,20 @@ def without(df: DataFrame, names) -> list[str]:
     """df's columns but for those an operator writes itself; names compare as Spark compares them."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where it isn't installed on the executors."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_ledgerlens_shipped", False):
+        return
+    where = os.path.join(tempfile.mkdtemp(prefix="ship-"), "ledgerlens-package.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(where)
+    sc._ledgerlens_shipped = True

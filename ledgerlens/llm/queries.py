@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ._shared import ship
 from .chat import OP9_SQL, op9_chat_format
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_pack
+from .quality import op4_quality
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op1_toxicity
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_best_fit_pack, op9_chat_format, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_line_dedup, op4_quality, op6_best_fit_pack, op9_chat_format, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_chat_format": OP9_SQL}
