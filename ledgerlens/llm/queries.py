@@ -9,6 +9,8 @@ from .chat import OP9_SQL, op9_chat_format
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_pack
 from .quality import op4_quality
+from .substring_dedup import op8_substring_dedup
+from .suffix_dedup import op3_suffix_dedup
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op1_toxicity
 
@@ -22,5 +24,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_line_dedup, op4_quality, op6_best_fit_pack, op9_chat_format, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_quality, op6_best_fit_pack, op8_substring_dedup, op9_chat_format, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_chat_format": OP9_SQL}
