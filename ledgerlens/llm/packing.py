@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash, text_of
+from ._shared import slices, stash, text_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one group packs at least; groups, not the corpus, are what one task holds.
@@ -20,57 +21,95 @@ GROUP = 40_000
 LOOSE = 8
 
 
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary as bytes and ranks, byte 1 standing for the end of a word.
+
+    Ids rise with the order of the merges. As every entry of the vocabulary encodes to itself (a test holds this), two
+    neighbours whose join is an entry can only be the pair that its merge names: until something outside joins in, what
+    happens inside an entry's span is what happens to the entry alone. So merging by ranks gives the tokenizer's ids.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+    byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {}
+    for name, rank in vocab.items():
+        if not name.startswith("<|"):
+            last = name.endswith("</w>") and name != "</w>"
+            ranks[bytes(byte[c] for c in (name[:-4] if last else name)) + b"\x01" * last] = rank
+    return ranks
+
+
 class WordTokens:
     """Token ids of texts, through a bounded cache of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row. Words of
-    plain letters, digits and signs split by the tokenizer's own pattern into runs that its model encodes one by one;
-    every other text goes to the tokenizer whole.
+    plain letters, digits and signs split by the tokenizer's own pattern into runs, which are merged one by one; any
+    other word goes to the tokenizer as it is.
     """
 
     LETTERS = "a-zß-öø-ÿ"
-    PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
     RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.runs = Tokenizer.from_file(path)  # for single lower-case runs, set apart by spaces
-        self.runs.normalizer = normalizers.Sequence([])
-        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.last = np.array([t.endswith("</w>") for t in map(self.runs.id_to_token, range(self.runs.get_vocab_size()))])
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        ranks = merge_ranks(path)
+        self.runs = tiktoken.Encoding("runs", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, bool)
+        self.last[[r for b, r in ranks.items() if b.endswith(b"\x01")]] = True
+        self.words, self.known, self.limit = {}, {}, limit
 
     def _learn(self, words: list[str]) -> None:
-        split = [self.RUNS.findall(w.lower()) for w in words]
+        plain = [w for w in words if self.PLAIN.fullmatch(w) is not None and "<|" not in w]
+        if len(plain) < len(words):
+            for w in set(words).difference(plain):
+                self.words[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        split = [self.RUNS.findall(w.lower()) for w in plain]
         if new := list({r for w in split for r in w} - self.known.keys()):
-            ids = np.array(self.runs.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.runs.encode_ordinary("\x01 ".join(new) + "\x01"), "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1  # every run's last token, and no other, ends a word
             if len(ends) != len(new):
-                raise RuntimeError("the tokenizer's runs don't end words one by one")
+                raise RuntimeError("runs don't end words one by one")
             raw, ends = ids.tobytes(), (ends * 4).tolist()
             self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
         get = self.known.__getitem__
-        self.words.update((w, b"".join(map(get, s))) for w, s in zip(words, split))
+        self.words.update((w, b"".join(map(get, s))) for w, s in zip(plain, split))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, one bytes object per text.
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, one bytes object per text."""
+        Arrow splits the texts and numbers their distinct words; Python sees each distinct word once, numpy does the rest.
+        """
         if len(self.words) > self.limit:
             self.words.clear()
         if len(self.known) > self.limit:
             self.known.clear()
-        plain = [self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        split = [t.split() if ok else None for t, ok in zip(texts, plain)]
-        if new := list({w for s in split if s for w in s} - self.words.keys()):
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if new := [w for w in words if w not in self.words]:
             self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts)]
+        raw = list(map(self.words.__getitem__, words))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        count = size[which]
+        ends = np.cumsum(count)
+        out = ids[np.repeat(start[which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = (np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4).tolist()
+        found = [out[p:q] for p, q in zip(at, at[1:])]
+        # what Arrow takes for white space and the tokenizer doesn't
+        for i in np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False)):
+            found[i] = np.array(self.whole.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -87,9 +126,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens.encode(part.column(2).to_pylist())):
+            for part in slices(batch, 2):
+                for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens.encode(part.column(2))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
