@@ -1,0 +1,97 @@
+"""From texts to pages, blocks and chunks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def is_heading(line: Column, short: int = 36) -> Column:
+    """A markdown heading, or a short line that ends no sentence and ends in one of the section words (fixed values)."""
+    words = r"(summary|overview|statements?|risks?|outlook|analysis|highlights|notes)\s*$"
+    return line.rlike(r"^\s{0,3}#{1,6}\s") | ((F.length(F.trim(line)) <= short) & ~line.rlike(r"[.!?;:。！？；：]") & F.lower(line).rlike(words))
+
+
+def blocks(docs: DataFrame, heading: Callable[[Column], Column] = is_heading, key: str = "doc_id") -> DataFrame:
+    """Sections of each text: a heading begins a block; blank blocks are dropped, lines keep their order.
+
+    Window and group share one partitioning by document, so a text's lines are shuffled once.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    lines = lines.withColumn("block", F.sum(heading(F.col("line")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    out = lines.groupBy(key, "block").agg(text.alias("text"), F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
+    return out.where(F.trim("text") != "")
+
+
+def windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
+    """Child chunks of `size` words, each `overlap` words back; parents hold four children. No shuffle."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    step = size - overlap
+    rows = docs.select(key, words.alias("words")).where(F.size("words") > 0)
+    rows = rows.select(key, "words", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - overlap - 1, F.lit(0)) / step).cast("int"))).alias("chunk"))
+    return rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.floor(F.col("chunk") / 4).cast("long").alias("parent"), F.array_join(F.slice("words", F.col("chunk") * step + 1, size), " ").alias("text"))
+
+
+def split_recursive(docs: DataFrame, size: int, overlap: int, length: Callable[[str], int] = lambda t: len(t.split()), separators: tuple[str, ...] = ("\n\n", "\n", ". ", " "), key: str = "doc_id") -> DataFrame:
+    """Child chunks by ordered separators: a part that is too long is split by the next separator, short ones are merged.
+
+    length is injected (words by default), so that any tokenizer can be the measure.
+    """
+
+    def parts(text: str, seps: tuple[str, ...]) -> list[str]:
+        if length(text) <= size or not seps:
+            return [text]
+        out: list[str] = []
+        for p in text.split(seps[0]):
+            out += parts(p, seps[1:]) if length(p) > size else [p]
+        return [p for p in out if p.strip()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, text in zip(b[key], b["text"].fillna("")):
+                held: list[str] = []
+                n = 0
+                for p in parts(text, separators):
+                    if held and sum(map(length, held)) + length(p) > size:
+                        rows.append((k, n, " ".join(held)))
+                        n += 1
+                        while held and sum(map(length, held)) > overlap:
+                            held.pop(0)
+                    held.append(p)
+                if held:
+                    rows.append((k, n, " ".join(held)))
+            yield pd.DataFrame(rows, columns=[key, "chunk", "text"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk long, text string")
+
+
+def fill_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages 1 to the last of every document; missing ones with empty text."""
+    last = pages.groupBy(key).agg(F.max("page").alias("last"))
+    every = last.select(key, F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page"))
+    return every.join(pages, [key, "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def year_mode(pages: DataFrame, key: str, first_pages: int = 5) -> DataFrame:
+    """The year most often named on the first pages, ties by what stands first."""
+    found = pages.where(F.col("page") <= first_pages).select(key, "page", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))).alias("pos", "year"))
+    count = found.groupBy(key, "year").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "pos")).alias("at"))
+    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "at")
+    return count.withColumn("k", F.row_number().over(w)).where("k = 1").select(key, F.col("year").cast("int").alias("year"), "n")
+
+
+def context(rows: DataFrame, by: list[str], per_doc: int = 2500, total: int = 8000, mark: str = "...[cut]") -> DataFrame:
+    """Texts in rank order, cut by a budget per document and one in all; what is cut ends in a mark."""
+    cut = rows.withColumn("part", F.when(F.length("text") > per_doc, F.concat(F.substring("text", 1, per_doc), F.lit(mark))).otherwise(F.col("text")))
+    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.coalesce(F.sum(F.length("part")).over(w), F.lit(0))).where(F.col("before") < total)
+    room = F.lit(total) - F.col("before")
+    cut = cut.withColumn("part", F.when(F.length("part") > room, F.concat(F.substring(F.col("part"), F.lit(1), room.cast("int")), F.lit(mark))).otherwise(F.col("part")))
+    return cut.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("context"))

@@ -1,0 +1,78 @@
+"""Evaluation: set, rank, token and number measures, and their summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def ranked_measures(found: DataFrame, gold: DataFrame, by: str, item: str, k: int) -> DataFrame:
+    """Recall, precision and hit at k per question; precision divides by k, however short the list; round 4.
+
+    found: (by, item, rank), repeats count once where they first stand; questions without gold are left out.
+    """
+    first = found.groupBy(by, item).agg(F.min("rank").alias("rank"))
+    top = first.where(F.col("rank") <= k)
+    hit = top.join(gold.select(by, item).distinct(), [by, item], "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("hits"))
+    size = gold.select(by, item).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("gold"))
+    out = size.join(hit, by, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return out.select(by, F.round(F.col("hits") / F.col("gold"), 4).alias("recall"), F.round(F.col("hits") / k, 4).alias("precision"), F.when(F.col("hits") > 0, 1.0).otherwise(0.0).alias("hit"))
+
+
+def token_f1(pairs: DataFrame, key: list[str], a: Column, b: Column) -> DataFrame:
+    """F1 over tokens as multisets."""
+    left = pairs.select(*key, F.explode(a).alias("t")).groupBy(*key, "t").agg(F.count(F.lit(1)).alias("na"))
+    right = pairs.select(*key, F.explode(b).alias("t")).groupBy(*key, "t").agg(F.count(F.lit(1)).alias("nb"))
+    same = left.join(right, [*key, "t"]).groupBy(*key).agg(F.sum(F.least("na", "nb")).alias("same"))
+    sizes = pairs.select(*key, F.size(a).alias("n"), F.size(b).alias("m"))
+    total = F.col("n") + F.col("m")
+    return sizes.join(same, key, "left").select(*key, F.round(F.when(total > 0, 2 * F.coalesce("same", F.lit(0)) / total).otherwise(0.0), 4).alias("f1"))
+
+
+def weighted_score(parts: dict[str, tuple[Column, float]]) -> Column:
+    """Weighted mean over the components that are known; null if none is."""
+    top = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts.values()), F.lit(0.0))
+    low = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts.values()), F.lit(0.0))
+    return F.when(low > 0, F.round(top / low, 4))
+
+
+def summary_by_kind(rows: DataFrame, kind: str, measures: dict[str, Column]) -> DataFrame:
+    """Counts and means overall and by kind, in one pass."""
+    return rows.rollup(kind).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(n) for n, c in measures.items()]).withColumn(kind, F.coalesce(kind, F.lit("all")))
+
+
+def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, extremes, mean, sample deviation (0 for one value), linear p50 and p95; exact percentiles per group."""
+    return rows.groupBy(*by).agg(
+        F.count(value).alias("n"), F.round(F.min(value), 4).alias("least"), F.round(F.max(value), 4).alias("most"), F.round(F.avg(value), 4).alias("mean"),
+        F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("stdev"), F.round(F.expr(f"percentile({value}, 0.5)"), 4).alias("p50"), F.round(F.expr(f"percentile({value}, 0.95)"), 4).alias("p95"),
+    )
+
+
+def strata(rows: DataFrame, **dims: Column) -> DataFrame:
+    """Histogram over all rows and every value of every dimension, as "all" and "dimension/value"."""
+    names = F.array(F.lit("all"), *[F.concat(F.lit(f"{n}/"), c.cast("string")) for n, c in dims.items()])
+    return rows.select(F.explode(F.array_compact(names)).alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_stages(rows: DataFrame, stage: Column, example: str, most: int = 3) -> DataFrame:
+    """Count of each stage and its first examples."""
+    w = rows.withColumn("stage", stage)
+    from .retrieval import ranked
+
+    few = ranked(w, ["stage"], F.col(example), top=most).groupBy("stage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(example)), lambda x: x.cast("string")), ",").alias("examples"))
+    return w.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).join(few, "stage")
+
+
+def coverage(text: Column, keywords: Column) -> Column:
+    """Share of the keywords that the text holds; null without keywords."""
+    low = F.lower(text)
+    held = F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k))))
+    return F.when(F.size(keywords) > 0, F.round(held / F.size(keywords), 4))
+
+
+def alignment(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Which side every key is on: both, question_only, answer_only."""
+    q, a = questions.select(key).distinct().withColumn("q", F.lit(1)), answers.select(key).distinct().withColumn("a", F.lit(1))
+    side = F.when(F.col("q").isNull(), "answer_only").when(F.col("a").isNull(), "question_only").otherwise("both")
+    return q.join(a, key, "full_outer").select(key, side.alias("side"))
