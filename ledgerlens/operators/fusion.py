@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .retrieval import ranked
 
 
+#: Added before rounding, so that what is half a unit but for the last bit goes up.
+HALF = 1e-9
+
+
 def minmax(score: Column, by: list[str], digits: int | None = 4) -> Column:
     """Scaled to 0..1 within `by`; where all are equal, 1 if positive, else 0."""
     w = Window.partitionBy(*by)
@@ -28,7 +32,7 @@ def average_fusion(lists: DataFrame, by: list[str], key: str) -> DataFrame:
     active = lists.groupBy(*by).agg(F.countDistinct("source").alias("active"))
     best = scaled.groupBy(*by, key, "source").agg(F.max("s").alias("s"))
     out = best.groupBy(*by, key).agg(F.sum("s").alias("total")).join(active, by)
-    out = out.select(*by, key, F.round(F.col("total") / F.col("active"), 4).alias("score"))
+    out = out.select(*by, key, F.round(F.col("total") / F.col("active") + HALF, 4).alias("score"))
     return ranked(out, by, F.col("score").desc(), F.col(key))
 
 
@@ -76,7 +80,7 @@ def reports_of(rows: DataFrame, by: list[str], report: str, bonus: float = 0.02)
 
 def blend(relevance: Column, distance: Column, weight: float = 0.7) -> Column:
     """Rerank score: relevance and distance, 0.7 to 0.3."""
-    return F.round(weight * relevance + (1 - weight) * distance, 4)
+    return F.round(weight * relevance + (1 - weight) * distance + HALF, 4)
 
 
 def remote_scores(score: Column, by: list[str]) -> Column:

@@ -68,20 +68,15 @@ def edge_score(geometry: Column, section: Column, columns: Column, unit: Column,
 def greedy_pairs(edges: DataFrame, doc: str, least: float = 0.62) -> DataFrame:
     """One-to-one choice by falling score, each table once on the left and once on the right; ties by ids.
 
-    Greedy choice has no relational form; it runs per document, whose tables are few.
+    A fold over each document's edges in order; a document's tables are few, so its edges fit in one array.
     """
     kind = dict(edges.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for i, r in pdf.sort_values(["score", "left", "right"], ascending=[False, True, True]).iterrows():
-            if r["left"] not in left and r["right"] not in right:
-                left.add(r["left"])
-                right.add(r["right"])
-                keep.append(i)
-        return pdf.loc[keep, [doc, "left", "right", "score"]]
-
-    return edges.where(F.col("score") >= least).select(doc, "left", "right", "score").groupBy(doc).applyInPandas(pick, f"{doc} {kind[doc]}, left {kind['left']}, right {kind['right']}, score double")
+    edge = F.struct((-F.col("score")).alias("o"), "left", "right", "score")
+    rows = edges.where(F.col("score") >= least).groupBy(doc).agg(F.array_sort(F.collect_list(edge)).alias("e"))
+    kept = f"array<struct<o:double,left:{kind['left']},right:{kind['right']},score:{kind['score']}>>"
+    free = lambda acc, x: ~F.exists(acc, lambda y: (y["left"] == x["left"]) | (y["right"] == x["right"]))
+    pick = F.aggregate("e", F.array().cast(kept), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x).cast(kept))).otherwise(acc))
+    return rows.select(doc, F.explode(pick).alias("p")).select(doc, "p.left", "p.right", "p.score")
 
 
 def page_chains(pages: DataFrame, doc: str) -> DataFrame:

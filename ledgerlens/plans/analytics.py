@@ -29,14 +29,19 @@ def register(sql=None):
     return add
 
 
-CELLS = """cells AS (SELECT l_orderkey AS doc, l_linenumber AS ordinal, CAST((l_linenumber + 1) // 2 AS INT) AS page, l_quantity AS value,
+CELLS = """cells AS (SELECT l_orderkey AS doc, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS ordinal, CAST((l_linenumber + 1) // 2 AS INT) AS page, l_quantity AS value,
   round(CASE WHEN l_returnflag = 'R' THEN 4.0 WHEN l_returnflag = 'A' THEN 2.5 ELSE 1.0 END + CASE WHEN l_discount > 0.05 THEN 1.5 ELSE 0.0 END, 4) AS score FROM lineitem),
 best AS (SELECT doc, ordinal, page, value, score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, ordinal) AS k FROM cells WHERE score >= 2.2) WHERE k = 1)"""
 
 
+def _place():
+    """A total order within an order, whose line numbers repeat."""
+    return F.round(F.col("l_linenumber") * 1e9 + F.col("l_extendedprice") * 100).cast("long")
+
+
 def _cells(spark, d):
     score = F.when(F.col("l_returnflag") == "R", 4.0).when(F.col("l_returnflag") == "A", 2.5).otherwise(1.0) + F.when(F.col("l_discount") > 0.05, 1.5).otherwise(0.0)
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ordinal"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("page"), F.col("l_quantity").alias("value"), F.round(score, 4).alias("score"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), _place().alias("ordinal"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("page"), F.col("l_quantity").alias("value"), F.round(score, 4).alias("score"))
 
 
 @register(f"WITH {CELLS} SELECT doc, ordinal, page, value, score FROM best")
@@ -82,10 +87,10 @@ def table_greedy_matching(spark, d):
     return T.greedy_pairs(e, "doc")
 
 
-@register("""SELECT l_orderkey AS doc, l_linenumber AS part, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_offset,
- last_value(CASE WHEN l_discount > 0.05 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS head FROM lineitem""")
+@register("""WITH li AS (SELECT *, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS part FROM lineitem) SELECT l_orderkey AS doc, part, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_offset,
+ last_value(CASE WHEN l_discount > 0.05 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY part ROWS UNBOUNDED PRECEDING) AS head FROM li""")
 def header_inheritance(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("part"), "l_quantity", F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("h"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), _place().alias("part"), "l_quantity", F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("h"))
     return T.row_offsets(li, ["doc"], "part", "l_quantity").select("doc", "part", F.col("row_offset").cast("long").alias("row_offset"), T.inherited(F.col("h"), ["doc"], "part").alias("head"))
 
 
@@ -149,9 +154,9 @@ def answer_confidence(spark, d):
     return table(spark, d, "orders").select("o_orderkey", A.downgrade(level, F.size(flags)).alias("confidence"))
 
 
-@register("SELECT l_orderkey, l_suppkey, max_by(l_quantity, l_linenumber) AS l_quantity, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2")
+@register("SELECT l_orderkey, l_suppkey, max_by(l_quantity, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS l_quantity, min(CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS place FROM lineitem GROUP BY 1, 2")
 def citation_dedupe(spark, d):
-    return A.dedupe_last(table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], "l_linenumber", "l_quantity")
+    return A.dedupe_last(table(spark, d, "lineitem").withColumn("place", _place()), ["l_orderkey", "l_suppkey"], "place", "l_quantity")
 
 
 @register("""WITH s AS (SELECT s_suppkey AS a, s_nationkey, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier)
@@ -163,12 +168,12 @@ def structured_comparison(spark, d):
     return p.select("a", "b", A.compare_values(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("higher"), A.exceeds(F.col("va"), F.lit(5000)).alias("over"))
 
 
-@register("""WITH f AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY l_linenumber) AS r FROM lineitem GROUP BY 1),
-c AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY l_linenumber) AS c FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
+@register("""WITH f AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS r FROM lineitem GROUP BY 1),
+c AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
 SELECT f.q, CAST(len(CASE WHEN c IS NULL THEN [] ELSE list_distinct(c) END) AS BIGINT) AS claimed, CAST(greatest(1, len(list_distinct(coalesce(c, [])))) AS BIGINT) AS kept FROM f LEFT JOIN c USING (q)""")
 def page_repair(spark, d):
     li = table(spark, d, "lineitem")
-    order = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("l_linenumber", "l_partkey")))), lambda x: x["l_partkey"])
+    order = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(_place().alias("p"), "l_partkey")))), lambda x: x["l_partkey"])
     g = li.groupBy(F.col("l_orderkey").alias("q")).agg(order(F.lit(True)).alias("r"), order(F.col("l_discount") > 0.05).alias("c"))
     return g.select("q", F.size(F.array_distinct("c")).cast("long").alias("claimed"), F.size(A.repair_pages(F.col("c"), F.col("r"))).cast("long").alias("kept"))
 
@@ -311,8 +316,8 @@ def round_robin(spark, d):
     return K.round_robin(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id").select("lang", "doc_id", F.col("turn").cast("long").alias("turn"))
 
 
-@register("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS at, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-t AS (SELECT *, ((at - o_custkey % n) % n + n) % n AS turn FROM n) SELECT o_custkey, o_orderkey, CAST(turn AS BIGINT) AS turn FROM t WHERE turn < 3""")
+@register("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+t AS (SELECT *, ((i - o_custkey % n) % n + n) % n AS turn FROM n) SELECT o_custkey, o_orderkey, CAST(turn AS BIGINT) AS turn FROM t WHERE turn < 3""")
 def rotated_take(spark, d):
     out = K.rotated_take(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", F.col("o_custkey"), 3)
     return out.select("o_custkey", "o_orderkey", F.col("turn").cast("long").alias("turn"))
@@ -342,10 +347,10 @@ def quality_gate(spark, d):
     return K.quality_gate(_labelled(spark, d), "q", 1, 2)
 
 
-@register("SELECT l_orderkey AS q, l_linenumber AS cand, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS teacher_rank FROM lineitem")
+@register("SELECT l_orderkey AS q, l_linenumber AS cand, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS teacher_rank FROM lineitem")
 def teacher_rank(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("cand"), "l_extendedprice")
-    return R.ranked(li, ["q"], F.col("l_extendedprice").desc(), F.col("cand"), name="teacher_rank").select("q", "cand", F.col("teacher_rank").cast("long").alias("teacher_rank"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("cand"), "l_extendedprice", "l_partkey")
+    return R.ranked(li, ["q"], F.col("l_extendedprice").desc(), F.col("cand"), F.col("l_partkey"), name="teacher_rank").select("q", "cand", F.col("teacher_rank").cast("long").alias("teacher_rank"))
 
 
 @register("""SELECT conv_id, count(*) AS n_messages, length(string_agg('{"role":"' || role || '","content":"' || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"}', ',' ORDER BY turn)) + 2 AS chars FROM conversations GROUP BY 1""".replace("\\\\", "\\"))

@@ -113,7 +113,7 @@ def minmax_scores(spark, d):
 
 
 @register(f"""WITH {LISTS}, ac AS (SELECT qid, count(DISTINCT source) AS n FROM sc GROUP BY qid),
-av AS (SELECT qid, key, round(sum(s) / n, 4) AS score FROM sc JOIN ac USING (qid) GROUP BY qid, key, n)
+av AS (SELECT qid, key, round(sum(s) / n + 1e-9, 4) AS score FROM sc JOIN ac USING (qid) GROUP BY qid, key, n)
 SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM av""")
 def avg_fusion(spark, d):
     out = U.average_fusion(_lists(spark, d), ["qid"], "key")
@@ -224,7 +224,7 @@ b AS (SELECT * FROM a WHERE pool_rank <= 24),
 c AS (SELECT *, max(m) OVER w AS hi, min(m) OVER w AS lo FROM b WINDOW w AS (PARTITION BY qid)),
 e AS (SELECT *, round(CASE WHEN hi > lo THEN (m - lo) / (hi - lo) WHEN m > 0 THEN 1.0 ELSE 0.0 END, 4) AS late FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY late DESC, pool_rank) AS late_rank FROM e),
-g AS (SELECT qid, key, late_rank, round(0.7 * distance + (1 - 0.7) * late, 4) AS score FROM f WHERE late_rank <= 8)
+g AS (SELECT qid, key, late_rank, round(0.7 * distance + (1 - 0.7) * late + 1e-9, 4) AS score FROM f WHERE late_rank <= 8)
 SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, late_rank) AS rank FROM g""")
 def rerank_cascade(spark, d):
     p = table(spark, d, "part").select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("key"), (F.col("p_retailprice") / 3000).alias("distance"), (F.col("p_size") / 50.0).alias("m"))
@@ -303,8 +303,8 @@ def parent_child_window(spark, d):
 
 
 @register("""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, CAST(year(o_orderdate) AS INT) AS y FROM orders),
-c AS (SELECT doc_id, y, count(*) AS n, min(page) AS at FROM p WHERE page <= 5 GROUP BY 1, 2)
-SELECT doc_id, year, n FROM (SELECT doc_id, y AS year, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) AS k FROM c) WHERE k = 1""")
+c AS (SELECT doc_id, y, count(*) AS n, min(page) AS first FROM p WHERE page <= 5 GROUP BY 1, 2)
+SELECT doc_id, year, n FROM (SELECT doc_id, y AS year, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
 def infer_year_mode(spark, d):
     o = table(spark, d, "orders")
     pages = o.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.concat(F.lit("in "), F.year("o_orderdate").cast("string"), F.lit(".")).alias("text"))
