@@ -17,17 +17,18 @@ def brute(text, window, usable):
     return out
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
 @pytest.mark.parametrize("base", [2, 50, 10_000])
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
-def test_repeated_windows(base, letters, monkeypatch):
+def test_repeated_windows(base, letters, kind, monkeypatch):
     monkeypatch.setattr(S.CharQueue.__init__, "__defaults__", (64,))
     rng = np.random.default_rng(letters)
     for n, window in ((60, 5), (800, 12), (3000, 30)):
-        parts = [rng.integers(1, letters + 1, rng.integers(1, n)).astype(np.uint16) for _ in range(4)]
-        parts += [parts[0], parts[1][: len(parts[1]) // 2], np.tile(parts[2][:7], 9), np.full(3 * window, 1, np.uint16)]
+        parts = [rng.integers(1, letters + 1, rng.integers(1, n)).astype(kind) for _ in range(4)]
+        parts += [parts[0], parts[1][: len(parts[1]) // 2], np.tile(parts[2][:7], 9), np.full(3 * window, 1, kind)]
         text, usable = [], []
         for p in parts:
-            text += [p, np.zeros(1, np.uint16)]
+            text += [p, np.zeros(1, kind)]
             ok = np.zeros(len(p) + 1, bool)
             ok[: max(0, len(p) - window + 1)] = True
             usable.append(ok)
