@@ -115,3 +115,43 @@ def op7_decontamination(spark, sf_dir):
     pairs = contaminated_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.col("windows").desc(), "changed", "place")))
     return best.where("n = 1").select("doc_id", "item_id", F.col("place").cast("long").alias("place"), F.col("windows").cast("long").alias("windows"), F.col("of_windows").cast("long").alias("of_windows"), F.col("changed").cast("long").alias("changed"))
+
+
+#: The same rows for tables whose items have at least WINDOW tokens and whose doc_ids don't repeat.
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '\d+(?:[.,]\d+)*|[\p{{L}}\p{{M}}]+|[%.!?\n]') AS tk FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(coalesce(text, ''), '\d+(?:[.,]\d+)*|[\p{{L}}\p{{M}}]+|[%.!?\n]') FROM benchmark
+), e AS (
+  SELECT side, id, generate_subscripts(tk, 1) AS i, unnest(tk) AS t FROM t
+), p AS (
+  SELECT *, lag(t) OVER (PARTITION BY side, id ORDER BY i) AS before FROM e
+), k AS (
+  SELECT side, id, i, lower(t) AS v, CASE WHEN regexp_matches(t, '^\d') THEN chr(1) || 'n'
+    WHEN lower(t) IN ({", ".join(f"'{u}'" for u in UNITS)}) AND coalesce(regexp_matches(before, '^\d'), false) THEN chr(1) || 'u'
+    WHEN regexp_matches(t, '^\p{{Lu}}\p{{Ll}}') AND coalesce(regexp_matches(before, '^[\p{{L}}\p{{M}}\d]'), false) THEN chr(1) || 'p'
+    ELSE lower(t) END AS kind FROM p
+), f AS (
+  SELECT side, id, kind, v, row_number() OVER (PARTITION BY side, id ORDER BY i) - 1 AS pos FROM k WHERE kind NOT IN ('.', '!', '?', chr(10))
+), w AS (
+  SELECT side, id, pos, string_agg(kind, ' ') OVER (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS win,
+    count(*) OVER (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS n FROM f
+), h AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS place, count(DISTINCT b.pos) AS windows
+  FROM w d JOIN w b ON d.win = b.win AND d.side = 'd' AND b.side = 'b' AND d.n = {WINDOW} AND b.n = {WINDOW} GROUP BY 1, 2, 3
+), o AS (
+  SELECT id AS item_id, count(*) - {WINDOW - 1} AS of_windows FROM f WHERE side = 'b' GROUP BY 1
+), c AS (
+  SELECT doc_id, item_id, place, windows, of_windows FROM h JOIN o USING (item_id) WHERE windows >= of_windows * {COVER}
+), s AS (
+  SELECT DISTINCT doc_id, item_id, place, b.kind, b.v AS a, d.v AS b
+  FROM c JOIN f b ON b.side = 'b' AND b.id = item_id JOIN f d ON d.side = 'd' AND d.id = doc_id AND d.pos = place + b.pos AND d.kind = b.kind
+  WHERE b.kind[1] = chr(1)
+), g AS (
+  SELECT doc_id, item_id, place, count(*) AS n, count(DISTINCT (kind, a)) AS na, count(DISTINCT (kind, b)) AS nb, sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS changed FROM s GROUP BY 1, 2, 3
+), r AS (
+  SELECT c.*, coalesce(changed, 0) AS changed, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY windows DESC, coalesce(changed, 0), place) AS k
+  FROM c LEFT JOIN g USING (doc_id, item_id, place) WHERE coalesce(n = na AND n = nb, true)
+)
+SELECT doc_id, item_id, CAST(place AS BIGINT) AS place, windows, of_windows, CAST(changed AS BIGINT) AS changed FROM r WHERE k = 1
+"""

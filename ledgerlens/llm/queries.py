@@ -6,7 +6,7 @@ from functools import wraps
 
 from ._shared import ship
 from .chat import OP9_SQL, op9_chat_format
-from .decontamination import op7_decontamination
+from .decontamination import OP7_SQL, op7_decontamination
 from .edit_embedding import op5_edit_fingerprints
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_pack
@@ -27,4 +27,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_edit_fingerprints, op6_best_fit_pack, op7_decontamination, op8_substring_dedup, op9_chat_format, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_chat_format": OP9_SQL}
