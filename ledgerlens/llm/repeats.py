@@ -39,23 +39,27 @@ class Units:
     window: int
     k: int
 
-    def read(self, texts: pa.Array):
+    def read(self, texts: pa.Array, hashed: bool = True):
         """(unit hashes, where each text's begin and the end, packed bytes per text, byte offset of each unit in its text)."""
         if not self.words:
             raw = texts.cast(pa.binary()).to_pylist()
             bounds = np.cumsum([0, *map(len, raw)])
+            if not hashed:
+                return None, bounds, raw, None
             table = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
             return table[np.frombuffer(b"".join(raw), np.uint8)], bounds, raw, None
         split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         raw = pc.binary_join(split, " ").cast(pa.binary()).to_pylist()
-        coded = split.flatten().dictionary_encode()
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        hashes = None
+        if hashed:
+            coded = split.flatten().dictionary_encode()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         size = pc.binary_length(split.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         at = np.cumsum(size) - size
         at -= np.repeat(at[np.minimum(bounds[:-1], max(0, len(at) - 1))], np.diff(bounds)) if len(at) else 0
-        return hashes[coded.indices.to_numpy()], bounds, raw, np.append(at, 0)
+        return hashes, bounds, raw, np.append(at, 0)
 
 
 def _cut(raw: list[bytes], seq, start, units, at, bounds) -> list[bytes]:
@@ -108,7 +112,7 @@ def strings(docs: DataFrame, wanted: DataFrame, unit: Units, digest: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 4 << 20):
-                _, bounds, raw, at = unit.read(part.column(0))
+                _, bounds, raw, at = unit.read(part.column(0), hashed=False)
                 lists = part.column(1)
                 want = lists.flatten()
                 seq = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -124,12 +128,12 @@ def strings(docs: DataFrame, wanted: DataFrame, unit: Units, digest: bool) -> Da
     return both.mapInArrow(run, "mini long, h long, first long, n long, windows int, hot boolean, packed binary")
 
 
-def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callable[[DataFrame], DataFrame], hot: int) -> tuple[DataFrame, list[str]]:
+def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callable[[DataFrame], tuple[DataFrame, list[str]]], hot: int) -> tuple[DataFrame, list[str]]:
     """(doc, row, spans): the units to remove of each document, overlapping spans allowed. Also the tables to drop later.
 
     ordered: only what also starts in a smaller doc is removed; else all that starts elsewhere, however often.
     compare: takes the travelling strings (mini, h, first, n, windows, hot, packed) and returns (mini, h, runs), the spans,
-    in units of the string, of windows that other strings (or the string itself) hold. hot: distinct strings of a minimiser
+    in units of the string, of windows that other strings (or the string itself) hold, and tables of its own. hot: distinct strings of a minimiser
     that make it hot.
     """
     spark = docs.sparkSession
@@ -151,7 +155,8 @@ def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callabl
     travel = groups.where("mixed").select("mini", "h", F.col("at.doc").alias("first"), "n", "at.doc", "at.row", "at.start", "at.windows")
     many = travel.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.lit(True).alias("hot"))
     travel = travel.join(many, "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found, found_path = stash(compare(strings(rows, travel, unit, digest=ordered)), "found")
+    compared, used = compare(strings(rows, travel, unit, digest=ordered))
+    found, found_path = stash(compared, "found")
     known = groups.select("mini", "h", "whole", F.col("at.doc").alias("first")).join(found, ["mini", "h"], "left").where(F.col("whole") | F.col("runs").isNotNull())
     # (doc, row, start) joins its super-k-mer's verdict; a hot one is split by Spark's skew join
     all_of = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("windows") + unit.window - 1).cast("int").alias("e")))
@@ -159,7 +164,7 @@ def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callabl
     gone = F.when((F.col("doc") > F.col("first")) if ordered else F.col("whole"), all_of).otherwise(part_of)
     met = shared.select("mini", "h", "doc", "row", "start", "windows").join(known, ["mini", "h"]).select("doc", "row", gone.alias("spans")).where(F.col("spans").isNotNull())
     spans, spans_path = stash(met.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans")), "spans")
-    for path in (shared_path, groups_path, found_path):
+    for path in (shared_path, groups_path, found_path, *used):
         drop_stash(spark, path)
     return spans, [spans_path]
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import without
+from ._shared import stash, without
 from .repeats import SPANS, Units, covered, repeated_spans, with_spans
 
 #: Words of a window and of the stretch whose hash is minimised.
@@ -70,18 +70,16 @@ def _compare(window: int):
         if held:
             yield table(held)
 
-    def compare(rows: DataFrame) -> DataFrame:
+    def compare(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        from ._shared import stash
-
-        rows, _ = stash(rows, "strings")
+        rows, path = stash(rows, "strings")
         cold = rows.where(~F.col("hot")).select("mini", "h", "first", "packed").repartition(n, "mini").sortWithinPartitions("mini", "h")
         cold = cold.mapInArrow(run, f"mini long, h long, runs {SPANS}")
         hot = rows.where("hot").select("mini", "h", "first", "packed", F.posexplode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("o", "__o"))
         hot = hot.select("mini", "h", "first", "o", F.expr("substring(packed, 16 * o + 1, 16)").alias("w"))
         least = hot.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
         hot = hot.join(least, "w").where("least < first").groupBy("mini", "h").agg(F.transform(F.sort_array(F.collect_list("o")), lambda o: F.struct(o.alias("s"), (o + window).cast("int").alias("e"))).cast(SPANS).alias("runs"))
-        return cold.unionByName(hot)
+        return cold.unionByName(hot), [path]
 
     return compare
 

@@ -17,7 +17,7 @@ from .suffix_sort import repeated_windows
 #: Bytes of a repeated string, and of the stretch whose hash is minimised to deal strings to shards.
 WINDOW, K = 400, 32
 #: Bytes that one sort takes at least, where a shard has so many; strings of one minimiser are never parted.
-SHARD = 6 << 20
+SHARD = 3 << 20
 OUT = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -25,7 +25,7 @@ def _compare(window: int, shard: int):
     def sort(items: list[tuple]) -> pa.RecordBatch:
         """items: (mini, h, n, packed). Suffix-sort all their bytes; spans of each that stands once itself."""
         sizes = np.array([len(x[3]) for x in items])
-        text = np.zeros(int(sizes.sum()) + len(items), np.uint16)  # 0 parts the strings
+        text = np.zeros(int(sizes.sum()) + len(items), np.uint8)  # 0 parts the strings; no byte of UTF-8 is 255
         usable = np.zeros(len(text), bool)
         at = np.cumsum(sizes + 1) - sizes - 1
         for p, (_, _, _, packed) in zip(at.tolist(), items):
@@ -55,10 +55,10 @@ def _compare(window: int, shard: int):
         if held:
             yield sort(held)
 
-    def compare(rows: DataFrame) -> DataFrame:
+    def compare(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.select("mini", "h", "n", "packed").repartition(n, "mini").sortWithinPartitions("mini", "h")
-        return rows.mapInArrow(run, f"mini long, h long, runs {SPANS}")
+        return rows.mapInArrow(run, f"mini long, h long, runs {SPANS}"), []
 
     return compare
 

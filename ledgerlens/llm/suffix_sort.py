@@ -85,7 +85,8 @@ def _types(text: np.ndarray) -> np.ndarray:
     up[:-1] = text[:-1] < text[1:]
     same = np.zeros(n, bool)
     same[:-1] = text[:-1] == text[1:]
-    settled = np.where(same, n - 1, np.arange(n))  # equal neighbours take the type of where their run ends
+    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    settled = np.where(same, at[-1], at)  # equal neighbours take the type of where their run ends
     return up[np.minimum.accumulate(settled[::-1])[::-1]]
 
 
@@ -96,74 +97,98 @@ def _run(text: np.ndarray, p: int, most: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks of rows by the keys, first key first; equal rows have equal ranks."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
+def _first_ranks(key: np.ndarray) -> np.ndarray:
+    """Rank of each key: how many keys are less. Equal keys have equal ranks."""
+    order = np.argsort(key)
+    ranked = key[order]
+    at = np.arange(len(key))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, ranked[1:] != ranked[:-1]), at, 0))
     return rank
 
 
-def _names(text: np.ndarray, rising: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Order-preserving names of the pieces from each LMS position to the next, ends included, types told apart."""
+def _refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Part equal ranks of the rows `live` by a further key (from 0 to len(rank)); returns those of them that are still tied.
+
+    A tied group must be in `live` as a whole. Ranks count the rows that are less, so other rows' ranks stay right.
+    """
+    old = rank[live]
+    both = old * (len(rank) + 2) + key if key.max(initial=0) < len(rank) + 2 else None
+    order = np.argsort(both) if both is not None else np.lexsort((key, old))
+    old, key, live = old[order], key[order], live[order]
+    at = np.arange(len(live))
+    group = np.append(True, old[1:] != old[:-1])
+    part = group.copy()
+    part[1:] |= key[1:] != key[:-1]
+    begin = np.maximum.accumulate(np.where(part, at, 0))
+    rank[live] = old + begin - np.maximum.accumulate(np.where(group, at, 0))
+    size = np.diff(np.append(np.flatnonzero(part), len(live)))
+    return live[np.repeat(size > 1, size)]
+
+
+def _names(text: np.ndarray, rising: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order-preserving names of the pieces from each LMS position to the next, ends included, types told apart; and the
+    pieces whose name is not their own."""
     n, bits = len(text), int(text.max()).bit_length() + 2
-    per, size = max(1, 63 // bits), np.append(lms[1:], n - 1) - lms + 1
-    rank, done = None, 0
-    live = np.arange(len(lms))
-    while len(live):
-        key = np.zeros(len(live), np.int64)
+    per, size = max(1, 62 // bits), np.append(lms[1:] - lms[:-1] + 1, n + 1 - lms[-1])
+
+    def symbols(rows: np.ndarray, done: int) -> np.ndarray:
+        key = np.zeros(len(rows), np.int64)
+        at, most = lms[rows], size[rows]
         for j in range(done, done + per):
-            at = np.minimum(lms[live] + j, n - 1)
-            key = (key << bits) | np.where(j < size[live], (text[at].astype(np.int64) + 1) * 2 + rising[at], 0)
-        if rank is None:
-            rank = _dense(key)
-        else:  # only pieces that are longer and still tied go on
-            full = np.zeros(len(lms), np.int64)
-            full[live] = key
-            rank = _dense(rank, full)
+            here = np.minimum(at + j, n - 1)
+            symbol = np.where(at + j < n, (text[here].astype(np.int64) + 1) * 2 + rising[here], 1)  # 1: the text's end
+            key = (key << bits) | np.where(j < most, symbol, 0)
+        return key
+
+    rank, done = _first_ranks(symbols(np.arange(len(lms)), 0)), per
+    tied = np.bincount(rank, minlength=len(rank))[rank] > 1
+    live = np.flatnonzero(tied & (size > done))
+    while len(live):  # tied pieces are either all longer than this or all at their end
+        live = _refine(rank, live, symbols(live, done))
         done += per
-        count = np.bincount(rank)
-        live = np.flatnonzero((size > done) & (count[rank] > 1))
-    return rank
+        live = live[size[live] > done]
+    return rank, np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
 
 
 def _order_lms(text: np.ndarray, rising: np.ndarray, lms: np.ndarray, depth: int, folder: str, base: int) -> np.ndarray:
     """LMS positions in the order of their suffixes, as far as `depth` characters tell them apart."""
     if len(lms) < 2:
         return lms
-    rank = _names(text, rising, lms)
+    rank, live = _names(text, rising, lms)
     if len(lms) > base:
         inner = os.path.join(folder, "deeper")
         os.makedirs(inner, exist_ok=True)
         return lms[sort_suffixes(rank, depth, inner, base)]
     span = 1
-    while span < depth and rank.max() + 1 < len(rank):  # a piece is two characters at least
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-span] = rank[span:]
-        rank = _dense(rank, ahead)
+    while span < depth and len(live):  # a piece is two characters at least; only tied ones go on, twice as far each time
+        ahead = live + span
+        key = np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
+        live = _refine(rank, live, key)
         span *= 2
     return lms[np.argsort(rank, kind="stable")]
 
 
 def _common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of neighbours in `order`, up to depth; the first is 0."""
-    out = np.zeros(len(order), np.uint16)
-    a, b, live, n = order[:-1], order[1:], np.arange(1, len(order)), len(text)
-    step = 16
-    for done in range(0, depth, step):
+    """Common prefixes of neighbours in `order`, up to depth; the first is 0. Eight bytes are compared at a time."""
+    out, n, unit = np.zeros(len(order), np.uint16), len(text), text.itemsize
+    raw = np.concatenate((np.frombuffer(np.ascontiguousarray(text), np.uint8), np.zeros(8 + unit, np.uint8)))
+    words = np.ndarray((n + 1,), "<u8", raw.data, strides=(unit,))
+    per = 8 // unit
+    a, b, live = order[:-1].copy(), order[1:].copy(), np.arange(1, len(order))
+    room = n - np.maximum(a, b)  # common prefixes end with the text
+    for done in range(0, depth, per):
         if not len(live):
             break
-        same = np.ones(len(live), bool)
-        for j in range(done, min(done + step, depth)):
-            pa, pb = a + j, b + j
-            same &= (np.maximum(pa, pb) < n) & (text[np.minimum(pa, n - 1)] == text[np.minimum(pb, n - 1)])
-            out[live[same]] = j + 1
-            if j % 4 == 3 and not same.all():
-                a, b, live, same = a[same], b[same], live[same], same[same]
-        a, b, live = a[same], b[same], live[same]
+        differ = words[np.minimum(a + done, n)] ^ words[np.minimum(b + done, n)]
+        stop = (differ != 0) | (room <= done + per)
+        if stop.any():
+            at = np.flatnonzero(stop)
+            low = differ[at] & (~differ[at] + np.uint64(1))
+            equal = np.where(low == 0, per, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // (8 * unit))
+            out[live[at]] = np.minimum(np.minimum(done + equal, room[at]), depth)
+            a, b, live, room = a[~stop], b[~stop], live[~stop], room[~stop]
+    out[live] = depth
     return out
 
 
