@@ -11,7 +11,7 @@ from .edit_embedding import op5_edit_fingerprints
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_pack
 from .quality import op4_quality
-from .substring_dedup import op8_substring_dedup
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op1_toxicity
@@ -27,4 +27,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_edit_fingerprints, op6_best_fit_pack, op7_decontamination, op8_substring_dedup, op9_chat_format, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}

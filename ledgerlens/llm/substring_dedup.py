@@ -119,3 +119,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int
 def op8_substring_dedup(spark, sf_dir):
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), e AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w
+), x AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + {WINDOW - 1}], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})
+), m AS (
+  SELECT h, min(doc_id) AS first FROM x GROUP BY h
+), r AS (
+  SELECT x.doc_id, x.i FROM x JOIN m USING (h) WHERE first < doc_id
+), c AS (
+  SELECT e.doc_id, e.i, e.word, coalesce(e.i - max(r.i) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS UNBOUNDED PRECEDING) < {WINDOW}, false) AS gone
+  FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.i = r.i
+), g AS (
+  SELECT doc_id, count(*) AS n_words, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed, string_agg(CASE WHEN gone THEN NULL ELSE word END, ' ' ORDER BY i) AS kept FROM c GROUP BY 1
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)
+"""
