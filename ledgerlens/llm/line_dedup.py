@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ._shared import SPACES, ascii_lower, text_of, without
 
 OUT = ("n_lines", "n_dropped")
+#: Tasks that the lines of one key are dealt to.
+SALTS = 8
 
 
 def _hashes(text):
@@ -35,12 +37,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     its lines becomes empty.
 
     Plan: hashes, never texts, are shuffled to count documents (map-side combined, so a line in every document costs
-    one row per task); the shared keys join the lines again, which Spark splits where one key is hot; positions to
+    one row per task); the shared keys join the lines again, each key salted over several tasks; positions to
     drop are gathered per document and the texts are shuffled once.
     """
     keys = _lines(docs, min_chars).select("__h1", "__h2", "__doc").distinct().groupBy("__h1", "__h2")
     keys = keys.agg(F.count(F.lit(1)).alias("__n"), F.max("__doc").alias("__last")).where(F.col("__n") >= min_docs).select("__h1", "__h2", "__last")
-    hit = _lines(docs, min_chars).join(keys, ["__h1", "__h2"]).where(~F.col("__doc").eqNullSafe(F.col("__last")))
+    # a shared key, one row, is repeated for every salt; the lines that meet it are dealt out
+    keys = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = _lines(docs, min_chars).withColumn("__salt", F.pmod(F.xxhash64("__doc", "__t1", "__pos"), F.lit(SALTS)).cast("int"))
+    hit = lines.join(keys, ["__h1", "__h2", "__salt"]).where(~F.col("__doc").eqNullSafe(F.col("__last")))
     drops = hit.groupBy(F.col("__doc").alias("__d"), F.col("__t1").alias("__u1"), F.col("__t2").alias("__u2")).agg(F.collect_set("__pos").alias("__drop"))
     text, kept = text_of(), [c for c in without(docs, OUT) if c.lower() != "text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2"), F.split(text, "\n", -1).alias("__lines"))
