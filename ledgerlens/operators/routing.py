@@ -31,10 +31,13 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     Names of one word meet the text's words by equality; only names of several words are sought as substrings, in the
     documents that hold their first word. No text is compared with every name.
     """
-    words = texts.select(key, F.lower("text").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     names = aliases.select("alias", F.lower("alias").alias("name"), F.regexp_extract(F.lower("alias"), r"[\p{L}\p{N}]+", 0).alias("word"))
-    found = words.join(names, "word").withColumn("position", F.expr("instr(low, name)"))
-    return found.where("position > 0").select(key, "alias", F.col("position").cast("long").alias("position"))
+    # only keys and names move; texts join once the pairs are few
+    found = words.join(names, "word").groupBy(key).agg(F.collect_set(F.struct("alias", "name")).alias("names"))
+    found = texts.select(key, F.lower("text").alias("low")).join(found, key).select(key, "low", F.explode("names").alias("n"))
+    found = found.select(key, F.col("n.alias").alias("alias"), F.expr("instr(low, n.name)").cast("long").alias("position"))
+    return found.where("position > 0")
 
 
 def rewrite(text: Column) -> dict[str, Column]:
