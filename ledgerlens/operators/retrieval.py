@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,19 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("vec_id"), top=top)
 
 
+def fit_cells(vectors: DataFrame, cells: int, sample: int = 4096, rounds: int = 10) -> list[list[float]]:
+    """Centroids by k-means on the `sample` vectors whose ids have the least hashes: what reaches the driver is bounded."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
+    x = np.array([r[0] for r in rows], float)
+    centres = x[:cells].copy()
+    for _ in range(rounds):
+        near = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centres[c] = x[near == c].mean(0)
+    return centres.tolist()
+
+
 def assign_cells(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """Inverted-file cell of each vector: its nearest centroid (a small literal table), for pruning by partition."""
     cells = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
