@@ -9,20 +9,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+#: Characters that the compatibility normal form leaves as they are; only texts that hold another go to Python.
+STABLE = r"^[\x00-\x9F¡-§©«¬®°±¶·»¿À-ÿ一-鿿、。‘’“”–—]*$"
+#: White space beyond what \s means to the JVM.
+SPACE = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2028\u2029]+"
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility normal form; Spark has no built-in for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form; Spark has no built-in for it. Texts that it can't change stay in the JVM."""
+
+    @F.pandas_udf(StringType())
+    def form(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.coalesce(form(F.when(~text.rlike(STABLE), text)), text)
+
+
+def without_commas(text: Column) -> Column:
+    """No commas between digits."""
+    return F.regexp_replace(text, r"(?<=\d)[,，](?=\d)", "")
 
 
 def normalize_text(text: Column, exact: bool = True) -> Column:
-    """NFKC, folded punctuation, no commas inside numbers, lower case, spaced percent signs, single spaces."""
-    out = nfkc(text) if exact else text
-    out = F.translate(out, "，。；：（）【】“”‘’、", ",.;:()[]\"\"'',")
-    out = F.regexp_replace(out, r"(?<=\d),(?=\d)", "")
-    out = F.replace(F.lower(out), F.lit("%"), F.lit(" % "))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """NFKC, folded dashes, quotes, brackets and colons, no commas inside numbers, lower case, spaced percent signs, single
+    spaces; null counts as empty."""
+    out = F.coalesce(nfkc(text) if exact else text, F.lit(""))
+    out = F.translate(out, "\u00a0’–—（）：；，", " '--():;,")
+    out = F.replace(F.lower(without_commas(out)), F.lit("%"), F.lit(" % "))
+    return F.trim(F.regexp_replace(out, SPACE, " "))
+
+
+def squeezed(text: Column, exact: bool = True) -> Column:
+    """normalize_text() without any space: the form in which table text is searched."""
+    return F.replace(normalize_text(text, exact), F.lit(" "), F.lit(""))
+
+
+#: Signs of the radical block that scanners return, and the characters that they stand for.
+RADICALS, PLAIN = "⼈⼊⾏⾦⽀⼆⼀", "人入行金支二一"
+
+
+def table_text(text: Column, exact: bool = True) -> Column:
+    """squeezed() after radicals became the characters they stand for."""
+    return squeezed(F.translate(text, RADICALS, PLAIN), exact)
 
 
 def compact_text(text: Column) -> Column:
@@ -35,19 +63,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def index_tokens(text: Column) -> Column:
-    """Distinct index tokens: Latin words and numbers; of a CJK run the run itself and all its bigrams."""
-    text = F.lower(text)
-    latin = F.regexp_extract_all(text, F.lit(r"[a-z0-9à-öø-ÿß]+(?:[._%-][a-z0-9]+)*"), F.lit(0))
-    runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]+"), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: char_ngrams(r, 2)))
-    return F.array_distinct(F.concat(latin, runs, grams))
+#: Terms of finance that are index tokens of their own.
+FINANCE_TERMS = "营业收入 营收 归母净利润 扣非归母净利润 毛利率 净利率 期间费用率 经营活动现金流净额 资产负债率 每股收益 分红 回购 并购 定增 券商 年报 研报".split()
+#: What an index token of Latin letters and digits is, and a run of ideographs.
+LATIN, IDEOGRAPHS = r"[a-z0-9]+(?:[./_-][a-z0-9]+)?", r"[一-鿿]+"
+
+
+def index_tokens(text: Column, exact: bool = True) -> Column:
+    """Distinct index tokens of the normalised text, in order: Latin words and numbers; of a run of ideographs the run, its
+    bigrams if it has more than two, and the finance terms that it holds."""
+    text = normalize_text(text, exact)
+    latin = F.regexp_extract_all(text, F.lit(LATIN), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(IDEOGRAPHS), F.lit(0))
+    terms = F.array(*map(F.lit, FINANCE_TERMS))
+    of_run = lambda r: F.when(F.length(r) <= 2, F.array(r)).otherwise(F.concat(F.array(r), char_ngrams(r, 2), F.filter(terms, lambda t: F.contains(r, t))))
+    # most texts hold no ideograph: the second part is not even looked at
+    return F.when(text.rlike(IDEOGRAPHS), F.array_distinct(F.concat(latin, F.flatten(F.transform(runs, of_run))))).otherwise(F.array_distinct(latin))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All character n-grams in order; none if the text is shorter."""
-    size = F.length(text) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All character n-grams in order, by one pass of a look-ahead; a text no longer than n is one, an empty one none."""
+    many = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(text) > n, many).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def contains_cjk(text: Column) -> Column:
@@ -64,54 +101,92 @@ def first_present(*values: Column) -> Column:
     return F.coalesce(*[clean_scalar(v) for v in values])
 
 
-def security_codes(text: Column) -> Column:
+def to_int(value: Column) -> Column:
+    """The whole number that a text is; null for anything else."""
+    flat = F.trim(value.cast("string"))
+    return F.when(flat.rlike(r"^[+-]?\d+$"), flat.try_cast("int"))
+
+
+def to_list(values: Column) -> Column:
+    """Distinct trimmed items of an array in order; null and empty ones are left out, a null array has none."""
+    clean = F.transform(values, lambda x: clean_scalar(x))
+    return F.coalesce(F.array_distinct(F.array_compact(clean)), F.array().cast("array<string>"))
+
+
+#: Exchange names that may stand beside a code of six digits, and the digits that begin one.
+_EXCHANGE, _CODE = "(?:SH|SZ|SSE|SZSE|BJ|BSE)", r"[03468]\d{5}"
+
+
+def security_codes(text: Column, exact: bool = True) -> Column:
     """Distinct six-digit codes in order of appearance, exchange affixes left out."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{6})(?!\d)"), F.lit(1)))
+    text = F.coalesce(nfkc(text) if exact else text, F.lit(""))
+    whole = rf"(?i)(?<![A-Z0-9])(?:{_EXCHANGE}[\s:._-]?{_CODE}|{_CODE}[\s:._-]?{_EXCHANGE}|{_CODE})(?![A-Z0-9])"
+    found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda t: F.regexp_extract(t, _CODE, 0)))
 
 
-#: Multipliers by unit, longest name first.
-UNIT_FACTORS = {"hundred million": 1e8, "ten thousand": 1e4, "billion": 1e9, "million": 1e6, "thousand": 1e3, "亿元": 1e8, "万元": 1e4, "千元": 1e3, "亿": 1e8, "万": 1e4, "元": 1.0}
+#: Multipliers by unit.
+UNIT_FACTORS = {
+    "亿股": 1e8, "亿元": 1e8, "亿港元": 1e8, "亿美元": 1e8, "亿人民币": 1e8, "千万": 1e7, "百万": 1e6, "万股": 1e4, "万元": 1e4, "万港元": 1e4, "万美元": 1e4, "万元人民币": 1e4,
+    "千元": 1e3, "百万元": 1e6, "千万元": 1e7,
+}
+#: Units that a chunk's text is searched for, the first one found counts.
+CHUNK_UNITS = "亿元 万元 亿股 万股 百万元 千万元 % 百分点".split()
 
 
-def unit_hint(text: Column) -> Column:
-    """The first unit name, in the order above, that the text holds."""
-    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(u)), F.lit(u)) for u in UNIT_FACTORS])
+def first_held(text: Column, names) -> Column:
+    """The first of the names, in their order, that the text holds."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in names])
 
 
-def unit_factor(unit: Column) -> Column:
-    out = F.lit(1.0)
-    for name, factor in reversed(UNIT_FACTORS.items()):
-        out = F.when(unit == name, F.lit(factor)).otherwise(out)
-    return out
+def unit_hint(text: Column) -> Column:
+    """The unit that a chunk's text names."""
+    return first_held(text, CHUNK_UNITS)
 
 
-def parse_numeric(text: Column) -> Column:
-    """First number with its sign and unit factor; percentages are divided by 100; null without a number.
+def parse_numeric(text: Column, hint: Column | None = None, exact: bool = True) -> Column:
+    """First number with its sign, times the factor of the longest unit that the text or the hint names; a percentage keeps
+    its number; null without a number.
 
     A minus sign or opening bracket right before any digit makes it negative, also in a range such as 12-15.
     """
-    plain = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
-    digits = F.nullif(F.regexp_extract(plain, r"\d+(?:\.\d+)?", 0), F.lit(""))
-    value = digits.try_cast("double")
-    sign = F.when(plain.rlike(r"[-(]\s*\d"), -1.0).otherwise(1.0)
-    factor = F.when(plain.rlike(r"\d\s*%"), F.lit(0.01)).otherwise(unit_factor(unit_hint(plain)))
-    return value * sign * factor
-
-
-def period_token(text: Column) -> Column:
-    """First year 20xx with the quarter or half that the text names, upper case."""
-    year = F.nullif(F.regexp_extract(text, r"20\d{2}", 0), F.lit(""))
-    part = F.nullif(F.upper(F.regexp_extract(F.lower(text), r"(q[1-4]|h[12])", 1)), F.lit(""))
-    return F.concat(year, F.coalesce(part, F.lit("")))
-
-
-def currency_token(text: Column) -> Column:
-    """Canonical currency code of an alias (fixed values), else the text in upper case."""
-    aliases = {"rmb": "CNY", "yuan": "CNY", "人民币": "CNY", "¥": "CNY", "us$": "USD", "$": "USD", "dollar": "USD", "dollars": "USD", "€": "EUR", "euro": "EUR", "hk$": "HKD", "£": "GBP"}
-    key, out = F.lower(F.trim(text)), F.upper(F.trim(text))
-    for name, code in aliases.items():
+    plain = without_commas(nfkc(text) if exact else text)
+    value = F.nullif(F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    value = F.when(plain.rlike(r"^\s*[(\-]|[(\-]\s*\d") & (value > 0), -value).otherwise(value)
+    units = F.concat_ws(" ", plain, F.coalesce(hint, F.lit(""))) if hint is not None else plain
+    factor = F.lit(1.0)
+    for name in sorted(UNIT_FACTORS, key=len):  # the longest is tested first
+        factor = F.when(F.contains(units, F.lit(name)), F.lit(UNIT_FACTORS[name])).otherwise(factor)
+    return value * F.when(units.rlike("%|百分点"), F.lit(1.0)).otherwise(factor)
+
+
+#: Longer names of report kinds and their short forms, in the order in which they are replaced.
+REPORT_WORDS = (("年度报告", "年报"), ("季度报告", "季报"), ("半年度报告", "半年报"))
+
+
+def period_token(text: Column, exact: bool = True) -> Column:
+    """First year 20xx that a quarter or the name of a report follows, with it, upper case and without spaces; else null."""
+    flat = normalize_text(text, exact)
+    for long, short in REPORT_WORDS:
+        flat = F.replace(flat, F.lit(long), F.lit(short))
+    found = F.regexp_extract(flat, r"20\d{2}\s*(?:q[1-4]|年报|半年报|中报|季报|一季报|三季报)", 0)
+    return F.nullif(F.upper(F.replace(found, F.lit(" "), F.lit(""))), F.lit(""))
+
+
+#: Currency codes by alias.
+CURRENCIES = {
+    "$": "USD", "usd": "USD", "us$": "USD", "eur": "EUR", "€": "EUR", "gbp": "GBP", "£": "GBP", "jpy": "JPY", "yen": "JPY", "cny": "CNY", "rmb": "CNY", "人民币": "CNY",
+    "aud": "AUD", "cad": "CAD", "chf": "CHF", "港币": "HKD", "hkd": "HKD",
+}
+
+
+def currency_token(text: Column, exact: bool = True) -> Column:
+    """Canonical currency code of an alias, else the text in upper case; null for what is empty."""
+    flat = F.trim(nfkc(text) if exact else text)
+    key, out = F.lower(flat), F.upper(flat)
+    for name, code in CURRENCIES.items():
         out = F.when(key == name, F.lit(code)).otherwise(out)
-    return out
+    return F.when(text != "", out)
 
 
 def section_segments(path: Column, *levels: Column) -> Column:
@@ -120,12 +195,37 @@ def section_segments(path: Column, *levels: Column) -> Column:
     return F.when(clean_scalar(path).isNotNull(), split).otherwise(F.array_compact(F.array(*[clean_scalar(x) for x in levels])) if levels else F.array().cast("array<string>"))
 
 
+def flat_text(text: Column) -> Column:
+    """White space collapsed to single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+
+
 def snippet(text: Column, most: int = 220) -> Column:
     """White space collapsed, cut to `most` characters with a mark where cut."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    flat = flat_text(text)
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)
 
 
+def short_snippet(text: Column, most: int = 240) -> Column:
+    """White space collapsed, cut so that with its mark it has `most` characters."""
+    flat = flat_text(text)
+    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 3)), F.lit("..."))).otherwise(flat)
+
+
+def position_of(term: Column, text: Column) -> Column:
+    """First place of a term, 1-based, 0 for none; plain ASCII terms are found in any case."""
+    ascii_only = F.length(term) == F.octet_length(term)
+    return F.when(ascii_only, F.position(F.lower(term), F.lower(text))).otherwise(F.position(term, text))
+
+
+def snippet_around(term: Column, text: Column, before: int = 80, after: int = 140) -> Column:
+    """What stands around the first place of a term, from `before` characters ahead of it to `after` past its end, flat."""
+    at = position_of(term, text)
+    low = F.greatest(at - 1 - before, F.lit(0))
+    high = F.least(F.length(text), at - 1 + F.length(term) + after)
+    return F.when(at > 0, flat_text(F.substring(text, (low + 1).cast("int"), (high - low).cast("int"))))
+
+
 def query_fingerprint(text: Column) -> Column:
     """What is left of a query without punctuation, spaces and case."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
@@ -143,15 +243,20 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts; edit distance is not the same measure."""
-    from difflib import SequenceMatcher
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts; edit distance is not the same measure. Two empty texts are alike."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    return ratio(a, b)
 
 
-def numeric_similarity(a: Column, b: Column) -> Column:
-    """1 for equal numbers, else 1 less the relative difference, 0 at least."""
-    top = F.greatest(F.abs(a), F.abs(b))
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / top))
+def numeric_similarity(value: Column, reference: Column) -> Column:
+    """1 for numbers equal but for rounding, else 1 less the difference relative to the reference (or to 1), 0 at least."""
+    gap = F.abs(value - reference)
+    close = gap <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(value), F.abs(reference)), F.lit(1e-9))
+    return F.when(value.isNull() | reference.isNull(), F.lit(None)).when(close, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - gap / F.greatest(F.abs(reference), F.lit(1.0))), 4))

@@ -1,4 +1,4 @@
-"""From texts to pages, blocks and chunks."""
+"""From blocks to page texts, sections, parent and child chunks, and what each chunk carries."""
 
 from __future__ import annotations
 
@@ -8,68 +8,156 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from .filters import given
 
-def is_heading(line: Column, short: int = 36) -> Column:
-    """A markdown heading, or a short line that ends no sentence and ends in one of the section words (fixed values)."""
-    words = r"(summary|overview|statements?|risks?|outlook|analysis|highlights|notes)\s*$"
-    return line.rlike(r"^\s{0,3}#{1,6}\s") | ((F.length(F.trim(line)) <= short) & ~line.rlike(r"[.!?;:。！？；：]") & F.lower(line).rlike(words))
+#: What ends a line, as Python's splitlines() sees it.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: White space that is cut off lines.
+BLANKS = " \t\n\x0b\f\r"
+#: Suffixes of section titles (fixed values).
+TITLE_ENDS = "报告 概况 概览 目录 说明 分析 风险提示 情况".split()
 
 
-def blocks(docs: DataFrame, heading: Callable[[Column], Column] = is_heading, key: str = "doc_id") -> DataFrame:
-    """Sections of each text: a heading begins a block; blank blocks are dropped, lines keep their order.
+# -- page text -----------------------------------------------------------------------------------------------------------
 
-    Window and group share one partitioning by document, so a text's lines are shuffled once.
+#: Kinds of blocks: those that may introduce a table or a list by a colon, and those rendered as they are (fixed values).
+INTRODUCING = ("text", "caption", "section_header", "paragraph", "code")
+PLAIN = ("text", "caption", "footnote", "checkbox_selected", "checkbox_unselected", "formula", "code", "chart_evidence")
+
+
+def assemble(blocks: list[dict], tables: dict | None = None) -> str:
+    """The text of one page from its blocks (type, text, table_id), in order.
+
+    Page footers go. Headers become headings of level one in the page's first three blocks, of level two after; a lone
+    paragraph becomes one of level three. A block that ends in a colon joins the table or list that follows; footnotes, with
+    one text block ahead of them, join the table or list before. tables: markdown by table_id.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    lines = lines.withColumn("block", F.sum(heading(F.col("line")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy(key, "block").agg(text.alias("text"), F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
-    return out.where(F.trim("text") != "")
+    rows = [b for b in blocks if b["type"] != "page_footer"]
+    kinds, texts = [b["type"] for b in rows], [(b.get("text") or "").strip() for b in rows]
+    top_header = "page_header" in kinds[:3]
+    out, at, sections, n = [], 0, 0, len(rows)
 
+    def follows(i: int) -> str | None:
+        """The kind that block i introduces by its colon."""
+        return kinds[i + 1] if i + 1 < n and kinds[i] in INTRODUCING and texts[i].endswith(":") else None
 
-def windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
-    """Child chunks of `size` words, each `overlap` words back; parents hold four children. No shuffle."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    step = size - overlap
-    rows = docs.select(key, words.alias("words")).where(F.size("words") > 0)
-    rows = rows.select(key, "words", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - overlap - 1, F.lit(0)) / step).cast("int"))).alias("chunk"))
-    return rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.floor(F.col("chunk") / 4).cast("long").alias("parent"), F.array_join(F.slice("words", F.col("chunk") * step + 1, size), " ").alias("text"))
+    def notes(i: int) -> int:
+        """End of the footnotes that begin at i, a text block ahead of them included."""
+        if kinds[i : i + 2] == ["text", "footnote"]:
+            i += 1
+        while i < n and kinds[i] == "footnote":
+            i += 1
+        return i
 
+    while at < n:
+        kind, text = kinds[at], texts[at]
+        next_kind = follows(at)
+        if kind == "page_header":
+            out.append(f"\n{'#' if at < 3 else '##'} {text}\n")
+            at += 1
+        elif kind == "section_header":
+            sections += 1
+            first = sections == 1 and at < 3 and not top_header
+            out.append(f"\n{'#' if first else '##'} {text}\n")
+            at += 1
+        elif kind == "paragraph" and next_kind not in ("table", "list_item"):
+            out.append(f"\n### {text}\n")
+            at += 1
+        elif "table" in (kind, next_kind) or "list_item" in (kind, next_kind):
+            listed = "table" not in (kind, next_kind)
+            begin = at
+            at += next_kind is not None
+            body = at
+            while at < n and kinds[at] == ("list_item" if listed else "table") and (listed or at == body):
+                at += 1
+            end = notes(at)
+            parts = []
+            for i in [*range(begin, at), *range(at, end)]:
+                if kinds[i] == "table":
+                    key = rows[i].get("table_id")
+                    if key is not None:
+                        parts.append(f"{(tables or {})[key]}\n")
+                else:
+                    parts.append(f"- {texts[i]}\n" if kinds[i] == "list_item" else f"{texts[i]}\n")
+            out.append("\n" + "".join(parts) + "\n")
+            at = end
+        elif kind in PLAIN:
+            if text:
+                out.append(f"{text}\n")
+            at += 1
+        else:
+            raise ValueError(f"Unknown block type: {kind}")
+    if out:
+        out[0] = out[0].lstrip()
+        out[-1] = out[-1].rstrip()
+    return "\n".join(out)
 
-def split_recursive(docs: DataFrame, size: int, overlap: int, length: Callable[[str], int] = lambda t: len(t.split()), separators: tuple[str, ...] = ("\n\n", "\n", ". ", " "), key: str = "doc_id") -> DataFrame:
-    """Child chunks by ordered separators: a part that is too long is split by the next separator, short ones are merged.
 
-    length is injected (words by default), so that any tokenizer can be the measure.
-    """
+def page_texts(blocks: DataFrame, tables: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
+    """(doc, page, text) of every page, from blocks (doc, page, pos, type, text, table_id, picture_id).
 
-    def parts(text: str, seps: tuple[str, ...]) -> list[str]:
-        if length(text) <= size or not seps:
-            return [text]
-        out: list[str] = []
-        for p in text.split(seps[0]):
-            out += parts(p, seps[1:]) if length(p) > size else [p]
-        return [p for p in out if p.strip()]
+    tables: (doc, table_id, markdown). charts: as for chart_text(); a picture stands for its charts, one without goes. A
+    page's blocks are gathered in one array; documents are never gathered.
+    """
+    rows = blocks
+    if charts is not None:
+        of = charts.groupBy("doc", "picture_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chart_id", chart_text().alias("t")))), lambda x: x["t"]), "\n\n").alias("evidence"))
+        rows = rows.join(of, ["doc", "picture_id"], "left")
+    else:
+        rows = rows.withColumn("evidence", F.lit(None).cast("string"))
+    rows = rows.where((F.col("type") != "picture") | F.col("evidence").isNotNull())
+    kind = F.when(F.col("type") == "picture", "chart_evidence").otherwise(F.col("type"))
+    text = F.coalesce(F.when(F.col("type") == "picture", F.col("evidence")), F.col("text"), F.lit(""))
+    if tables is not None:
+        rows = rows.join(tables.select("doc", "table_id", "markdown"), ["doc", "table_id"], "left")
+        # a table that the document lacks is an error
+        missing = (kind == "table") & F.col("table_id").isNotNull() & F.col("markdown").isNull()
+        shown = F.when(missing, F.raise_error(F.concat(F.lit("no table "), F.col("table_id").cast("string")))).otherwise(F.coalesce("markdown", F.lit("")))
+    else:
+        shown = F.lit("")
+    block = F.struct("pos", kind.alias("type"), text.alias("text"), F.col("table_id").cast("string").alias("table_id"), shown.alias("markdown"))
+    pages = rows.groupBy("doc", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, text in zip(b[key], b["text"].fillna("")):
-                held: list[str] = []
-                n = 0
-                for p in parts(text, separators):
-                    if held and sum(map(length, held)) + length(p) > size:
-                        rows.append((k, n, " ".join(held)))
-                        n += 1
-                        while held and sum(map(length, held)) > overlap:
-                            held.pop(0)
-                    held.append(p)
-                if held:
-                    rows.append((k, n, " ".join(held)))
-            yield pd.DataFrame(rows, columns=[key, "chunk", "text"])
-
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk long, text string")
+            texts = [assemble([dict(x) if isinstance(x, dict) else x.asDict() for x in blocks], {x["table_id"]: x["markdown"] for x in blocks if x["type"] == "table"}) for blocks in b["blocks"]]
+            yield b[["doc", "page"]].assign(text=texts)
+
+    kinds = dict(pages.dtypes)
+    return pages.mapInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, text string")
+
+
+#: Glyph commands left by extractors and what they stand for (fixed values); "/" comes last, so that it starts no command.
+COMMANDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "period": ".", "comma": ",", "colon": ":", "hyphen": "-", "percent": "%",
+    "dollar": "$", "space": " ", "plus": "+", "minus": "-", "asterisk": "*", "lparen": "(", "rparen": ")", "parenright": ")", "parenleft": "(", "wedge.1_E": "", "slash": "/",
+}
+_ENDINGS, _GLYPH, _CAP = r"(?:\.pl\.tnum|\.tnum\.pl|\.pl|\.tnum|\.case|\.sups)", "glyph<[^>]*>", "/([A-Z])\\.cap"
+
+
+def clean_glyphs(text: Column) -> tuple[Column, Column]:
+    """(text, corrections): glyph commands replaced, glyph marks dropped, capital marks opened, and how many there were."""
+    commands = rf"/(?:{'|'.join(COMMANDS)}){_ENDINGS}"
+    n = sum((F.regexp_count(text, F.lit(p)) for p in (commands, _GLYPH, _CAP)), F.lit(0))
+    out = text
+    for name, sign in COMMANDS.items():
+        out = F.regexp_replace(out, f"/{name}{_ENDINGS}", "\\$" if sign == "$" else sign)
+    return F.regexp_replace(F.regexp_replace(out, _GLYPH, ""), _CAP, "$1"), n
+
+
+def serialized_text(markdown: Column, infos: Column, instead: bool = False) -> Column:
+    """A table's text: its information blocks after (or instead of) its markdown; without blocks the markdown."""
+    said = F.array_join(infos, "\n")
+    both = said if instead else F.concat(F.coalesce(markdown, F.lit("")), F.lit("\nDescription of the table entities:\n"), said)
+    return F.when(infos.isNull(), F.coalesce(markdown, F.lit(""))).otherwise(both)
+
+
+def markdown_export(pages: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, document): a document's pages in order, each under a rule and its number."""
+    shown = F.concat(F.lit("\n\n---\n\n# Page "), F.col("page").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("page", shown.alias("shown"))))
+    return pages.groupBy(doc).agg(F.array_join(F.transform(parts, lambda x: x["shown"]), "").alias("document"))
 
 
 def fill_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -79,12 +167,375 @@ def fill_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return every.join(pages, [key, "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def pages_or_chunks(pages: DataFrame, chunks: DataFrame, doc: str = "doc") -> DataFrame:
+    """Pages that hold text; documents without any get pages from their chunks' texts, in order."""
+    have = pages.where(F.coalesce("text", F.lit("")) != "").select(doc, "page", "text")
+    said = F.coalesce(F.when(given(F.col("text")), F.col("text")), F.col("search_text"))
+    rest = chunks.join(have.select(doc).distinct(), doc, "left_anti").withColumn("said", said).where(given(F.col("said")) & F.col("page").isNotNull())
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "said"))), lambda x: x["said"]), "\n")
+    return have.unionByName(rest.groupBy(doc, "page").agg(joined.alias("text")))
+
+
 def year_mode(pages: DataFrame, key: str, first_pages: int = 5) -> DataFrame:
-    """The year most often named on the first pages, ties by what stands first."""
-    found = pages.where(F.col("page") <= first_pages).select(key, "page", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))).alias("pos", "year"))
+    """The year from 1990 to 2100 most often named on the first pages, ties by what stands first."""
+    found = pages.where(F.col("page") <= first_pages).select(key, "page", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\b((?:19|20)\d{2})\b"), F.lit(1))).alias("pos", "year"))
+    found = found.withColumn("year", F.col("year").cast("int")).where("year between 1990 and 2100")
     count = found.groupBy(key, "year").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "pos")).alias("at"))
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "at")
-    return count.withColumn("k", F.row_number().over(w)).where("k = 1").select(key, F.col("year").cast("int").alias("year"), "n")
+    return count.withColumn("k", F.row_number().over(w)).where("k = 1").select(key, "year", "n")
+
+
+# -- sections and chunks -------------------------------------------------------------------------------------------------
+
+
+def is_heading(line: Column) -> Column:
+    """A markdown heading of level one to three, or a line of at most 36 characters without signs that part sentences that
+    ends like a section's title."""
+    flat = F.trim(line, F.lit(BLANKS))
+    ends = "|".join(TITLE_ENDS)
+    return flat.rlike(r"^#{1,3} ") | ((F.length(flat) <= 36) & ~flat.rlike("[。；;:：，,]") & flat.rlike(f"(?:{ends})$"))
+
+
+def sections(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Blocks of each page: a heading begins one and names it, "Page n" names what stands before the first; blank lines and
+    blocks without text go. All within a row: nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), LINE_ENDS), lambda s: F.rtrim(s, F.lit(BLANKS)))
+    rows = pages.select(*keys, lines.alias("lines"))
+    marks = F.filter(F.transform("lines", lambda s, i: F.when(is_heading(s), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("begin", F.array_distinct(F.concat(F.array(F.lit(0)), marks)))
+    end = lambda i: F.coalesce(F.get("begin", i + 1), F.size("lines"))
+    parts = F.transform("begin", lambda b, i: F.struct(F.get("lines", b).alias("head"), F.filter(F.slice("lines", b + 1, end(i) - b), lambda s: F.trim(s) != "").alias("said")))
+    rows = rows.select(*keys, F.posexplode(F.filter(parts, lambda p: F.size(p["said"]) > 0)).alias("block", "part"))
+    head = F.trim(F.col("part.head"), F.lit(BLANKS))
+    title = F.when(is_heading(head), F.trim(F.regexp_replace(head, "^#+", ""))).otherwise(F.concat(F.lit("Page "), F.col("page").cast("string")))
+    # the heading itself is a line of the block, without white space around it
+    said = F.trim(F.array_join(F.transform("part.said", lambda s, i: F.when((i == 0) & is_heading(s), F.trim(s, F.lit(BLANKS))).otherwise(s)), "\n"), F.lit(BLANKS))
+    return rows.select(*keys, "block", title.alias("section_title"), said.alias("text"), F.size("part.said").alias("n_lines"))
+
+
+def windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
+    """Child chunks of `size` words, each `overlap` words back; parents hold four children. No shuffle."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    step = size - overlap
+    rows = docs.select(key, words.alias("words")).where(F.size("words") > 0)
+    rows = rows.select(key, "words", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - overlap - 1, F.lit(0)) / step).cast("int"))).alias("chunk"))
+    return rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.floor(F.col("chunk") / 4).cast("long").alias("parent"), F.array_join(F.slice("words", F.col("chunk") * step + 1, size), " ").alias("text"))
+
+
+#: Separators of child chunks, the first that a text holds is used, longer parts go on with the next (fixed values).
+SEPARATORS = ("\n### ", "\n## ", "\n# ", "\n\n", "\n", ". ", "; ", ", ")
+SEPARATORS_CJK = ("\n### ", "\n## ", "\n# ", "\n\n", "\n", "。", "；", "：", "，", " ")
+#: Tokens of a child chunk and of what it repeats of the one before.
+CHILD, OVERLAP = 320, 50
+
+
+def count_words(text: str) -> int:
+    """Stand-in for a tokenizer: words, and each ideograph."""
+    return len(text.split()) + sum("一" <= c <= "鿿" for c in text)
+
+
+def split_text(text: str, size: int = CHILD, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, length: Callable[[str], int] = count_words) -> list[str]:
+    """Parts of at most `size` by ordered separators, which stay at the head of what they begin; neighbours are joined while
+    they fit, and each part begins with what fits into `overlap` of the end of the one before. What no separator parts
+    stays whole."""
+
+    def pieces(part: str, sep: str) -> list[str]:
+        first, *rest = part.split(sep)
+        return [p for p in (first, *(sep + r for r in rest)) if p]
+
+    def joined(parts: list[str]) -> list[str]:
+        out, held, total = [], [], 0
+        for p in parts:
+            n = length(p)
+            if held and total + n > size:
+                out.append("".join(held).strip())
+                while held and (total > overlap or total + n > size):
+                    total -= length(held.pop(0))
+            held.append(p)
+            total += n
+        if held:
+            out.append("".join(held).strip())
+        return [x for x in out if x]
+
+    def run(part: str, seps: tuple[str, ...]) -> list[str]:
+        at = next((i for i, s in enumerate(seps) if s in part), None)
+        if at is None:
+            return [part.strip()] if part.strip() else []
+        out, small = [], []
+        for p in pieces(part, seps[at]):
+            if length(p) < size:
+                small.append(p)
+                continue
+            out += joined(small)
+            small = []
+            out += run(p, seps[at + 1 :])
+        return out + joined(small)
+
+    return run(text, separators)
+
+
+def child_chunks(parents: DataFrame, size: int = CHILD, overlap: int = OVERLAP, length: Callable[[str], int] = count_words, keys: tuple[str, ...] = ("doc_id", "parent")) -> DataFrame:
+    """(keys, child, text): every parent's text in child chunks. length is injected, so any tokenizer can be the measure.
+    Texts with ideographs, or of language zh or bilingual, part at their own signs."""
+    language = F.coalesce(F.col("language"), F.lit("")) if "language" in parents.columns else F.lit("")
+    rows = parents.select(*keys, F.coalesce("text", F.lit("")).alias("text"), (X.contains_cjk(F.col("text")) | language.isin("zh", "bilingual")).alias("cjk"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                parts = split_text(row.text, size, overlap, SEPARATORS_CJK if row.cjk else SEPARATORS, length) or ([row.text] if row.text.strip() else [])
+                out += [(*row[: len(keys)], i, p) for i, p in enumerate(parts)]
+            yield pd.DataFrame(out, columns=[*keys, "child", "text"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "child int, text string"]))
+
+
+#: Columns that a page's metadata may overrule, and tag lists that chunk, page and report may have (fixed values).
+PAGE_FIRST = ("stock_code", "exchange", "board", "market_type", "industry_l1", "industry_l2", "chain_position_major")
+SECTION = ("section_name", "section_l1", "section_l2", "section_l3", "section_path", "section_leaf", "page_role")
+TAGS = ("business_tags", "strategy_tags", "factor_tags", "chain_position_minor", "listing_tags", "ownership_tags", "status_tags", "style_tags")
+
+
+def _first(df: DataFrame, *names: str, kind: str = "string") -> Column:
+    """The first column of those that df has that holds something."""
+    have = [F.col(f"`{n}`") for n in names if n in df.columns]
+    if kind != "string":
+        return F.coalesce(*[F.when(F.size(c) > 0, c) for c in have], F.array().cast(kind))
+    return F.coalesce(*[F.when(given(c), c) for c in have], F.lit(None))
+
+
+def merge_snapshot(reports: DataFrame, snapshot: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Reports left joined with label snapshots, which fill what a report lacks; the stock code falls back to the security code."""
+    s = snapshot.select(F.col(key), *[F.col(c).alias(f"s_{c}") for c in snapshot.columns if c != key])
+    both = reports.join(s, key, "left")
+    out = {c: _first(both, c, f"s_{c}") for c in PAGE_FIRST if c in both.columns or f"s_{c}" in both.columns}
+    if "security_code" in both.columns:
+        out["stock_code"] = F.coalesce(out.get("stock_code", F.lit(None)), F.when(given(F.col("security_code")), F.col("security_code")))
+    out |= {c: X.to_list(_first(both, c, f"s_{c}", kind="array<string>")) for c in TAGS if c in both.columns or f"s_{c}" in both.columns}
+    return both.withColumns(out).drop(*[f"s_{c}" for c in snapshot.columns if c != key])
+
+
+def apply_page_metadata(blocks: DataFrame, pages: DataFrame, reports: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Blocks left joined with page metadata (doc, page, ...) and report metadata: a page's values win, then the block's own
+    (sections) or the report's (all else); empty values count as missing."""
+    p = pages.select(doc, "page", *[F.col(c).alias(f"p_{c}") for c in pages.columns if c not in (doc, "page")])
+    r = reports.select(doc, *[F.col(c).alias(f"r_{c}") for c in reports.columns if c != doc])
+    rows = blocks.join(p, [doc, "page"], "left").join(r, doc, "left")
+    out = {c: _first(rows, f"p_{c}", f"r_{c}") for c in PAGE_FIRST}
+    out["stock_code"] = _first(rows, "p_stock_code", "r_stock_code", "r_security_code")
+    out |= {c: F.coalesce(F.col(f"p_{c}") if f"p_{c}" in rows.columns else F.lit(None), F.col("page")) for c in ("page_start", "page_end")}
+    name = F.coalesce(_first(rows, "p_section_name", "section_name", "report_section", "section_title"), F.concat(F.lit("Page "), F.col("page").cast("string")))
+    out["section_name"] = name
+    out |= {c: _first(rows, f"p_{c}", c) for c in ("section_l1", "section_l2", "section_l3", "page_role")}
+    out["section_path"] = F.coalesce(_first(rows, "p_section_path", "section_path", "report_section"), name)
+    out["section_leaf"] = F.coalesce(_first(rows, "p_section_leaf", "section_leaf"), name)
+    out |= {c: X.to_list(_first(rows, f"p_{c}", f"r_{c}", kind="array<string>")) for c in TAGS}
+    return rows.withColumns(out).drop(*[c for c in rows.columns if c.startswith(("p_", "r_"))])
+
+
+def report_label(kind: Column, year: Column) -> Column:
+    """What a report is called by its kind and year (fixed values)."""
+    name = F.when(kind == "annual_report", "年报").when(kind == "interim_report", "中期报告").when(kind == "research_report", "研报").otherwise("文档")
+    return F.when(given(year), F.concat(year.cast("string"), F.lit("年"), name)).otherwise(name)
+
+
+def embedding_text(chunk: DataFrame) -> Column:
+    """What is embedded of a chunk: labelled lines of what it is about, then its text. Columns that it lacks are left out."""
+    have = set(chunk.columns)
+    col = lambda n: F.when(given(F.col(n)), F.col(n).cast("string")) if n in have else F.lit(None).cast("string")
+    tags = lambda n: F.when(F.size(F.col(n)) > 0, F.array_join(n, "、")) if n in have else F.lit(None).cast("string")
+    line = lambda label, value: F.concat(F.lit(f"{label}："), value)
+    pair = lambda sep, *names: F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*[col(n) for n in names]))), sep), F.lit(""))
+    of_chart = lambda label, n: F.when(col("evidence_type") == "chart", line(label, col(n)))
+    chain = F.nullif(F.concat_ws("/", col("chain_position_major"), tags("chain_position_minor")), F.lit(""))
+    head = F.concat_ws(
+        "\n", line("公司", col("company_name")), line("代码", F.coalesce(col("stock_code"), col("security_code"))), line("年份", report_label(col("doc_source_type"), col("report_year"))),
+        line("市场", pair("、", "market_type", "board")), line("行业", pair("-", "industry_l1", "industry_l2")), line("章节", col("section_name")), line("章节路径", col("section_path")),
+        of_chart("图表ID", "chart_id"), of_chart("图表指标", "series_name"), of_chart("图表横轴", "x_label"), line("业务主题", tags("business_tags")), line("因子主题", tags("factor_tags")), line("产业链", chain),
+    )
+    return F.trim(F.concat(head, F.lit("\n\n正文：\n"), F.coalesce("text", F.lit(""))), F.lit(BLANKS))
+
+
+#: What is searched of a chunk besides its text, in order; its strategy tags are not (fixed values).
+SEARCHED = ("company_name", "stock_code", "report_year", "doc_source_type", "exchange", "board", "market_type", "industry_l1", "industry_l2", "section_name", "section_path", "section_leaf")
+
+
+def search_text(chunk: DataFrame) -> Column:
+    """What is searched of a chunk: its metadata, a line each, its tags and its text."""
+    have = set(chunk.columns)
+    scalars = [F.when(given(F.col(n)), F.col(n).cast("string")) for n in SEARCHED if n in have]
+    lists = [F.when(F.size(F.col(n)) > 0, F.array_join(F.filter(F.col(n), lambda t: t != ""), "\n")) for n in TAGS if n in have and n != "strategy_tags"]
+    return F.trim(F.concat_ws("\n", *scalars, *lists, F.coalesce("text", F.lit(""))), F.lit(BLANKS))
+
+
+def build_chunks(blocks: DataFrame, reports: DataFrame, size: int = CHILD, overlap: int = OVERLAP, length: Callable[[str], int] = count_words, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(parents, children) of a document's blocks, numbered from 0 in the order of page, kind of source and place.
+
+    blocks: doc, page, part (0 text, 1 table, 2 chart), block, text and what apply_page_metadata() gave. Every child has its
+    parent's metadata and its own text; every parent the list of its children. Periods and units not known are read from
+    the text.
+    """
+    rows = blocks.withColumn("period", F.coalesce(_first(blocks, "period"), X.period_token(F.col("text")))).withColumn("unit_hint", F.coalesce(_first(blocks, "unit_hint"), X.unit_hint(F.col("text"))))
+    r = reports.select(doc, *[c for c in reports.columns if c not in rows.columns])
+    number = F.row_number().over(Window.partitionBy(doc).orderBy("page", "part", "block")) - 1
+    parents = rows.join(r, doc, "left").withColumn("chunk_id", number).withColumn("node_type", F.lit("parent"))
+    parts = child_chunks(parents, size, overlap, length, (doc, "chunk_id")).withColumnsRenamed({"chunk_id": "parent_chunk_id", "text": "said"})
+    children = parts.withColumn("id", F.row_number().over(Window.partitionBy(doc).orderBy("parent_chunk_id", "child")) - 1)
+    ids = children.groupBy(doc, F.col("parent_chunk_id").alias("chunk_id")).agg(F.array_sort(F.collect_list("id")).alias("child_chunk_ids"))
+    whole = parents.withColumn("parent_chunk_id", F.col("chunk_id"))
+    children = whole.drop("chunk_id").join(children, [doc, "parent_chunk_id"]).withColumn("text", F.col("said")).withColumn("chunk_id", F.col("id")).withColumn("node_type", F.lit("child")).drop("said", "id", "child")
+    parents = parents.join(ids, [doc, "chunk_id"], "left").withColumn("child_chunk_ids", F.coalesce("child_chunk_ids", F.array().cast("array<int>")))
+    finish = lambda df: df.withColumn("embedding_text", embedding_text(df)).withColumn("search_text", search_text(df))
+    return finish(parents), finish(children)
+
+
+def with_parents(children: DataFrame, parents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Every child with its parent's columns (as parent_*); a parent that is missing fails the query when it runs."""
+    p = parents.select(F.col(doc), F.col("chunk_id").alias("parent_chunk_id"), *[F.col(c).alias(f"parent_{c}") for c in parents.columns if c not in (doc, "chunk_id")], F.lit(True).alias("known"))
+    rows = children.join(p, [doc, "parent_chunk_id"], "left")
+    check = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("no parent chunk "), F.coalesce(F.col("parent_chunk_id").cast("string"), F.lit("null"))))).otherwise(F.lit(True))
+    return rows.withColumn("known", check.cast("boolean")).where("known").drop("known")
+
+
+def with_pages(children: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Every child with its page's text; children of unknown pages go."""
+    return children.join(pages.select(doc, "page", F.col("text").alias("page_text")), [doc, "page"])
+
+
+#: Columns that a result takes from its chunk even where the chunk's value is null (fixed values).
+CHUNK_WINS = ("exchange", "board", "market_type", "industry_l1", "industry_l2", "report_year", "report_type", "doc_source_type", "report_date", "fiscal_year", "period", "unit_hint", "language", "chain_position_major")
+
+
+def result_metadata(chunks: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Results' metadata: a chunk's column hides the document's, also where it is null; lists and what chunks lack come from
+    the document where empty; topics are united; what kind of node it is follows from its links."""
+    d = docs.select(doc, *[F.col(c).alias(f"d_{c}") for c in docs.columns if c != doc])
+    rows = chunks.join(d, doc, "left")
+    out = {c: F.col(f"d_{c}") for c in CHUNK_WINS if c not in chunks.columns and f"d_{c}" in rows.columns}
+    out |= {c: X.to_list(_first(rows, c, f"d_{c}", kind="array<string>")) for c in TAGS}
+    if "d_currency" in rows.columns:
+        out["currency"] = X.currency_token(F.col("d_currency"))
+    out |= {c: F.col(f"d_{c}") for c in ("company_name", "company_aliases", "security_code", "broker_name", "major_industry") if f"d_{c}" in rows.columns}
+    flags = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("topic_flags", "d_topic_flags") if c in rows.columns]
+    out["topic_flags"] = F.array_sort(F.array_distinct(F.concat(*flags))) if flags else F.array().cast("array<string>")
+    has = lambda c: F.col(c).isNotNull() if c in chunks.columns else F.lit(False)
+    kind = F.when(F.col("chunk_type") == "page", "page").when(has("parent_chunk_id"), "child").when(has("child_chunk_ids"), "parent").otherwise("child")
+    out["node_type"] = F.coalesce(F.when(given(F.col("node_type")), F.col("node_type")), kind) if "node_type" in chunks.columns else kind
+    out["section"] = _first(rows, "section_name", "report_section", "section_title")
+    return rows.withColumns(out).drop(*[c for c in rows.columns if c.startswith("d_")])
+
+
+#: Columns of the chunk metadata table (fixed values); what chunks lack is null.
+CHUNK_COLUMNS = (
+    "stock_code company_name report_year chunk_id node_type chunk_type parent_chunk_id page page_start page_end section_name section_l1 section_l2 section_l3 section_path section_leaf section_title report_section "
+    "table_id logical_table_id continuation_of logical_role page_span merge_confidence merge_state chart_id picture_id chart_type series_name x_label chart_confidence has_chart_context evidence_type has_table_context "
+    "exchange board market_type industry_l1 industry_l2 business_tags strategy_tags factor_tags chain_position_major chain_position_minor listing_tags ownership_tags status_tags style_tags embedding_text search_text chunk_metadata_id"
+).split()
+
+
+def chunk_metadata(parents: DataFrame, children: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """One row of metadata per parent and child chunk."""
+    both = parents.unionByName(children, allowMissingColumns=True)
+    empty = lambda c: F.array().cast("array<string>") if c in TAGS else F.lit(None)
+    cols = [(F.coalesce(F.col(c), empty(c)) if c in TAGS else F.col(c)).alias(c) if c in both.columns else empty(c).alias(c) for c in CHUNK_COLUMNS]
+    return both.select(doc, F.col(doc).alias("report_id"), *cols)
+
+
+# -- charts, tables, pictures --------------------------------------------------------------------------------------------
+
+
+def chart_text() -> Column:
+    """A chart as evidence in a page, from chart_id, page, picture_id, table_markdown, raw_output and context_text."""
+    shown = F.trim(F.coalesce(F.when(given(F.col("table_markdown")), F.col("table_markdown")), F.col("raw_output"), F.lit("")))
+    around = F.trim(F.coalesce("context_text", F.lit("")))
+    label = lambda name, c: F.concat(F.lit(name), F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    return F.concat_ws(
+        "\n", F.lit("[Chart Evidence]"), label("图表ID：", "chart_id"), label("页码：", "page"), F.when(F.col("picture_id").isNotNull(), label("图片ID：", "picture_id")),
+        F.when(shown != "", F.concat(F.lit("DePlot表格：\n"), shown)), F.when(around != "", F.concat(F.lit("周边说明：\n"), around)),
+    )
+
+
+def chart_chunks(charts: DataFrame, records: DataFrame, doc: str = "doc") -> DataFrame:
+    """One chunk per chart that was read (status ok): its text, and the distinct series and labels of its records in order."""
+    names = lambda c: F.array_join(F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda x: x[c]), lambda s: F.coalesce(s != "", F.lit(False)))), "、")
+    of = records.groupBy(doc, "chart_id").agg(names("series_name").alias("series_name"), names("x_label").alias("x_label"))
+    good = charts.where((F.col("status") == "ok") & F.col("page").isNotNull()).withColumn("text", chart_text())
+    rows = good.join(of, [doc, "chart_id"], "left").withColumn("chunk_type", F.lit("chart_to_table")).withColumn("evidence_type", F.lit("chart"))
+    rows = rows.withColumn("parent_block_id", F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_chart"), F.coalesce(F.col("picture_id").cast("string"), F.lit("None"))))
+    return rows.withColumn("has_chart_context", given(F.col("context_text"))).withColumn("series_name", F.nullif("series_name", F.lit(""))).withColumn("x_label", F.nullif("x_label", F.lit("")))
+
+
+def chart_record_rows(charts: DataFrame, records: DataFrame, doc: str = "doc") -> DataFrame:
+    """Records of charts that were read, with what they lack taken from their chart: unit, confidence, context, markdown, page."""
+    c = charts.where("status = 'ok'").select(doc, "chart_id", *[F.col(x).alias(f"c_{x}") for x in ("page", "picture_id", "unit_hint", "confidence", "context_text", "table_markdown")])
+    rows = records.join(c, [doc, "chart_id"])
+    unit = F.when(given(F.col("unit")), F.col("unit")).otherwise(F.col("c_unit_hint"))
+    out = rows.withColumn("unit", unit).withColumn("confidence", F.coalesce("confidence", "c_confidence"))
+    fill = {x: F.coalesce(F.col(x), F.col(f"c_{x}")) if x in records.columns else F.col(f"c_{x}") for x in ("page", "picture_id", "context_text", "table_markdown")}
+    return out.withColumns(fill).drop(*[x for x in rows.columns if x.startswith("c_")])
+
+
+def table_windows(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    """What a table's describer reads around each table of a page: all blocks since the table before, and at most three after.
+
+    With another table further on, one block in between is read by neither side's end, and of two or three the last one is
+    left out; blocks: (doc, page, pos, type, text, table_id).
+    """
+    w = Window.partitionBy(doc, "page").orderBy("pos")
+    is_table = F.col("type") == "table"
+    rows = blocks.withColumn("before_at", F.last(F.when(is_table, F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("next_at", F.first(F.when(is_table, F.col("pos")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("next_at", F.coalesce("next_at", F.lit(2_147_483_647)))
+    t = rows.where(is_table).select(doc, "page", "table_id", F.col("pos").alias("at"), F.coalesce("before_at", F.lit(-1)).alias("low"), F.col("next_at").alias("high"))
+    said = F.array_sort(F.collect_list(F.when((F.col("pos") > F.col("low")) & (F.col("pos") < F.col("at")), F.struct("pos", "text"))))
+    after = F.array_sort(F.collect_list(F.when((F.col("pos") > F.col("at")) & (F.col("pos") < F.col("high")), F.struct("pos", "text"))))
+    texts = lambda a: F.array_join(F.array_compact(F.transform(a, lambda x: x["text"])), "\n")
+    out = t.join(blocks.where("type <> 'table'").select(doc, "page", "pos", "text"), [doc, "page"], "left").groupBy(doc, "page", "table_id", "at", "high").agg(said.alias("b"), after.alias("a"))
+    bounded = F.col("high") < 2_147_483_647
+    keep = F.when(bounded & (F.size("a") <= 3), F.greatest(F.size("a") - 1, F.lit(0))).otherwise(F.lit(3))
+    return out.select(doc, "page", "table_id", texts(F.col("b")).alias("before"), texts(F.slice("a", F.lit(1), keep)).alias("after"))
+
+
+def picture_context(blocks: DataFrame, n: int = 2, doc: str = "doc") -> DataFrame:
+    """Texts of the `n` blocks on either side of each picture on its page, in order, then those of the picture's own
+    children (an array column, if there is one) that are not among them; other pictures say nothing."""
+    w = Window.partitionBy(doc, "page").orderBy("pos")
+    near = F.collect_list(F.when(given(F.trim("text")) & (F.col("type") != "picture"), F.trim("text"))).over(w.rowsBetween(-n, n))
+    own = F.filter(F.transform("children", lambda t: F.trim(t)), lambda t: given(t)) if "children" in blocks.columns else F.array().cast("array<string>")
+    rows = blocks.withColumn("near", near).where("type = 'picture'")
+    more = F.coalesce(F.array_except(own, F.col("near")), F.array().cast("array<string>"))
+    return rows.select(doc, "page", "picture_id", F.array_join(F.concat("near", more), "\n").alias("context_text"))
+
+
+def pixel_box(left: Column, top: Column, right: Column, bottom: Column, page_height: Column, image_width: Column, image_height: Column, scale: Column, padding: int = 0) -> Column:
+    """A box in page units as pixels (x0, y0, x1, y1): outward rounding, padding, clamped to the image, never empty.
+
+    Boxes whose top lies above their bottom, counted from the top and within the page, are taken as they are; others count
+    from the page's bottom and are turned over.
+    """
+    down = top.between(0, page_height) & bottom.between(0, page_height) & (top <= bottom)
+    y_low = F.when(down, top).otherwise(page_height - F.greatest(top, bottom))
+    y_high = F.when(down, bottom).otherwise(page_height - F.least(top, bottom))
+    begin = lambda v, most: F.greatest(F.lit(0), F.least(most - 1, F.floor(v * scale) - padding))
+    x0, y0 = begin(F.least(left, right), image_width), begin(y_low, image_height)
+    end = lambda v, most, first: F.greatest(first + 1, F.least(most, F.ceil(v * scale) + padding))
+    box = [x0, y0, end(F.greatest(left, right), image_width, x0), end(y_high, image_height, y0)]
+    return F.array(*[b.cast("int") for b in box])
+
+
+#: Kinds that chunk types of other sources stand for (fixed values).
+CHUNK_TYPES = {"text": "content", "content": "content", "table": "serialized_table", "serialized_table": "serialized_table", "chart": "chart_to_table", "chart_to_table": "chart_to_table"}
+
+
+def chunk_type(value: Column, node_type: Column) -> Column:
+    """Canonical type of a chunk; of parents and children unknown ones are content, else they stay; missing ones are content."""
+    key = F.coalesce(F.lower(F.trim(value)), F.lit(""))
+    out = F.when(node_type.isin("parent", "child") | (key == ""), "content").otherwise(key)
+    for name, kind in CHUNK_TYPES.items():
+        out = F.when(key == name, F.lit(kind)).otherwise(out)
+    return out
 
 
 def context(rows: DataFrame, by: list[str], per_doc: int = 2500, total: int = 8000, mark: str = "...[cut]") -> DataFrame:

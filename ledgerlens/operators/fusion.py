@@ -20,9 +20,20 @@ def minmax(score: Column, by: list[str], digits: int | None = 4) -> Column:
     return out if digits is None else F.round(out, digits)
 
 
+def _united(column: str) -> Column:
+    """Distinct items of arrays, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(column, F.array().cast("array<string>"))))))
+
+
+def _lists(df: DataFrame) -> list[Column]:
+    """What merged rows keep of their parts' child and tag lists, where they have any."""
+    return [_united(c).alias(c) for c in ("children", "tags") if c in df.columns]
+
+
 def rrf(lists: DataFrame, by: list[str], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (by, source, key, rank): sum of 1 / (k + rank), with the sources in name order."""
-    out = lists.groupBy(*by, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    """Reciprocal rank fusion of (by, source, key, rank): sum of 1 / (k + rank), with the sources in name order and, where the
+    lists have them, the children and tags of all."""
+    out = lists.groupBy(*by, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), *_lists(lists))
     return ranked(out, by, F.col("score").desc(), F.col(key))
 
 
@@ -36,6 +47,15 @@ def average_fusion(lists: DataFrame, by: list[str], key: str) -> DataFrame:
     return ranked(out, by, F.col("score").desc(), F.col(key))
 
 
+def hybrid(lists: DataFrame, by: list[str], key: str, queries: DataFrame, text: str, top: int, scope: str = "all") -> DataFrame:
+    """Candidates of all backends (or of "vector" alone) fused; blank questions have none."""
+    if scope not in ("all", "vector_only"):
+        raise ValueError("scope must be all or vector_only")
+    asked = queries.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*by)
+    rows = lists.join(asked, by, "left_semi")
+    return fuse(rows if scope == "all" else rows.where("source = 'vector'"), by, key).where(F.col("rank") <= top)
+
+
 def fuse(lists: DataFrame, by: list[str], key: str, k: int = 60) -> DataFrame:
     """RRF, but a question that only one source answered keeps that source's own scores."""
     alone = lists.groupBy(*by).agg(F.countDistinct("source").alias("n"))
@@ -45,17 +65,20 @@ def fuse(lists: DataFrame, by: list[str], key: str, k: int = 60) -> DataFrame:
 
 
 def parents_of(children: DataFrame, by: list[str], top: int) -> DataFrame:
-    """First `top` parents in order of their best child, from children (by, rank, parent, chunk, score).
+    """First `top` parents in order of their best child, from children (by, rank, parent, chunk, score) and, where there is a
+    column tags, with the tags of all counted children.
 
-    The scan stops at the first child of one parent more: what kept parents have after that is not counted.
+    The scan stops at the first child of one parent more: what kept parents have after that is not counted. Children meet
+    their parents' places by a join, so no group is ordered as a whole but by parent.
     """
     first = children.groupBy(*by, "parent").agg(F.min("rank").alias("first"))
-    order = ranked(first, by, F.col("first"), name="parent_rank")
+    order = ranked(first, by, F.col("first"), top=top + 1, name="parent_rank")
     stop = order.where(F.col("parent_rank") == top + 1).select(*by, F.col("first").alias("stop"))
     kept = children.join(order.where(F.col("parent_rank") <= top), [*by, "parent"]).join(stop, by, "left")
     kept = kept.where(F.col("stop").isNull() | (F.col("rank") < F.col("stop")))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"].cast("string")), ",")
-    return kept.groupBy(*by, "parent", "parent_rank").agg(F.max("score").alias("score"), ids.alias("children"), F.count(F.lit(1)).alias("n_children"))
+    tags = [_united("tags").alias("tags")] if "tags" in children.columns else []
+    return kept.groupBy(*by, "parent", "parent_rank").agg(F.max("score").alias("score"), ids.alias("children"), F.count(F.lit(1)).alias("n_children"), *tags)
 
 
 def best_per_page(rows: DataFrame, by: list[str], page: str, top: int) -> DataFrame:
@@ -65,16 +88,28 @@ def best_per_page(rows: DataFrame, by: list[str], page: str, top: int) -> DataFr
 
 
 def multi_query(lists: DataFrame, by: list[str], key: str, cap: int) -> DataFrame:
-    """Merge several queries' candidates (by, query_no, key, score): best score, the queries that found it, and their number."""
-    merged = lists.groupBy(*by, key).agg(F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_set("query_no")), lambda q: q.cast("string")), ",").alias("queries"), F.countDistinct("query_no").alias("hits"))
-    return ranked(merged, by, F.col("hits").desc(), F.col("score").desc(), F.col(key), top=cap)
+    """Merge several queries' candidates (by, query_no, key, score and, where there are any, source, children, tags): best
+    score, the queries that found it and their number, the sources; by hits, score and number of sources."""
+    sources = [F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.countDistinct("source").alias("n_sources")] if "source" in lists.columns else []
+    merged = lists.groupBy(*by, key).agg(F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_set("query_no")), lambda q: q.cast("string")), ",").alias("queries"), F.countDistinct("query_no").alias("hits"), *sources, *_lists(lists))
+    more = [F.col("n_sources").desc()] if sources else []
+    return ranked(merged, by, F.col("hits").desc(), F.col("score").desc(), *more, F.col(key), top=cap)
+
+
+def merge_queries(lists: DataFrame, by: list[str], key: str, top: int) -> DataFrame:
+    """The same without reranking: the best score of each candidate alone decides."""
+    merged = lists.groupBy(*by, key).agg(F.max("score").alias("score"), *_lists(lists))
+    return ranked(merged, by, F.col("score").desc(), F.col(key), top=top)
 
 
 def reports_of(rows: DataFrame, by: list[str], report: str, bonus: float = 0.02) -> DataFrame:
-    """Group results by report: best score plus a bonus per further piece of evidence, and the first three chunks."""
-    three = F.slice(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), 1, 3)
-    out = rows.groupBy(*by, report).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("evidence"), F.array_join(F.transform(three, lambda x: x["chunk"].cast("string")), ",").alias("chunks"))
-    out = out.withColumn("score", F.round(F.col("best") + bonus * (F.col("evidence") - 1), 4))
+    """Group results by report: best score plus a bonus per further piece of evidence, the first three chunks, and the tags of
+    all where there are any."""
+    tags = [_united("tags").alias("tags")] if "tags" in rows.columns else []
+    out = rows.groupBy(*by, report).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("evidence"), *tags)
+    few = ranked(rows.select(*by, report, "rank", "chunk"), [*by, report], F.col("rank"), top=3, name="__k")
+    few = few.groupBy(*by, report).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "chunk"))), lambda x: x["chunk"].cast("string")), ",").alias("chunks"))
+    out = out.join(few, [*by, report]).withColumn("score", F.round(F.col("best") + bonus * (F.col("evidence") - 1), 4))
     return ranked(out, by, F.col("score").desc(), F.col(report))
 
 

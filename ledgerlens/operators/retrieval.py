@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +29,10 @@ def bm25(index: DataFrame, queries: DataFrame, n_docs: DataFrame, top: int, key:
     map-side combined count per term.
     """
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(n_docs)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = df.crossJoin(F.broadcast(n_docs)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select(query, "term").distinct()
-    idf = idf.join(wanted.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean))
+    idf = idf.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.select("term", "avg_size", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     hits = index.join(wanted.join(idf, "term"), "term")
     part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
@@ -46,15 +49,75 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
-    """Exact cosine top-k. queries (qid, qv) is the small side and is sent to the vectors; ties go to the lower vec_id.
+def per_document_top(scored: DataFrame, by: list[str], doc: str, top: int, *ties: Column) -> DataFrame:
+    """The best results of each document (at least three), then the best of all: a document fills at most max(top, 3) places."""
+    best = ranked(scored, [*by, doc], F.col("score").desc(), *ties, top=max(top, 3), name="doc_rank")
+    return ranked(best, by, F.col("score").desc(), F.col(doc), *ties, top=top)
+
+
+#: Questions and items that meet in one block at a time.
+ASKED, HELD = 2048, 20_000
+
 
-    Spark keeps the best `top` of each question in every task before anything is shuffled.
+def blocked_topk(queries: DataFrame, items: DataFrame, key: str, scores: Callable, top: int, value: str) -> DataFrame:
+    """(qid, key, score, rank): the `top` items of the largest score of every question, ties by key, a question's own key left
+    out. Exact: every question meets every item, in blocks.
+
+    Questions are dealt to blocks of about ASKED, items to blocks of about HELD; every pair of blocks is one group of a
+    cogrouped map, whose size is bounded whatever the tables' sizes, and which returns `top` rows a question. Nothing is
+    broadcast. scores(list of query values, list of item values) gives a matrix.
     """
-    q = queries.select("qid", F.col("qv"), norm(F.col("qv")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(dot(F.col("qv"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 4).alias("score"))
-    return ranked(scored, ["qid"], F.col("score").desc(), F.col("vec_id"), top=top)
+    spark = items.sparkSession
+    nq, ni = queries.count(), items.count()
+    q_blocks, i_blocks = max(1, -(-nq // ASKED)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ni // HELD))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select("qid", F.col(value).alias("v"), deal("qid", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"))
+    i = items.select(F.col(key).cast("long").alias("item"), F.col(value).alias("v"), deal(key, i_blocks).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"qid": [], "item": [], "score": []}).astype({"qid": "int64", "item": "int64"})
+        ids = held["item"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, parts = ids[order], []
+        s = np.round(scores(asked["v"].tolist(), held["v"].iloc[order].tolist()), 4)
+        for row, qid in zip(s, asked["qid"].tolist()):
+            row = np.where(ids == qid, -np.inf, row)
+            keep = np.argsort(-row, kind="stable")[:top]  # ids rise, so ties go to the least
+            keep = keep[row[keep] > -np.inf]
+            parts.append(pd.DataFrame({"qid": qid, "item": ids[keep], "score": row[keep]}))
+        return pd.concat(parts)
+
+    got = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, "qid long, item long, score double")
+    return ranked(got.withColumnRenamed("item", key), ["qid"], F.col("score").desc(), F.col(key), top=top)
+
+
+def cosine_scores(queries: list, items: list) -> np.ndarray:
+    q, x = np.asarray(queries, float).reshape(len(queries), -1), np.asarray(items, float).reshape(len(items), -1)
+    return (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
+
+
+def maxsim_scores(queries: list, items: list) -> np.ndarray:
+    """Late interaction of token matrices: per query token the best inner product with an item's token, summed."""
+    sizes = np.array([len(t) for t in items])
+    tokens = np.concatenate([np.stack([np.asarray(v, float) for v in t]) for t in items])
+    begin = np.cumsum(sizes) - sizes
+    return np.stack([np.maximum.reduceat(np.stack([np.asarray(v, float) for v in q]) @ tokens.T, begin, axis=1).sum(0) for q in queries])
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
+    """Exact cosine top-k of (qid, qv) over (vec_id, embedding); ties go to the lower vec_id."""
+    return blocked_topk(queries.select("qid", F.col("qv").alias("embedding")), vectors, "vec_id", cosine_scores, top, "embedding")
+
+
+def late_topk(queries: DataFrame, documents: DataFrame, key: str, top: int) -> DataFrame:
+    """Exact late-interaction top-k of (qid, tokens) over (key, tokens), tokens being arrays of vectors."""
+    return blocked_topk(queries, documents, key, maxsim_scores, top, "tokens")
+
+
+def content_tokens(tokens: Column, mask: Column) -> Column:
+    """Token vectors without those that a mask (array of 0 and 1) takes out: special and padding tokens."""
+    return F.filter(tokens, lambda _, i: F.coalesce(F.get(mask, i) == 1, F.lit(False)))
 
 
 def fit_cells(vectors: DataFrame, cells: int, sample: int = 4096, rounds: int = 10) -> list[list[float]]:
@@ -83,7 +146,7 @@ def dense_topk_cells(queries: DataFrame, vectors: DataFrame, centroids: list[lis
     cells = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
     near = F.transform(cells, lambda c, i: F.struct(F.aggregate(F.zip_with(F.col("qv"), c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("cell")))
     q = queries.select("qid", "qv", F.explode(F.slice(F.array_sort(near), 1, probes)).alias("n")).select("qid", "qv", F.col("n.cell").alias("cell"))
-    hit = index.join(F.broadcast(q), "cell").where(F.col("vec_id") != F.col("qid"))
+    hit = index.join(q, "cell").where(F.col("vec_id") != F.col("qid"))
     scored = hit.select("qid", "vec_id", F.round(dot(F.col("qv"), F.col("embedding")) / (norm(F.col("qv")) * norm(F.col("embedding"))), 4).alias("score"))
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("vec_id"), top=top)
 
@@ -94,20 +157,36 @@ def sparse_topk(weights: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("doc_id"), top=top)
 
 
+def wanted_terms(docs: DataFrame, tokens: Column, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf) of the terms that some question holds; others are dropped before anything is counted or moved."""
+    rows = docs.select(key, F.explode(tokens).alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def tag_topk(tags: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """Tag overlap: share of a chunk's tags that some query term contains or is contained in.
 
-    tags: (doc_id, tag), queries: (qid, term). The distinct tags, a small vocabulary, are matched with the terms first; the
-    documents then join the matched tags by equality.
+    tags: (doc_id, tag), queries: (qid, term). Distinct tags and distinct terms, two vocabularies, are matched first, both
+    ways, by pieces that they share; the documents then join the matched tags by equality.
     """
-    vocabulary = tags.select("tag").distinct()
-    match = vocabulary.join(F.broadcast(queries.select("qid", "term").distinct()), F.contains("tag", F.col("term")) | F.contains("term", F.col("tag"))).select("qid", "tag", "term").distinct()
+    from .routing import alias_matches
+
+    terms, vocabulary = queries.select("term").distinct(), tags.select("tag").where("tag <> ''").distinct()
+    inside = alias_matches(vocabulary.select(F.col("tag").alias("tag"), F.col("tag").alias("text")), terms.select(F.col("term").alias("alias")), "tag", fold=False).select("tag", F.col("alias").alias("term"))
+    around = alias_matches(terms.select("term", F.col("term").alias("text")), vocabulary.select(F.col("tag").alias("alias")), "term", fold=False).select(F.col("alias").alias("tag"), "term")
+    match = inside.unionByName(around).distinct().join(queries.select("qid", "term").distinct(), "term")
     size = tags.groupBy("doc_id").agg(F.countDistinct("tag").alias("n"))
     hits = tags.distinct().join(match, "tag").groupBy("qid", "doc_id").agg(F.countDistinct("term").alias("hits"))
     scored = hits.join(size, "doc_id").select("qid", "doc_id", F.round(F.col("hits") / F.greatest(F.col("n"), F.lit(1)), 4).alias("score"))
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("doc_id"), top=top)
 
 
+def full_context(pages: DataFrame, questions: DataFrame, doc: str = "doc") -> DataFrame:
+    """Every page of a question's documents, in order, each with the constant score 0.5. questions: (qid, doc)."""
+    rows = pages.join(questions.select("qid", doc), doc).withColumn("score", F.lit(0.5))
+    return ranked(rows, ["qid"], F.col(doc), F.col("page"))
+
+
 def maxsim(query_tokens: Column, doc_tokens: Column) -> Column:
     """Late interaction: for each query token the best inner product with a document token, summed."""
     best = F.transform(query_tokens, lambda q: F.array_max(F.transform(doc_tokens, lambda d: dot(q, d))))

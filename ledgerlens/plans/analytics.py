@@ -11,6 +11,7 @@ from ..operators import curate as K
 from ..operators import evaluate as E
 from ..operators import filters as P
 from ..operators import retrieval as R
+from ..operators import sft as L
 from ..operators import tables as T
 from ..sources import manifests as M
 from ..streaming import events as S
@@ -66,25 +67,60 @@ def adjacent_page_chains(spark, d):
     return T.page_chains(p, "doc").select("doc", "page", F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size"), "role")
 
 
-@register("""SELECT a.l_orderkey AS doc, a.l_linenumber AS "left", b.l_linenumber AS "right",
- round(0.18 + CASE WHEN a.l_returnflag = b.l_returnflag THEN 0.12 ELSE 0.0 END + CASE WHEN a.l_linestatus = b.l_linestatus THEN 0.14 ELSE 0.0 END + CASE WHEN b.l_discount > 0.05 THEN 0.06 ELSE -0.22 END, 4) AS score
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")
+PARTS = """li AS (SELECT l_orderkey AS doc, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS table_id, l_linenumber AS page, l_returnflag, l_linestatus, l_discount, l_tax, l_quantity FROM lineitem),
+e AS (SELECT a.doc, a.page, a.table_id AS "left", b.table_id AS "right", greatest(0.0, least(1.0, 0.18
+  + CASE WHEN 0.6 + a.l_quantity / 100 >= 0.78 AND b.l_tax * 5 <= 0.22 THEN 0.12 WHEN 0.6 + a.l_quantity / 100 >= 0.68 AND b.l_tax * 5 <= 0.30 THEN 0.07 ELSE 0.0 END
+  + CASE WHEN a.l_linestatus = b.l_linestatus THEN 0.14 ELSE 0.0 END
+  + CASE WHEN a.l_returnflag = b.l_returnflag THEN 0.18 ELSE 0.10 END
+  + CASE WHEN a.l_discount > 0.05 AND b.l_discount > 0.05 THEN 0.08 WHEN a.l_discount > 0.05 THEN 0.06 ELSE 0.0 END
+  + CASE WHEN b.l_tax > 0.06 THEN 0.18 ELSE 0.0 END
+  + CASE WHEN a.l_returnflag = 'R' THEN -0.22 WHEN a.l_returnflag <> b.l_returnflag THEN 0.10 ELSE 0.06 END)) AS score
+ FROM li a JOIN li b ON a.doc = b.doc AND b.page = a.page + 1)"""
+
+
+def _parts(spark, d):
+    """Line items as tables: pages are line numbers, boxes, sections, heads and units come from their other columns."""
+    c = F.col
+    last = F.when(c("l_returnflag") == "R", "合计 R").otherwise(c("l_returnflag"))
+    return table(spark, d, "lineitem").select(
+        c("l_orderkey").alias("doc"), _place().alias("table_id"), c("l_linenumber").alias("page"), F.array(F.lit(0.0), c("l_tax") * 5, F.lit(1.0), F.lit(0.6) + c("l_quantity") / 100).alias("bbox"),
+        c("l_linestatus").alias("section_name"), F.lit(None).cast("string").alias("report_section"), F.lit("").alias("section_title"), F.lit(2).alias("ncols"), F.array(F.lit("item"), c("l_returnflag")).alias("col_heads"),
+        F.when(c("l_discount") > 0.05, "万元").alias("unit_hint"), F.when(c("l_tax") > 0.06, "表 （续表）").alias("caption"), F.lit("").alias("markdown"), last.alias("last_row"), last.alias("first_row"), c("l_quantity"),
+    )
+
+
+@register(f"""WITH {PARTS} SELECT doc, "left", "right", round(score, 4) AS score, CASE WHEN round(score, 4) >= 0.62 THEN 'confirmed' ELSE 'candidate' END AS state FROM e WHERE round(score, 4) >= 0.42""")
 def table_edge_scores(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("table_id"), F.col("l_linenumber").alias("page"), "l_returnflag", "l_linestatus", "l_discount")
-    e = T.adjacent_pairs(li, "doc")
-    zero = F.lit(0)
-    score = T.edge_score(F.when(F.col("l.l_returnflag") == F.col("r.l_returnflag"), 2).otherwise(0), F.when(F.col("l.l_linestatus") == F.col("r.l_linestatus"), 1).otherwise(0), zero, zero, zero, F.col("r.l_discount") > 0.05)
-    return e.select("doc", "left", "right", score.alias("score"))
+    return T.table_edges(_parts(spark, d), "doc").drop("page")
 
 
 @register()
 def table_greedy_matching(spark, d):
-    """Greedy one-to-one choice over scored pairs; no SQL form."""
-    li = table(spark, d, "lineitem")
-    a = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("left"), F.col("l_quantity").alias("x"))
-    b = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("right"), F.col("l_quantity").alias("y"))
-    e = a.join(b, "doc").where("left < right").withColumn("score", F.round(1 - F.abs(F.col("x") - F.col("y")) / 50, 4))
-    return T.greedy_pairs(e, "doc")
+    """Greedy one-to-one choice over scored links, page by page; SQL has no form for it, a test compares it with brute force."""
+    return T.greedy_pairs(T.table_edges(_parts(spark, d), "doc"), "doc").drop("page")
+
+
+@register()
+def logical_tables(spark, d):
+    """Chains of chosen links with their members' roles; a test compares them with brute force."""
+    parts = _parts(spark, d)
+    out = T.link_tables(parts, "doc").where("logical_table_id is not null")
+    return out.select("doc", "table_id", "logical_table_id", "place", "role", "continuation_of", "merge_confidence", "materializable")
+
+
+@register("""WITH c AS (SELECT l_orderkey AS doc, l_linenumber AS table_id, CAST(l_suppkey % 5 AS INT) AS row_idx, CAST(l_partkey % 3 AS INT) AS col_idx, CASE WHEN l_discount > 0.07 THEN l_shipmode ELSE NULL END AS u FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) WHERE l_linenumber <= 3),
+k AS (SELECT DISTINCT doc, table_id FROM c), m AS (SELECT doc, table_id, max(row_idx) AS most, arg_min(u, row_idx * 10 + col_idx) FILTER (WHERE u IS NOT NULL) AS cu FROM (SELECT doc, table_id, row_idx, col_idx, min(u) AS u FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+o AS (SELECT *, coalesce(sum(most + 1) OVER w, 0) AS row_offset, CASE WHEN table_id = 2 THEN 'T2' END AS tu FROM m WINDOW w AS (PARTITION BY doc ORDER BY table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, coalesce(max(tu) OVER (PARTITION BY doc), first_value(cu IGNORE NULLS) OVER (PARTITION BY doc ORDER BY table_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS any_unit FROM o)
+SELECT DISTINCT c.doc, c.table_id, c.row_idx, c.col_idx, CAST(c.row_idx + row_offset AS BIGINT) AS logical_row_idx, coalesce(c.u, tu, any_unit) AS unit_hint FROM (SELECT doc, table_id, row_idx, col_idx, min(u) AS u FROM c GROUP BY 1, 2, 3, 4) c JOIN a ON a.doc = c.doc AND a.table_id = c.table_id""")
+def logical_table_rows(spark, d):
+    """Rows of chained tables counted on, units inherited."""
+    c = F.col
+    cells = table(spark, d, "lineitem").where("l_linenumber <= 3").select(c("l_orderkey").alias("doc"), c("l_linenumber").alias("table_id"), (c("l_suppkey") % 5).cast("int").alias("row_idx"), (c("l_partkey") % 3).cast("int").alias("col_idx"), F.when(c("l_discount") > 0.07, c("l_returnflag")).alias("u"))
+    cells = cells.groupBy("doc", "table_id", "row_idx", "col_idx").agg(F.min("u").alias("unit_hint")).withColumn("period", F.lit(None).cast("string")).withColumn("col_head", F.lit("h"))
+    tables = cells.select("doc", "table_id").distinct().select("doc", "table_id", F.lit("logical").alias("logical_table_id"), c("table_id").alias("place"), F.lit(True).alias("materializable"), F.when(c("table_id") == 2, "T2").alias("unit_hint"), F.lit("").alias("period"), F.array(F.lit("h")).alias("col_heads"))
+    out = T.materialize(cells, tables, "doc")
+    return out.select("doc", "table_id", "row_idx", "col_idx", c("logical_row_idx").cast("long").alias("logical_row_idx"), "unit_hint")
 
 
 @register("""WITH li AS (SELECT *, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS part FROM lineitem) SELECT l_orderkey AS doc, part, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_offset,
@@ -95,27 +131,37 @@ def header_inheritance(spark, d):
 
 
 @register("""SELECT p_partkey AS key, s.series, p_brand AS x, CASE s.series WHEN 'size' THEN CAST(p_size AS VARCHAR) ELSE CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END AS raw,
- CASE s.series WHEN 'size' THEN CAST(p_size AS DOUBLE) ELSE floor(p_retailprice) END AS value FROM part, (VALUES ('size'), ('price')) s(series)""")
+ CASE s.series WHEN 'size' THEN CAST(p_size AS DOUBLE) ELSE floor(p_retailprice) END * CASE WHEN p_partkey % 2 = 0 THEN 1e4 ELSE 1.0 END AS value, CASE WHEN p_partkey % 2 = 0 THEN '万元' END AS unit,
+ round(least(0.95, 0.35 + 0.2 + 0.2 + CASE WHEN p_partkey % 2 = 0 THEN 0.15 + 0.05 ELSE 0.0 END + CASE WHEN regexp_matches(CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR), '20[0-9]{2}') THEN 0.05 ELSE 0.0 END + 0.05), 4) AS confidence
+FROM part, (VALUES ('size'), ('price')) s(series)""")
 def chart_unpivot(spark, d):
-    raw = F.concat(F.lit("| x | size | price |\n|---|---|---|\n| "), F.col("p_brand"), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" | "), F.floor("p_retailprice").cast("string"), F.lit(" |"))
-    return T.chart_records(table(spark, d, "part").select(F.col("p_partkey").alias("key"), raw.alias("raw")), "key")
+    raw = F.concat(F.lit("| x | size | price |<0x0A>|---|---|---|\\n| "), F.col("p_brand"), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" | "), F.floor("p_retailprice").cast("string"), F.lit(" |"))
+    charts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), raw.alias("raw"), F.when(F.col("p_partkey") % 2 == 0, "单位：万元").alias("said"))
+    return T.chart_records(charts, "key", around="said").drop("row", "col")
 
 
-@register("""WITH c AS (SELECT o_custkey AS doc, o_orderkey AS table_id, CAST(month(o_orderdate) AS INT) AS page FROM orders)
-SELECT a.doc, a.table_id, count(*) AS n FROM c a JOIN c b ON a.doc = b.doc AND b.page BETWEEN a.page - 1 AND a.page + 1 GROUP BY 1, 2""")
+@register("""WITH t AS (SELECT o_custkey AS doc, o_orderkey AS table_id, CAST(month(o_orderdate) AS INT) AS page FROM orders),
+n AS (SELECT t.doc, t.table_id, substr(string_agg('[' || c.page || '] ' || c.table_id, chr(10) ORDER BY c.page, c.table_id), 1, 40) AS near FROM t JOIN t c ON t.doc = c.doc AND c.page BETWEEN t.page - 1 AND t.page + 1 GROUP BY 1, 2)
+SELECT doc, table_id, 'm' || table_id || chr(10) || 'page ' || page || chr(10) || near AS context FROM n JOIN t USING (doc, table_id)""")
 def nearby_pages(spark, d):
-    c = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("table_id"), F.month("o_orderdate").alias("page"))
-    t = c.select("doc", "table_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"))
-    return t.join(c.select("doc", "page"), ["doc", "page"]).groupBy("doc", "table_id").agg(F.count(F.lit(1)).alias("n"))
+    """What is read around a table: its markdown, its page, and the chunks of the pages beside it, so many characters of them."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("table_id"), F.month("o_orderdate").alias("page"))
+    tables = o.select("doc", "table_id", F.concat(F.lit("m"), F.col("table_id").cast("string")).alias("markdown"), F.lit("").alias("caption"), *[F.lit(None).cast("string").alias(c) for c in ("section_title", "section_name", "report_section")], F.array("page").alias("member_pages"))
+    pages = o.select("doc", "page").distinct().withColumn("text", F.concat(F.lit("page "), F.col("page").cast("string")))
+    chunks = o.select("doc", "page", F.col("table_id").alias("chunk"), F.lit("").alias("section_title"), F.concat(F.lit("["), F.col("page").cast("string"), F.lit("] "), F.col("table_id").cast("string")).alias("text"))
+    return T.table_context(tables, pages, chunks, "doc", 40).select("doc", "table_id", "context")
 
 
-@register("""SELECT doc_id, CAST(nullif(regexp_extract(t, '\\d+(?:\\.\\d+)?', 0), '') AS DOUBLE)
- * CASE WHEN regexp_matches(t, '[-(]\\s*\\d') THEN -1.0 ELSE 1.0 END
- * CASE WHEN regexp_matches(t, '\\d\\s*%') THEN 0.01 WHEN contains(lower(t), 'hundred million') THEN 1e8 WHEN contains(lower(t), 'ten thousand') THEN 1e4 WHEN contains(lower(t), 'billion') THEN 1e9 WHEN contains(lower(t), 'million') THEN 1e6 WHEN contains(lower(t), 'thousand') THEN 1e3 ELSE 1.0 END AS value
-FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '(' || doc_id || '.5) million' WHEN 1 THEN doc_id || ' %' WHEN 2 THEN 'about ' || doc_id || ' thousand' ELSE 'none' END AS t FROM documents)""".replace("\\\\", "\\"))
+NUMBER = r"""CASE WHEN regexp_matches(p, '^\s*[(\-]|[(\-]\s*\d') AND CAST(nullif(regexp_extract(p, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) > 0 THEN -1 ELSE 1 END * CAST(nullif(regexp_extract(p, '-?\d+(?:\.\d+)?'), '') AS DOUBLE)"""
+
+
+@register(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])[,，]([0-9])', '\1\2', 'g'), '([0-9])[,，]([0-9])', '\1\2', 'g') AS p FROM documents),
+v AS (SELECT doc_id, p, {NUMBER} AS v FROM t)
+SELECT doc_id, v AS value, v * CASE WHEN regexp_matches(p, '%|百分点') THEN 1.0 WHEN doc_id % 4 = 0 THEN 1e4 WHEN doc_id % 4 = 1 THEN 1e8 ELSE 1.0 END AS in_yuan FROM v""")
 def numeric_parse_units(spark, d):
-    t = F.expr("CASE doc_id % 4 WHEN 0 THEN '(' || doc_id || '.5) million' WHEN 1 THEN doc_id || ' %' WHEN 2 THEN 'about ' || doc_id || ' thousand' ELSE 'none' END")
-    return table(spark, d, "documents").select("doc_id", X.parse_numeric(t).alias("value"))
+    """The first number of every text, by itself and with a unit that a table would give."""
+    hint = F.expr("CASE doc_id % 4 WHEN 0 THEN '人民币 万元' WHEN 1 THEN '亿港元' WHEN 2 THEN '%' END")
+    return table(spark, d, "documents").select("doc_id", X.parse_numeric(F.col("text")).alias("value"), X.parse_numeric(F.col("text"), hint).alias("in_yuan"))
 
 
 @register("""WITH a AS (SELECT c_mktsegment AS seg, count(DISTINCT CASE WHEN n_name LIKE '%A' AND c_acctbal > 9900 THEN c_custkey END) AS strict, count(DISTINCT CASE WHEN c_acctbal > 9000 THEN c_custkey END) AS relaxed
@@ -126,10 +172,16 @@ def metadata_count(spark, d):
     return A.count_with_fallback(rows, ["seg"], "c_custkey", {"strict": F.col("n_name").like("%A") & (F.col("c_acctbal") > 9900), "relaxed": F.col("c_acctbal") > 9000})
 
 
-@register("SELECT n_name, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS names, count(DISTINCT c_custkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500 GROUP BY 1")
+@register("""WITH q AS (SELECT DISTINCT lower(c_mktsegment) AS label FROM customer), m AS (SELECT label AS question_id, c_custkey AS doc, c_name AS company FROM q JOIN customer ON lower(c_mktsegment) = label
+ UNION SELECT label, c_custkey, c_name FROM q JOIN customer ON c_custkey % 11 = 3 AND contains('big ' || lower(c_mktsegment), label))
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY CAST(doc AS VARCHAR), company) AS place, doc, company FROM m""")
 def metadata_names(spark, d):
-    rows = table(spark, d, "customer").where("c_acctbal > 9500").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_set("c_name")), ",").alias("names"), F.countDistinct("c_custkey").alias("n"))
+    """Names questions: companies whose tags, or label evidence, carry the question's label, one row each."""
+    c = table(spark, d, "customer")
+    questions = c.select(F.lower("c_mktsegment").alias("question_id")).distinct().withColumn("labels", F.array("question_id"))
+    reports = c.select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("company"), F.lit(None).cast("string").alias("code"), F.array("c_mktsegment").alias("tags"))
+    evidence = c.where("c_custkey % 11 = 3").select(F.col("c_custkey").alias("doc"), F.concat(F.lit("big "), F.col("c_mktsegment")).alias("label"))
+    return A.names_of(A.label_matches(questions, reports, evidence)).select("question_id", F.col("place").cast("long").alias("place"), "doc", "company")
 
 
 @register("SELECT c_custkey, o_custkey IS NOT NULL AS member FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
@@ -138,20 +190,22 @@ def metadata_membership(spark, d):
     return table(spark, d, "customer").join(m, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_custkey").isNotNull().alias("member"))
 
 
-@register("""SELECT o_custkey AS question, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'high' WHEN bool_and(o_orderstatus IN ('F', 'O')) THEN 'medium' ELSE 'low' END AS confidence FROM orders GROUP BY 1""")
+@register("""SELECT o_custkey AS question, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'high' WHEN bool_or(o_orderstatus IN ('F', 'O')) THEN 'medium' ELSE 'low' END AS confidence FROM orders GROUP BY 1""")
 def confidence_from_parts(spark, d):
     c = F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "medium").otherwise("low")
     return A.confidence_of_parts(table(spark, d, "orders").select(F.col("o_custkey").alias("question"), c.alias("confidence")), "question")
 
 
-@register("""WITH b AS (SELECT o_orderkey, o_totalprice / 600000 AS best, (o_totalprice % 1000) / 5000 AS margin, o_orderstatus = 'F' AS grounded, o_orderpriority LIKE '1%' AS chart FROM orders),
-c AS (SELECT o_orderkey, CASE WHEN grounded AND best >= 0.45 THEN 3 WHEN chart THEN 2 WHEN best >= 0.8 AND margin >= 0.08 THEN 3 WHEN best >= 0.45 THEN 2 ELSE 1 END AS level, CASE WHEN best < 0.1 THEN 1 ELSE 0 END + CASE WHEN margin < 0.02 THEN 1 ELSE 0 END AS flags FROM b)
-SELECT o_orderkey, CASE greatest(1, level - flags) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
+@register("""WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'N/A' ELSE 'x' END AS answer, o_totalprice / 600000 AS best, o_totalprice / 600000 - (o_totalprice % 1000) / 5000 AS second, o_custkey % 4 AS pages, o_custkey % 3 AS cites,
+ o_orderstatus = 'F' AS tab, o_orderpriority LIKE '1%' AS chart, o_orderkey % 5 = 0 AS flagged, o_orderkey % 17 = 0 AS none FROM orders)
+SELECT o_orderkey, CASE WHEN answer = 'N/A' OR none THEN 'low' WHEN tab AND best >= 0.45 AND pages >= 1 AND NOT flagged THEN 'high' WHEN chart AND best >= 0.45 AND pages >= 1 AND NOT flagged THEN 'medium'
+ WHEN best >= 0.8 AND best - second >= 0.08 AND pages >= 1 AND cites >= pages THEN 'high' WHEN best >= 0.45 AND pages >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM b""")
 def answer_confidence(spark, d):
-    best, margin = F.col("o_totalprice") / 600000, (F.col("o_totalprice") % 1000) / 5000
-    level = A.confidence(best, margin, F.lit(True), F.col("o_orderstatus") == "F", F.col("o_orderpriority").like("1%"))
-    flags = A.validation_flags(weak=best < 0.1, close=margin < 0.02)
-    return table(spark, d, "orders").select("o_orderkey", A.downgrade(level, F.size(flags)).alias("confidence"))
+    c = F.col
+    best = c("o_totalprice") / 600000
+    scores = F.when(c("o_orderkey") % 17 != 0, F.array(best, best - (c("o_totalprice") % 1000) / 5000)).otherwise(F.array().cast("array<double>"))
+    level = A.confidence(F.when(c("o_orderkey") % 13 == 0, "N/A").otherwise("x"), scores, c("o_custkey") % 4, c("o_custkey") % 3, c("o_orderstatus") == "F", c("o_orderpriority").like("1%"), F.when(c("o_orderkey") % 5 == 0, 1).otherwise(0))
+    return table(spark, d, "orders").select("o_orderkey", level.alias("confidence"))
 
 
 @register("SELECT l_orderkey, l_suppkey, max_by(l_quantity, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS l_quantity, min(CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS place FROM lineitem GROUP BY 1, 2")
@@ -168,14 +222,15 @@ def structured_comparison(spark, d):
     return p.select("a", "b", A.compare_values(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("higher"), A.exceeds(F.col("va"), F.lit(5000)).alias("over"))
 
 
-@register("""WITH f AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS r FROM lineitem GROUP BY 1),
-c AS (SELECT l_orderkey AS q, list(l_partkey ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
-SELECT f.q, CAST(len(CASE WHEN c IS NULL THEN [] ELSE list_distinct(c) END) AS BIGINT) AS claimed, CAST(greatest(1, len(list_distinct(coalesce(c, [])))) AS BIGINT) AS kept FROM f LEFT JOIN c USING (q)""")
+@register("""WITH f AS (SELECT l_orderkey AS q, list(l_partkey % 9 ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS r FROM lineitem GROUP BY 1),
+c AS (SELECT l_orderkey AS q, list(l_suppkey % 9 ORDER BY CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem GROUP BY 1),
+g AS (SELECT q, r, list_filter(c, lambda p: list_contains(r, p)) AS good FROM f JOIN c USING (q))
+SELECT q, array_to_string(CASE WHEN len(good) < 1 THEN r[1:1] ELSE good[1:8] END, ',') AS pages FROM g""")
 def page_repair(spark, d):
-    li = table(spark, d, "lineitem")
-    order = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(_place().alias("p"), "l_partkey")))), lambda x: x["l_partkey"])
-    g = li.groupBy(F.col("l_orderkey").alias("q")).agg(order(F.lit(True)).alias("r"), order(F.col("l_discount") > 0.05).alias("c"))
-    return g.select("q", F.size(F.array_distinct("c")).cast("long").alias("claimed"), F.size(A.repair_pages(F.col("c"), F.col("r"))).cast("long").alias("kept"))
+    """Claimed pages that were retrieved, repeats and all; the best retrieved one where none is."""
+    order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(_place().alias("p"), (F.col(c) % 9).alias("v")))), lambda x: x["v"])
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(order("l_partkey").alias("r"), order("l_suppkey").alias("c"))
+    return g.select("q", F.array_join(A.repair_pages(F.col("c"), F.col("r")).cast("array<string>"), ",").alias("pages"))
 
 
 @register("""SELECT coalesce(lang, 'all') AS kind, count(*) AS n, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 4) AS long_rate, round(avg(CAST(quality AS DOUBLE)), 4) AS quality
@@ -194,69 +249,94 @@ g AS (SELECT qid, v.vec_id FROM q JOIN embeddings v ON q.label = v.label AND v.v
 def _ranked_gold(spark, d):
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
-    gold = v.select("vec_id", "label").join(F.broadcast(q.select("qid", "label")), "label").where("vec_id <> qid").select("qid", "vec_id")
-    return R.dense_topk(q, v, 10), gold
+    return R.dense_topk(q, v, 10), q, v
 
 
 @register(f"""WITH {RANKED}, h AS (SELECT r.qid, count(*) AS hits FROM r JOIN g ON r.qid = g.qid AND r.vec_id = g.vec_id WHERE rank <= 10 GROUP BY 1),
 n AS (SELECT qid, count(*) AS gold FROM g GROUP BY 1)
 SELECT n.qid, round(coalesce(hits, 0) / gold, 4) AS recall, round(coalesce(hits, 0) / 10, 4) AS precision, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS hit FROM n LEFT JOIN h USING (qid)""")
 def recall_precision_at_k(spark, d):
-    found, gold = _ranked_gold(spark, d)
-    return E.ranked_measures(found, gold, "qid", "vec_id", 10)
+    """A question's gold is every other vector of its label: it is counted by label, never listed."""
+    found, hits, gold = _hits(spark, d)
+    out = gold.join(hits, "qid", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return out.where("gold > 0").select("qid", F.round(F.col("hits") / F.col("gold"), 4).alias("recall"), F.round(F.col("hits") / 10, 4).alias("precision"), F.when(F.col("hits") > 0, 1.0).otherwise(0.0).alias("hit"))
+
+
+def _hits(spark, d):
+    found, q, v = _ranked_gold(spark, d)
+    near = found.select("qid", "vec_id").join(v.select("vec_id", F.col("label").alias("l")), "vec_id").join(q.select("qid", "label"), "qid")
+    hits = near.where("l = label").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+    gold = q.select("qid", "label").join(v.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("qid", (F.col("n") - 1).alias("gold"))
+    return found, hits, gold
 
 
 @register(f"""WITH {RANKED} SELECT count(*) AS gold, count(r.vec_id) AS hits, round(count(r.vec_id) / count(*), 4) AS micro_recall
 FROM g LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.qid = g.qid AND r.vec_id = g.vec_id""")
 def micro_recall_levels(spark, d):
-    found, gold = _ranked_gold(spark, d)
-    j = gold.join(found.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
-    return j.agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("hits"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("micro_recall"))
+    found, hits, gold = _hits(spark, d)
+    total = gold.join(hits, "qid", "left").agg(F.sum("gold").alias("gold"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    return total.select("gold", "hits", E.ratio(F.col("hits"), F.col("gold")).alias("micro_recall"))
 
 
-PAIRS = r"p AS (SELECT doc_id, item_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"
+PAIRS = r"p AS (SELECT doc_id, item_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
+WORDS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[\s\x1c-\x1f]+', ' ', 'g')), '[\s,;|/]+'), lambda t: t <> '')"
 
 
 def _pairs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("a")).join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), F.col("doc_id") % 40 == F.col("item_id"))
+    """Every document with an item, every item with documents: items are dealt out by number."""
+    b = table(spark, d, "benchmark")
+    n = b.count()
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("a")).join(b.select("item_id", F.col("text").alias("b")), F.col("doc_id") % n == F.col("item_id"))
 
 
-@register(rf"""WITH {PAIRS}, l AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}]+')) AS t FROM p) GROUP BY 1, 2),
-r AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(b), '[\p{{L}}\p{{N}}]+')) AS t FROM p) GROUP BY 1, 2),
+@register(rf"""WITH {PAIRS}, l AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('a')}) AS t FROM p) GROUP BY 1, 2),
+r AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('b')}) AS t FROM p) GROUP BY 1, 2),
 s AS (SELECT doc_id, sum(least(l.n, r.n)) AS same FROM l JOIN r USING (doc_id, t) GROUP BY 1),
-z AS (SELECT doc_id, len(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}]+')) + len(regexp_extract_all(lower(b), '[\p{{L}}\p{{N}}]+')) AS n FROM p)
-SELECT doc_id, round(CASE WHEN n > 0 THEN 2 * coalesce(same, 0) / n ELSE 0.0 END, 4) AS f1 FROM z LEFT JOIN s USING (doc_id)""")
+z AS (SELECT doc_id, len({WORDS.format('a')}) + len({WORDS.format('b')}) AS n FROM p)
+SELECT doc_id, round(CASE WHEN n > 0 THEN 2 * coalesce(same, 0) / n ELSE 1.0 END, 4) AS f1 FROM z LEFT JOIN s USING (doc_id)""")
 def token_f1(spark, d):
-    return E.token_f1(_pairs(spark, d), ["doc_id"], X.tokens(F.col("a")), X.tokens(F.col("b")))
+    """Answers of any length against short ones: both sides' tokens are sorted lists, compared within the row."""
+    rows = _pairs(spark, d).select("doc_id", E.token_list(F.col("a")).alias("x"), E.token_list(F.col("b")).alias("y"))
+    return rows.select("doc_id", E.multiset_f1(F.col("x"), F.col("y")).alias("f1"))
+
+
+FREE = r"regexp_replace(trim(regexp_replace(lower({}), '[\s\x1c-\x1f]+', ' ', 'g')), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')"
 
 
-@register(rf"""WITH {PAIRS}, g AS (SELECT doc_id, list_distinct(list_transform(range(1, length(substr(a, 1, 200)) - 1), lambda i: substr(a, i, 3))) AS x, list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) AS y FROM p)
-SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0.0 END, 4) AS jaccard,
- round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0.0 END, 4) AS containment FROM g""")
+@register(rf"""WITH {PAIRS}, f AS (SELECT doc_id, {FREE.format('a')} AS a, {FREE.format('b')} AS b FROM p),
+x AS (SELECT DISTINCT doc_id, substr(a, i, 2) AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(length(a), 2))) AS i FROM f WHERE a <> '')),
+y AS (SELECT DISTINCT doc_id, substr(b, i, 2) AS g FROM (SELECT doc_id, b, unnest(range(1, greatest(length(b), 2))) AS i FROM f WHERE b <> '')),
+c AS (SELECT doc_id, sum(nx) AS nx, sum(ny) AS ny, sum(nb) AS nb FROM (SELECT doc_id, count(*) AS nx, 0 AS ny, 0 AS nb FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, count(*), 0 FROM y GROUP BY 1 UNION ALL SELECT doc_id, 0, 0, count(*) FROM x JOIN y USING (doc_id, g) GROUP BY 1) GROUP BY 1)
+SELECT doc_id, round(CASE WHEN nx + ny > nb THEN nb / (nx + ny - nb) ELSE 0.0 END, 4) AS jaccard, round(CASE WHEN least(nx, ny) > 0 THEN nb / least(nx, ny) ELSE 0.0 END, 4) AS containment FROM f JOIN c USING (doc_id)""")
 def ngram_jaccard(spark, d):
-    x, y = F.array_distinct(X.char_ngrams(F.substring("a", 1, 200), 3)), F.array_distinct(X.char_ngrams(F.col("b"), 3))
-    return _pairs(spark, d).select("doc_id", F.round(X.jaccard(x, y), 4).alias("jaccard"), F.round(X.containment(x, y), 4).alias("containment"))
+    """Character bigrams of whole texts without signs: one linear pass a text, sets compared within the row."""
+    rows = _pairs(spark, d).select("doc_id", E.free_text(F.col("a")).alias("a"), E.free_text(F.col("b")).alias("b"))
+    rows = rows.select("doc_id", F.array_distinct(X.char_ngrams(F.col("a"), 2)).alias("x"), F.array_distinct(X.char_ngrams(F.col("b"), 2)).alias("y"))
+    return rows.select("doc_id", F.round(X.jaccard(F.col("x"), F.col("y")), 4).alias("jaccard"), F.round(X.containment(F.col("x"), F.col("y")), 4).alias("containment"))
 
 
 @register()
 def sequence_similarity(spark, d):
-    """Ratcliff-Obershelp ratios of documents' and items' beginnings; no SQL form."""
-    return _pairs(spark, d).select("doc_id", F.round(X.sequence_ratio(F.substring("a", 1, 200), F.substring("b", 1, 200)), 4).alias("ratio"))
+    """Ratcliff-Obershelp ratios of whole documents and items; no SQL form, a test compares it with the library's."""
+    return _pairs(spark, d).select("doc_id", E.sequence_similarity(F.col("a"), F.col("b")).alias("ratio"))
 
 
-@register(rf"""WITH {PAIRS}, k AS (SELECT doc_id, lower(a) AS a, list_distinct(regexp_extract_all(lower(b), '[\p{{L}}\p{{N}}]{{5,}}')) AS kw FROM p)
-SELECT doc_id, CASE WHEN len(kw) > 0 THEN round(len(list_filter(kw, lambda w: contains(a, w))) / len(kw), 4) END AS coverage FROM k""")
+@register(rf"""WITH {PAIRS}, k AS (SELECT doc_id, regexp_replace(lower(a), '\s+', '', 'g') AS a, list_distinct(list_concat([lower(regexp_replace(substr(b, 1, 9), '\s+', '', 'g')), CAST(2000 + item_id % 30 AS VARCHAR), '万元'], CASE item_id % 2 WHEN 0 THEN ['cny', '人民币', 'rmb'] ELSE ['usd', '美元'] END)) AS kw FROM p)
+SELECT doc_id, round(len(list_filter(list_filter(kw, lambda w: length(w) > 1), lambda w: contains(a, w))) / len(list_filter(kw, lambda w: length(w) > 1)), 4) AS coverage FROM k""")
 def keyword_coverage(spark, d):
-    kw = F.array_distinct(F.regexp_extract_all(F.lower("b"), F.lit(r"[\p{L}\p{N}]{5,}"), F.lit(0)))
-    return _pairs(spark, d).select("doc_id", E.coverage(F.col("a"), kw).alias("coverage"))
+    """Keywords built from what an item is about (name, year, unit, currency and its other names), sought in whole texts."""
+    none = F.lit(None).cast("string")
+    kw = E.expected_keywords(F.substring("b", 1, 9), none, (2000 + F.col("item_id") % 30).cast("string"), none, none, F.lit("万元"), none, F.when(F.col("item_id") % 2 == 0, "CNY").otherwise("USD"))
+    rows = _pairs(spark, d).select("doc_id", E.joined_text(F.col("a")).alias("a"), kw.alias("kw"))
+    return rows.select("doc_id", E.coverage(F.col("a"), F.col("kw")).alias("coverage"))
 
 
-@register("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN a.p_retailprice = b.p_retailprice THEN 1.0 ELSE greatest(0.0, 1 - abs(a.p_retailprice - b.p_retailprice) / greatest(abs(a.p_retailprice), abs(b.p_retailprice))) END, 4) AS similarity
+@register("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN abs(a.p_retailprice - b.p_retailprice) <= greatest(1e-9 * greatest(abs(a.p_retailprice), abs(b.p_retailprice)), 1e-9) THEN 1.0 ELSE round(greatest(0.0, 1 - abs(a.p_retailprice - b.p_retailprice) / greatest(abs(b.p_retailprice), 1.0)), 4) END AS similarity
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def numeric_similarity(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_retailprice")
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("v"))
-    return p.join(q, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.round(X.numeric_similarity(F.col("p_retailprice"), F.col("v")), 4).alias("similarity"))
+    return p.join(q, "p_partkey").select(F.col("p_partkey").alias("a"), "b", X.numeric_similarity(F.col("p_retailprice"), F.col("v")).alias("similarity"))
 
 
 @register("""WITH j AS (SELECT doc_id, CAST(quality AS DOUBLE) AS q, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(1 - toxic AS DOUBLE) END AS t, CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.5 END AS l FROM documents LEFT JOIN labels USING (doc_id))
@@ -273,11 +353,14 @@ def latency_percentiles(spark, d):
     return E.latency_summary(table(spark, d, "events"), ["event_type"], "value")
 
 
-@register("""WITH s AS (SELECT event_id, CASE WHEN value IS NULL THEN 'missing' WHEN value > 200 THEN 'slow' WHEN event_type = 'click' THEN 'click' ELSE 'ok' END AS stage FROM events),
+@register("""WITH s AS (SELECT event_id, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'routing' WHEN 1 THEN 'parse' ELSE 'generation' END WHEN event_id % 7 = 0 THEN 'validation' WHEN event_id % 5 = 0 OR user_id % 4 = 0 THEN 'retrieval' WHEN lower(trim(event_type)) <> 'view' THEN 'generation' ELSE 'correct' END AS stage FROM events),
 f AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY event_id) AS k FROM s)
-SELECT stage, count(*) AS n, string_agg(CASE WHEN k <= 3 THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id) AS examples FROM f GROUP BY 1""")
+SELECT stage, count(*) AS n, string_agg(CASE WHEN k <= 3 AND stage <> 'correct' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id) AS examples FROM f GROUP BY 1""")
 def error_stage_counts(spark, d):
-    stage = F.when(F.col("value").isNull(), "missing").when(F.col("value") > 200, "slow").when(F.col("event_type") == "click", "click").otherwise("ok")
+    """Where cases went wrong, by the classifier's rules, with first examples."""
+    c = F.col
+    error = F.when(c("event_type") == "error", F.element_at(F.array(F.lit("No Company name found"), F.lit("could not parse the PDF"), F.lit("timeout")), (c("event_id") % 3 + 1).cast("int")))
+    stage = E.error_stage(error, F.when(c("event_id") % 7 == 0, F.array(F.lit("currency_mismatch"))), F.when(c("event_id") % 5 == 0, 0).otherwise(2), c("user_id") % 4, c("event_type"), F.lit(" View"))
     return E.error_stages(table(spark, d, "events"), stage, "event_id")
 
 
@@ -286,16 +369,20 @@ def strata_histogram(spark, d):
     return E.strata(table(spark, d, "documents"), lang=F.col("lang"), source=F.col("source"))
 
 
-@register("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'answer_only' WHEN l.doc_id IS NULL THEN 'question_only' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+@register("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'answer_only' WHEN l.doc_id IS NULL THEN 'question_only' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT doc_id FROM labels UNION SELECT -1 - doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""")
 def dataset_alignment(spark, d):
-    return E.alignment(table(spark, d, "documents").where("doc_id % 2 = 0"), table(spark, d, "labels"), "doc_id")
+    known = table(spark, d, "labels")
+    extra = known.select("doc_id").unionByName(known.where("toxic = 1").select((-1 - F.col("doc_id")).alias("doc_id")))
+    return E.alignment(table(spark, d, "documents"), extra, "doc_id")
 
 
-@register(r"""WITH n AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark)), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents WHERE doc_id % 2 = 0)
-SELECT t AS name FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w = t)""")
+@register("""WITH n AS (SELECT item_id, substr(text, 5, 14) AS name, substr(text, 2, 4) AS code FROM benchmark),
+h AS (SELECT item_id FROM n JOIN documents d ON contains(d.text, n.name) OR contains(d.text, n.code) GROUP BY 1)
+SELECT item_id FROM n WHERE item_id NOT IN (SELECT item_id FROM h)""".replace("substr(text, 2, 4) AS code", "CASE WHEN item_id % 2 = 0 THEN substr(text, 3, 9) ELSE '' END AS code").replace("contains(d.text, n.code)", "(n.code <> '' AND contains(d.text, n.code))"))
 def holdout_anti_join(spark, d):
-    names = table(spark, d, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("name")).distinct()
-    return K.holdout(names, table(spark, d, "documents").where("doc_id % 2 = 0"), "name", "text")
+    """Items neither whose name nor whose code any document holds, inside words too."""
+    names = table(spark, d, "benchmark").select("item_id", F.substring("text", 5, 14).alias("name"), F.when(F.col("item_id") % 2 == 0, F.substring("text", 3, 9)).alias("code"))
+    return K.holdout(names, table(spark, d, "documents"), "item_id", ["name", "code"]).select("item_id")
 
 
 @register("""WITH h AS (SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(sha1('v1::' || doc_id), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT))), lambda s, x: (s * 16 + x) % 1000000) AS h FROM documents)
@@ -311,9 +398,10 @@ def stratified_mix(spark, d):
     return K.mix(rows, "grp", "doc_id", 20).select("grp", "doc_id", F.col("pick").cast("long").alias("pick"))
 
 
-@register("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents")
+@register("""WITH t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT lang, doc_id, turn, row_number() OVER (ORDER BY turn, lang) AS place FROM t""")
 def round_robin(spark, d):
-    return K.round_robin(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id").select("lang", "doc_id", F.col("turn").cast("long").alias("turn"))
+    out = K.round_robin(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id")
+    return out.select("lang", "doc_id", F.col("turn").cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
 
 
 @register("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
@@ -323,28 +411,44 @@ def rotated_take(spark, d):
     return out.select("o_custkey", "o_orderkey", F.col("turn").cast("long").alias("turn"))
 
 
-@register("""WITH n AS (SELECT s_nationkey, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 2 AS pair FROM supplier)
-SELECT s_nationkey, CAST(pair AS BIGINT) AS pair, min(s_suppkey) AS first, max(s_suppkey) AS second FROM n GROUP BY 1, 2 HAVING count(*) = 2""")
+@register("""WITH g AS (SELECT s_nationkey % 5 AS region, s_nationkey, s_suppkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+a AS (SELECT i // 2 AS pair, min(s_suppkey) AS first, max(s_suppkey) AS second, 0 AS level FROM g WHERE NOT (n % 2 = 1 AND i = n - 1) GROUP BY region, s_nationkey, i // 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY s_suppkey) - 1 AS j, count(*) OVER (PARTITION BY region) AS m FROM g WHERE n % 2 = 1 AND i = n - 1)
+SELECT first, second, level FROM a UNION ALL SELECT min(s_suppkey), max(s_suppkey), 1 FROM l WHERE NOT (m % 2 = 1 AND j = m - 1) GROUP BY region, j // 2""")
 def pair_reports(spark, d):
-    return K.pair_up(table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey", "s_suppkey").select("s_nationkey", F.col("pair").cast("long").alias("pair"), "first", "second")
+    """Neighbours within a nation, then those left over within a coarser group."""
+    s = table(spark, d, "supplier").withColumn("region", F.col("s_nationkey") % 5)
+    return K.pair_up(s, ["region", "s_nationkey"], ["s_suppkey"], "s_suppkey", ["region"]).select("first", "second", "level")
 
 
-LABELLED = "lb AS (SELECT l_orderkey AS q, l_linenumber AS cand, CASE WHEN l_extendedprice / 100000 >= 0.85 AND l_linenumber <= 3 AND l_discount > 0.05 THEN 2 WHEN l_extendedprice / 100000 >= 0.55 OR l_discount > 0.05 THEN 1 ELSE 0 END AS label FROM lineitem)"
+LABELLED = """c AS (SELECT l_orderkey AS q, l_suppkey % 4 AS doc, l_linenumber AS page, l_extendedprice / 100000 AS score, CAST(l_partkey % 6 AS INT) AS rnk, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS cand FROM lineitem),
+e AS (SELECT o_orderkey AS q, o_custkey % 4 AS doc, CAST(1 + o_custkey % 7 AS INT) AS page, CASE o_orderkey % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'citation' ELSE 'grounding' END AS kind FROM orders),
+f AS (SELECT c.*, e.kind, e.doc = c.doc AND e.page = c.page AS hit, e.kind <> 'citation' AND e.doc = c.doc AND abs(e.page - c.page) <= 1 AS near, e.doc = c.doc AND e.kind <> 'citation' OR c.doc = 0 AS own FROM c LEFT JOIN e USING (q)),
+g AS (SELECT q, cand, score, rnk, coalesce(hit, false) AS two, coalesce(hit AND kind <> 'citation', false) AS ans, coalesce(hit AND kind = 'citation', false) AS cit, coalesce(hit AND kind = 'grounding', false) AS gr, coalesce(near, false) AND NOT coalesce(hit, false) AS one, coalesce(own, doc = 0) AS own, doc FROM f),
+lb AS (SELECT q, cand, CASE WHEN two THEN 2 WHEN one OR (score >= 0.85 AND rnk <= 3) OR score >= 0.55 THEN 1 ELSE 0 END AS label,
+ concat_ws(',', CASE WHEN ans THEN 'answer_relevant_page' END, CASE WHEN cit THEN 'citation_hit' END, CASE WHEN gr THEN 'table_grounding_hit' END, CASE WHEN one THEN 'answer_neighbor_page' END,
+  CASE WHEN NOT two AND ((score >= 0.85 AND rnk <= 3) OR (NOT one AND score >= 0.55)) THEN 'teacher_reranker' END, CASE WHEN NOT two AND NOT one AND score < 0.55 AND own THEN 'hard_negative_same_report' END, CASE WHEN NOT two AND NOT one AND score < 0.55 THEN 'teacher_reranker_low' END) AS sources FROM g)"""
 
 
 def _labelled(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("cand"), K.hard_label(F.col("l_extendedprice") / 100000, F.col("l_linenumber"), F.col("l_discount") > 0.05).alias("label"))
+    c = F.col
+    cand = table(spark, d, "lineitem").select(c("l_orderkey").alias("query_id"), (c("l_suppkey") % 4).alias("doc"), c("l_linenumber").alias("page"), (c("l_extendedprice") / 100000).alias("teacher_score"), (c("l_partkey") % 6).cast("int").alias("teacher_rank"), F.lit("number").alias("schema"), _place().alias("cand"))
+    kind = F.when(c("o_orderkey") % 3 == 0, "answer").when(c("o_orderkey") % 3 == 1, "citation").otherwise("grounding")
+    evidence = table(spark, d, "orders").select(c("o_orderkey").alias("query_id"), kind.alias("kind"), (c("o_custkey") % 4).alias("doc"), (1 + c("o_custkey") % 7).cast("int").alias("page"))
+    about = cand.select("query_id").distinct().withColumn("doc", F.lit(0).cast("long"))
+    return L.hard_labels(cand, evidence, about).select(c("query_id").alias("q"), "cand", "label", F.array_join("label_source", ",").alias("sources"))
 
 
-@register(f"WITH {LABELLED} SELECT q, cand, label FROM lb")
+@register(f"WITH {LABELLED} SELECT q, cand, label, sources FROM lb")
 def hard_labels(spark, d):
+    """Candidates labelled by evidence, pages beside it, and the teacher."""
     return _labelled(spark, d)
 
 
-@register(f"""WITH {LABELLED}, g AS (SELECT q FROM lb GROUP BY q HAVING sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) >= 0 AND sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) >= 1 AND sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) >= 2)
-SELECT q, cand, label FROM lb JOIN g USING (q)""")
+@register(f"""WITH {LABELLED}, good AS (SELECT q FROM lb GROUP BY q HAVING sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) >= 1 AND sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) >= 3)
+SELECT q, cand, label FROM lb JOIN good USING (q)""")
 def quality_gate(spark, d):
-    return K.quality_gate(_labelled(spark, d), "q", 1, 2)
+    return K.quality_gate(_labelled(spark, d), "q").select("q", "cand", "label")
 
 
 @register("SELECT l_orderkey AS q, l_linenumber AS cand, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS teacher_rank FROM lineitem")
@@ -425,6 +529,8 @@ def text_normal_forms(spark, d):
     return table(spark, d, "documents").select("doc_id", X.contains_cjk(F.col("text")).alias("cjk"), F.length(X.compact_text(F.col("text"))).cast("long").alias("chars"))
 
 
-@register("""SELECT c_custkey, regexp_matches(c_name, '^[\\s(+\\-]*[\\d,]+$') AS by_name, regexp_matches(CAST(c_custkey AS VARCHAR), '^\\d+$') AS by_key FROM customer""".replace("\\\\", "\\"))
+@register(r"""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '(' || c_acctbal || ')' WHEN 1 THEN c_acctbal || ' 万元' WHEN 2 THEN c_acctbal || '%' WHEN 3 THEN '2024年' WHEN 4 THEN c_name ELSE '1,234.5，' END AS raw FROM customer)
+SELECT c_custkey, c_custkey % 6 IN (0, 1) AS plain, c_custkey % 6 IN (0, 1, 2) AS percent FROM t""".replace("c_custkey % 6 IN (0, 1) AS plain", r"regexp_matches(raw, '^\s*\(?\s*[-+]?\d[\d,，]*(?:\.\d+)?\s*\)?\s*(?:元|万元)?\s*$') AND NOT contains(raw, '年') AS plain").replace("c_custkey % 6 IN (0, 1, 2) AS percent", r"regexp_matches(raw, '^\s*\(?\s*[-+]?\d[\d,，]*(?:\.\d+)?\s*\)?\s*(?:%|元|万元)?\s*$') AND NOT contains(raw, '年') AS percent"))
 def numeric_cell_predicate(spark, d):
-    return table(spark, d, "customer").select("c_custkey", P.is_numeric_cell(F.col("c_name")).alias("by_name"), P.is_numeric_cell(F.col("c_custkey").cast("string")).alias("by_key"))
+    raw = F.expr("CASE c_custkey % 6 WHEN 0 THEN '(' || c_acctbal || ')' WHEN 1 THEN c_acctbal || ' 万元' WHEN 2 THEN c_acctbal || '%' WHEN 3 THEN '2024年' WHEN 4 THEN c_name ELSE '1,234.5，' END")
+    return table(spark, d, "customer").select("c_custkey", P.is_numeric_cell(raw).alias("plain"), P.is_numeric_cell(raw, F.lit("占比%")).alias("percent"))

@@ -26,13 +26,21 @@ def register(sql=None):
     return add
 
 
+def norm_sql(x):
+    """normalize_text() for texts that the compatibility normal form leaves alone."""
+    flat = f"translate(coalesce({x}, ''), '’–—（）：；，' || chr(160), chr(39) || '--():;, ')"
+    commas = f"regexp_replace(regexp_replace({flat}, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g')"
+    return f"trim(regexp_replace(replace(lower({commas}), '%', ' % '), '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
+
+
+INDEX = f"list_distinct(regexp_extract_all({norm_sql('text')}, '[a-z0-9]+(?:[./_-][a-z0-9]+)?'))"
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 BM25 = rf"""
-ix AS (SELECT doc_id, list_distinct({TOK}) AS terms FROM documents WHERE text IS NOT NULL),
+ix AS (SELECT doc_id, {INDEX} AS terms FROM documents WHERE text IS NOT NULL),
 po AS (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM ix),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS avg_size FROM ix),
-qt AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
+qt AS (SELECT DISTINCT item_id, unnest({INDEX}) AS term FROM benchmark),
 df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 i0 AS (SELECT term, avg_size, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st),
 mi AS (SELECT avg(idf) AS m FROM i0),
@@ -44,9 +52,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 def _bm25(spark, d, top):
     docs, items = table(spark, d, "documents").where("text is not null"), table(spark, d, "benchmark")
-    index = R.postings(docs, X.tokens(F.col("text")))
-    size = docs.select(F.size(F.array_distinct(X.tokens(F.col("text")))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("avg_size"))
-    terms = items.select("item_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    # texts are tokenised once: sizes, document frequencies and scores come from one table of terms
+    index = R.postings(docs, X.index_tokens(F.col("text")))
+    size = docs.select(F.size(X.index_tokens(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("avg_size"))
+    terms = items.select("item_id", F.explode(X.index_tokens(F.col("text"))).alias("term"))
     return R.bm25(index, terms, size, top)
 
 
@@ -57,7 +66,7 @@ def bm25_topk(spark, d):
 
 TAGS = rf"""
 tg AS (SELECT doc_id, lower(lang) AS tag FROM documents UNION SELECT doc_id, lower(source) FROM documents),
-tq AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'src1' ELSE 'de' END AS term FROM benchmark WHERE item_id < 8),
+tq AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'src1' ELSE 'de' END AS term FROM benchmark),
 ma AS (SELECT DISTINCT qid, tag, term FROM (SELECT DISTINCT tag FROM tg) v, tq WHERE contains(tag, term) OR contains(term, tag)),
 sz AS (SELECT doc_id, count(DISTINCT tag) AS n FROM tg GROUP BY doc_id),
 ts AS (SELECT qid, tg.doc_id, count(DISTINCT term) AS hits FROM tg JOIN ma ON tg.tag = ma.tag GROUP BY qid, tg.doc_id),
@@ -66,7 +75,7 @@ tr AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY s
 
 
 def _tags(spark, d, top):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id < 8")
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     tags = docs.select("doc_id", F.explode(F.array(F.lower("lang"), F.lower("source"))).alias("tag"))
     term = F.expr("CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'src1' ELSE 'de' END")
     return R.tag_topk(tags, items.select(F.col("item_id").alias("qid"), term.alias("term")), top)
@@ -78,14 +87,14 @@ def tag_overlap_topk(spark, d):
 
 
 @register(f"""WITH {BM25}, {TAGS},
-li AS (SELECT item_id AS qid, 'bm25' AS source, doc_id, rank FROM rk WHERE rank <= 20 AND item_id < 8
+li AS (SELECT item_id AS qid, 'bm25' AS source, doc_id, rank FROM rk WHERE rank <= 20
        UNION ALL SELECT qid, 'tag', doc_id, rank FROM tr WHERE rank <= 20),
 fu AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM li GROUP BY qid, doc_id),
 fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fu)
 SELECT qid, doc_id, score, sources, rank FROM fr WHERE rank <= 5""")
 def rrf_fusion(spark, d):
     """Flagship: which documents best answer each question, by lexical and tag evidence fused."""
-    a = _bm25(spark, d, 20).where("item_id < 8").select(F.col("item_id").alias("qid"), F.lit("bm25").alias("source"), "doc_id", "rank")
+    a = _bm25(spark, d, 20).select(F.col("item_id").alias("qid"), F.lit("bm25").alias("source"), "doc_id", "rank")
     b = _tags(spark, d, 20).select("qid", F.lit("tag").alias("source"), "doc_id", "rank")
     out = U.rrf(a.unionByName(b), ["qid"], "doc_id").where("rank <= 5")
     return out.select("qid", "doc_id", F.col("score").cast("double").alias("score"), "sources", F.col("rank").cast("long").alias("rank"))
@@ -155,36 +164,36 @@ def dense_topk_by_cell(spark, d):
 
 
 @register("""WITH g AS (SELECT vec_id // 4 AS gid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-q AS (SELECT * FROM g WHERE gid < 5),
+q AS (SELECT * FROM g WHERE gid % 25 = 0),
 b AS (SELECT q.gid AS qid, g.gid AS doc, q.vec_id, max(list_dot_product(q.e, g.e)) AS best FROM q, g WHERE g.gid <> q.gid GROUP BY 1, 2, 3),
 s AS (SELECT qid, doc, round(sum(best), 4) AS score FROM b GROUP BY qid, doc)
 SELECT qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 5""")
 def late_interaction_maxsim(spark, d):
+    """Documents of four token vectors; questions are the documents that hold a vector whose id is divisible by 100."""
     g = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("gid"), "vec_id", "embedding").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
-    g = g.select("gid", F.col("m.embedding").alias("tokens"))
-    q = g.where("gid < 5").select(F.col("gid").alias("qid"), F.col("tokens").alias("q"))
-    s = g.join(F.broadcast(q), F.col("gid") != F.col("qid")).select("qid", F.col("gid").alias("doc"), F.round(R.maxsim(F.col("q"), F.col("tokens")), 4).alias("score"))
-    return R.ranked(s, ["qid"], F.col("score").desc(), F.col("doc"), top=5).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
+    g = g.select(F.col("gid").alias("doc"), F.col("m.embedding").alias("tokens"))
+    out = R.late_topk(g.where("doc % 25 = 0").withColumnRenamed("doc", "qid"), g, "doc", 5)
+    return out.select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
 t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
-q AS (SELECT item_id AS qid, term, count(*) AS qw FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 10) GROUP BY 1, 2),
+q AS (SELECT item_id AS qid, term, count(*) AS qw FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY 1, 2),
 s AS (SELECT qid, doc_id, round(sum(ln(1 + tf) * qw), 4) AS score FROM t JOIN q USING (term) GROUP BY 1, 2)
 SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def sparse_topk(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.log1p(F.count(F.lit(1))).alias("w"))
-    q = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qw"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qw"))
+    w = R.wanted_terms(table(spark, d, "documents"), X.tokens(F.col("text")), q).withColumn("w", F.log1p("tf"))
     return R.sparse_topk(w, q, 5).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 CHILD = """
-c AS (SELECT l_orderkey % 50 AS qid, l_orderkey AS parent, l_linenumber AS chunk, round(l_extendedprice, 2) AS score FROM lineitem),
+c AS (SELECT l_suppkey AS qid, l_orderkey AS parent, l_linenumber AS chunk, round(l_extendedprice, 2) AS score FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent, chunk) AS rank FROM c)"""
 
 
 def _children(spark, d):
-    c = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("qid"), F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("chunk"), F.round("l_extendedprice", 2).alias("score"))
+    c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("qid"), F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("chunk"), F.round("l_extendedprice", 2).alias("score"))
     return R.ranked(c, ["qid"], F.col("score").desc(), F.col("parent"), F.col("chunk"))
 
 
@@ -204,12 +213,12 @@ def page_dedup(spark, d):
     return U.best_per_page(_children(spark, d), ["qid"], "parent", 4).select("qid", "parent", "chunk", F.col("page_rank").cast("long").alias("page_rank"))
 
 
-@register(f"""WITH {CHILD}, t AS (SELECT * FROM r WHERE rank <= 200),
+@register(f"""WITH {CHILD}, t AS (SELECT * FROM r),
 g AS (SELECT qid, parent, max(score) AS best, count(*) AS evidence, list(chunk ORDER BY rank) AS cs FROM t GROUP BY 1, 2),
 s AS (SELECT qid, parent, best, evidence, round(best + 0.02 * (evidence - 1), 4) AS score, array_to_string(cs[1:3], ',') AS chunks FROM g)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS rank FROM s""")
 def report_aggregation(spark, d):
-    out = U.reports_of(_children(spark, d).where("rank <= 200"), ["qid"], "parent")
+    out = U.reports_of(_children(spark, d), ["qid"], "parent")
     return out.select("qid", "parent", "best", F.col("evidence").cast("long").alias("evidence"), "score", "chunks", F.col("rank").cast("long").alias("rank"))
 
 
@@ -250,23 +259,59 @@ def hyde_trigger(spark, d):
 def null_permissive_filter(spark, d):
     p = table(spark, d, "part")
     brand = F.when(F.col("p_size") % 7 != 0, F.col("p_brand"))
-    low = p.agg(F.min("p_brand").alias("low"))
-    return p.join(F.broadcast(low)).where(brand.isNull() | (brand == F.col("low"))).select("p_partkey", "p_name")
+    low = p.agg(F.min("p_brand").alias("low"))  # one row
+    return p.crossJoin(F.broadcast(low)).where(P.permissive(brand, F.col("low"))).select("p_partkey", "p_name")
+
+
+NAME, TYPE = norm_sql("p_name"), norm_sql("p_type")
 
 
-@register("""SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE contains(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(c_mktsegment), '[^\\p{L}\\p{N}]+', '', 'g'))
-   OR contains(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', '', 'g'), 'an')""".replace("\\\\", "\\"))
+@register(f"""WITH t AS (SELECT p_partkey, contains({NAME}, 'red') OR contains('red', {NAME}) AS by_name, p_size % 5 = 0 OR contains({TYPE}, 'small') OR contains('small', {TYPE}) AS by_type FROM part)
+SELECT * FROM t WHERE by_name OR by_type""")
 def bi_contains_filter(spark, d):
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.where(P.bi_contains(F.col("n_name"), F.col("c_mktsegment")) | P.bi_contains(F.col("n_name"), F.lit("an"))).select("c_custkey", "n_name")
+    by_name, by_type = P.bi_contains(F.lit(" RED "), F.col("p_name")), P.bi_contains(F.lit("Small"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")))
+    return table(spark, d, "part").select("p_partkey", by_name.alias("by_name"), by_type.alias("by_type")).where("by_name or by_type")
 
 
-@register("""SELECT p_partkey FROM part WHERE len(list_filter(string_split(lower(p_type), ' '), lambda t: t <> '')) > 0
- AND len(list_filter(string_split(lower(p_type), ' '), lambda t: t <> '' AND (contains(t, 'steel') OR contains('steel', t)))) > 0""")
+@register("""WITH t AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN [] ELSE list_append(string_split(lower(p_name), ' '), lower(p_type)) END AS seen FROM part)
+SELECT p_partkey FROM t WHERE len(list_filter(seen, lambda x: contains(x, 'bolt') OR contains('bolt', x))) > 0 AND len(list_filter(seen, lambda x: contains(x, 'small') OR contains('small', x))) > 0""")
 def tag_list_filter(spark, d):
-    return table(spark, d, "part").where(P.tags_match(F.split(F.lower("p_type"), " "), F.array(F.lit("steel")))).select("p_partkey")
+    seen = F.when(F.col("p_size") % 9 != 0, F.concat(F.split("p_name", " "), F.array("p_type")))
+    return table(spark, d, "part").where(P.tags_match(seen, F.array(F.lit("Bolt"), F.lit("small")))).select("p_partkey")
+
+
+@register("""SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE (r_name = 'ASIA' OR r_name IS NULL) AND (contains(lower(c_mktsegment), 'a') OR contains('a', lower(c_mktsegment)))
+ AND (c_custkey % 3 = 0 OR 2020 + c_custkey % 4 = 2021) AND (contains(lower(n_name), '1') OR contains('1', lower(n_name))) AND c_acctbal > 0""")
+def metadata_filter(spark, d):
+    """The whole conjunction: an equal scalar, a text both ways, a year that may be unknown, a section, a topic flag."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    year = F.when(F.col("c_custkey") % 3 != 0, (2020 + F.col("c_custkey") % 4).cast("int"))
+    rows = rows.select("c_custkey", F.col("r_name").alias("company_name"), F.col("c_mktsegment").alias("board"), year.alias("report_year"), F.col("n_name").alias("section_name"), F.when(F.col("c_acctbal") > 0, F.array(F.lit("has_funds"))).alias("topic_flags"))
+    return rows.where(P.matches(rows, P.Filters(company_name="ASIA", board="A", year=2021, section_name="1", required_topic_flags=["has_funds"]))).select("c_custkey")
+
+
+@register("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'year_filter_match,' ELSE '' END || 'board_filter_match,listing_tags:a,doc_source_type_filter_match' AS reasons FROM customer
+WHERE (c_custkey % 3 = 0 OR 2020 + c_custkey % 4 = 2021) AND contains(lower(c_mktsegment), 'furn') AND c_acctbal > 0 AND c_custkey % 2 = 1""")
+def catalog_filter(spark, d):
+    year = F.when(F.col("c_custkey") % 3 != 0, (2020 + F.col("c_custkey") % 4).cast("string"))
+    rows = table(spark, d, "customer").select("c_custkey", year.alias("fiscal_year"), F.col("c_mktsegment").alias("board"), F.when(F.col("c_acctbal") > 0, F.array(F.lit("A"), F.lit("b"))).alias("listing_tags"), F.when(F.col("c_custkey") % 2 == 1, "annual_report").otherwise("other").alias("doc_source_type"))
+    passes, why = P.catalog_matches(rows, P.Filters(year=2021, board="Furn", listing_tags=["a"], doc_source_type="annual_report"))
+    return rows.where(passes).select("c_custkey", F.array_join(why, ",").alias("reasons"))
+
+
+@register("""WITH r AS (SELECT o_custkey AS qid, o_orderkey AS key, round(o_totalprice / 600000, 4) AS score, CASE o_orderkey % 4 WHEN 0 THEN 'serialized_table' WHEN 1 THEN 'table' WHEN 2 THEN 'chart_to_table' ELSE 'content' END AS kind FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY score DESC, key) AS k FROM r),
+b AS (SELECT qid, key, CAST(CASE kind WHEN 'serialized_table' THEN 0.12 WHEN 'table' THEN 0.1 WHEN 'chart_to_table' THEN 0.08 ELSE 0.0 END AS DOUBLE) AS filter_bonus, score FROM t WHERE k <= 3)
+SELECT qid, key, filter_bonus, ranking_score, rank FROM (SELECT *, round(score + filter_bonus, 4) AS ranking_score, row_number() OVER (PARTITION BY qid ORDER BY round(score + filter_bonus, 4) DESC, key) AS rank FROM b) WHERE rank <= 3""")
+def kind_bonus_rerank(spark, d):
+    """The bonus of a question's kind comes after the best of each document, and orders them again."""
+    kind = F.when(F.col("o_orderkey") % 4 == 0, "serialized_table").when(F.col("o_orderkey") % 4 == 1, "table").when(F.col("o_orderkey") % 4 == 2, "chart_to_table").otherwise("content")
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("key"), F.round(F.col("o_totalprice") / 600000, 4).alias("score"), kind.alias("kind"))
+    best = R.ranked(r, ["qid", "kind"], F.col("score").desc(), F.col("key"), top=3).drop("rank")
+    out = R.ranked(P.with_bonus(best, F.lit("number"), F.col("kind")), ["qid"], F.col("ranking_score").desc(), F.col("key"), top=3)
+    return out.select("qid", "key", "filter_bonus", "ranking_score", F.col("rank").cast("long").alias("rank"))
 
 
 @register("""WITH p AS (SELECT c_custkey, s.seg AS qid, c_acctbal,
@@ -281,21 +326,29 @@ def catalog_score_topk(spark, d):
     return G.catalog_topk(rows, ["qid"], 10, F.col("c_acctbal").desc(), F.col("c_custkey").desc()).select("qid", "c_custkey", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register(r"""WITH a AS (SELECT DISTINCT term AS alias FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) WHERE length(term) >= 12),
-w AS (SELECT DISTINCT doc_id, lower(text) AS low, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents)
-SELECT doc_id, alias, CAST(instr(low, alias) AS BIGINT) AS position FROM w JOIN a ON w.word = a.alias""")
+ALIASES = f"""a AS (SELECT DISTINCT item_id, alias FROM (SELECT item_id, array_to_string(string_split({norm_sql('text')}, ' ')[1:2], ' ') AS alias FROM benchmark UNION ALL SELECT item_id, substr(text, 3, 7) FROM benchmark) WHERE alias IS NOT NULL),
+n AS (SELECT DISTINCT alias, {norm_sql('alias')} AS name FROM a WHERE {norm_sql('alias')} <> ''), d AS (SELECT doc_id, {norm_sql('text')} AS low FROM documents),
+m AS (SELECT doc_id, alias, CAST(instr(low, name) AS BIGINT) AS position FROM d JOIN n ON contains(low, name))"""
+
+
+def _aliases(spark, d):
+    b = table(spark, d, "benchmark")
+    head = F.array_join(F.slice(F.split(X.normalize_text(F.col("text")), " "), 1, 2), " ")
+    return b.select("item_id", F.explode(F.array(head, F.substring("text", 3, 7))).alias("alias")).distinct()
+
+
+@register(f"WITH {ALIASES} SELECT doc_id, alias, position FROM m")
 def alias_theta_join(spark, d):
-    names = table(spark, d, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("alias")).where(F.length("alias") >= 12).distinct()
-    return G.alias_matches(table(spark, d, "documents").select("doc_id", "text"), names, "doc_id")
+    """Every item's first two words, and seven characters out of it, found anywhere in any document."""
+    return G.alias_matches(table(spark, d, "documents").select("doc_id", "text"), _aliases(spark, d).select("alias").distinct(), "doc_id")
 
 
-@register(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-b AS (SELECT *, sum(CASE WHEN length(trim(line)) <= 36 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM l),
-g AS (SELECT doc_id, CAST(block AS BIGINT) AS block, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n_lines, min(line_no) AS first_line FROM b GROUP BY 1, 2)
-SELECT doc_id, block, length(text) AS chars, n_lines, CAST(first_line AS BIGINT) AS first_line FROM g WHERE trim(text) <> ''""")
-def heading_blocks(spark, d):
-    out = C.blocks(table(spark, d, "documents"), heading=lambda line: F.length(F.trim(line)) <= 36)
-    return out.select("doc_id", F.col("block").cast("long").alias("block"), F.length("text").cast("long").alias("chars"), F.col("n_lines").cast("long").alias("n_lines"), F.col("first_line").cast("long").alias("first_line"))
+@register(f"""WITH {ALIASES}, f AS (SELECT doc_id, item_id AS company, min(position) AS position FROM m JOIN a USING (alias) GROUP BY 1, 2)
+SELECT doc_id, company, position, row_number() OVER (PARTITION BY doc_id ORDER BY position, company) AS place FROM f""")
+def companies_by_position(spark, d):
+    a = _aliases(spark, d)
+    m = G.alias_matches(table(spark, d, "documents").select("doc_id", "text"), a.select("alias").distinct(), "doc_id")
+    return G.companies_in_order(m, a.withColumnRenamed("item_id", "company"), "doc_id").select("doc_id", "company", "position", F.col("place").cast("long").alias("place"))
 
 
 @register(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
@@ -306,34 +359,52 @@ def parent_child_window(spark, d):
     return out.select("doc_id", "chunk", "parent", F.length("text").cast("long").alias("chars"))
 
 
-@register("""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, CAST(year(o_orderdate) AS INT) AS y FROM orders),
-c AS (SELECT doc_id, y, count(*) AS n, min(page) AS first FROM p WHERE page <= 5 GROUP BY 1, 2)
-SELECT doc_id, year, n FROM (SELECT doc_id, y AS year, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
+@register(r"""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, CASE o_orderkey % 5 WHEN 0 THEN 1985 WHEN 1 THEN 2050 ELSE year(o_orderdate) END AS y FROM orders),
+c AS (SELECT doc_id, y, count(*) AS n, min(page) AS first FROM p WHERE page <= 5 AND y BETWEEN 1990 AND 2100 GROUP BY 1, 2)
+SELECT doc_id, CAST(y AS INT) AS year, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
 def infer_year_mode(spark, d):
     o = table(spark, d, "orders")
-    pages = o.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.concat(F.lit("in "), F.year("o_orderdate").cast("string"), F.lit(".")).alias("text"))
+    year = F.when(F.col("o_orderkey") % 5 == 0, 1985).when(F.col("o_orderkey") % 5 == 1, 2050).otherwise(F.year("o_orderdate"))
+    text = F.concat(F.lit("in "), year.cast("string"), F.lit(", not x2001 or 2001年."))
+    pages = o.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), text.alias("text"))
     return C.year_mode(pages, "doc_id").select("doc_id", "year", F.col("n").cast("long").alias("n"))
 
 
-@register(r"""WITH q AS (SELECT item_id % 10 AS qid, item_id AS pos, regexp_replace(lower(substr(text, 1, 12)), '[^\p{L}\p{N}]+', '', 'g') AS print FROM benchmark),
+@register(r"""WITH q AS (SELECT item_id % 10 AS qid, item_id AS pos, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS print FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, upper(text) || ' !' FROM benchmark)),
 f AS (SELECT *, row_number() OVER (PARTITION BY qid, print ORDER BY pos) AS n FROM q WHERE print <> '')
-SELECT qid, pos, query_no FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY pos) AS query_no FROM f WHERE n = 1) WHERE query_no <= 3""")
+SELECT qid, pos, query_no FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY pos) AS query_no FROM f WHERE n = 1) WHERE query_no <= 4""")
 def dedupe_fingerprint(spark, d):
-    q = table(spark, d, "benchmark").select((F.col("item_id") % 10).alias("qid"), F.col("item_id").alias("pos"), F.substring("text", 1, 12).alias("query"))
-    return G.limit_queries(q, "qid", "pos", 3).select("qid", "pos", F.col("query_no").cast("long").alias("query_no"))
+    """Every item's whole text, and once more in capitals with another sign: the two are one query."""
+    b = table(spark, d, "benchmark")
+    both = b.select("item_id", "text").unionByName(b.select((F.col("item_id") + 1_000_000).alias("item_id"), F.concat(F.upper("text"), F.lit(" !")).alias("text")))
+    q = both.select((F.col("item_id") % 10).alias("qid"), F.col("item_id").alias("pos"), F.col("text").alias("query"))
+    return G.limit_queries(q, "qid", "pos", 4).select("qid", "pos", F.col("query_no").cast("long").alias("query_no"))
+
+
+ASKED = "'Is ' || text || ' about 科创板 上交所 digital 数字化 in a ' || CASE doc_id % 3 WHEN 0 THEN '2024 年报 with dividend policy, CNY' WHEN 1 THEN 'guidance of Q3, $' ELSE '电子行业 上游 outlook' END"
+MONEY = r"regexp_extract(t, '\b(?:USD|EUR|GBP|JPY|CNY|RMB|AUD|CAD|CHF|HKD)\b|[$€£¥￥]')"
 
 
-@register(r"""SELECT doc_id, CAST(list_aggregate(list_transform(regexp_extract_all(text, '(?:19|20)\d{2}'), lambda y: CAST(y AS INT)), 'max') AS INT) AS year,
- CASE WHEN regexp_matches(lower(text), 'usd|us\$|dollar') THEN 'USD' WHEN regexp_matches(lower(text), 'rmb|cny|yuan') THEN 'CNY' WHEN regexp_matches(lower(text), 'eur') THEN 'EUR' END AS currency FROM documents""")
+@register(rf"""WITH q AS (SELECT doc_id, {ASKED} AS t FROM documents), n AS (SELECT *, {norm_sql('t')} AS f FROM q WHERE t IS NOT NULL)
+SELECT doc_id, CAST(list_aggregate(list_transform(regexp_extract_all(t, '(?:19|20)\d{{2}}'), lambda y: CAST(y AS INT)), 'max') AS INT) AS year,
+ CASE {MONEY} WHEN '' THEN NULL WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN 'RMB' THEN 'CNY' ELSE {MONEY} END AS currency,
+ CASE WHEN regexp_matches(f, '年报|年度报告|annual report') THEN 'annual_report' WHEN regexp_matches(f, '中报|半年报|季报|q1|q2|q3|q4') THEN 'interim_report' END AS doc_source_type, '上海证券交易所' AS exchange, '科创板' AS board,
+ CASE WHEN regexp_matches(f, '上游') THEN '上游资源' END AS chain,
+ array_to_string(list_filter(['has_dividend_policy_changes', 'has_guidance_updates'], lambda x: CASE x WHEN 'has_guidance_updates' THEN regexp_matches(f, 'guidance|outlook|forecast') ELSE regexp_matches(f, 'dividend policy') END), ',') AS topics,
+ CASE WHEN contains(f, 'ai') THEN '数字化转型,人工智能' ELSE '数字化转型' END AS tags FROM n""")
 def query_rewrite(spark, d):
-    r = G.rewrite(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", r["year"].alias("year"), r["currency"].alias("currency"))
+    """What is read out of questions about documents, whole texts included."""
+    q = table(spark, d, "documents").select("doc_id", F.expr(ASKED).alias("t")).where("t is not null").withColumn("f", X.normalize_text(F.col("t")))
+    r = G.rewrite(F.col("t"), F.col("f"))
+    topics = F.array_intersect(r["topic_flags"], F.array(F.lit("has_dividend_policy_changes"), F.lit("has_guidance_updates")))
+    names = {"year": "year", "currency": "currency", "doc_source_type": "doc_source_type", "exchange": "exchange", "board": "board", "chain_position_major": "chain"}
+    return q.select("doc_id", *[r[k].alias(n) for k, n in names.items()], F.array_join(topics, ",").alias("topics"), F.array_join(r["strategy_tags"], ",").alias("tags"))
 
 
-@register("""WITH r AS (SELECT doc_id, lang, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, CASE WHEN length(text) > 2500 THEN 2508 ELSE length(text) END AS p FROM documents WHERE doc_id < 200),
-b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY lang ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+@register("""WITH r AS (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, CASE WHEN length(text) > 2500 THEN 2508 ELSE length(text) END AS p FROM documents),
+b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
 c AS (SELECT *, CASE WHEN p > 8000 - before THEN 8000 - before + 8 ELSE p END AS q FROM b WHERE before < 8000)
-SELECT lang, CAST(sum(q) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM c GROUP BY lang""")
+SELECT source, CAST(sum(q) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM c GROUP BY source""")
 def context_budget(spark, d):
-    rows = R.ranked(table(spark, d, "documents").where("doc_id < 200").select("doc_id", "lang", "text"), ["lang"], F.col("doc_id"))
-    return C.context(rows, ["lang"]).select("lang", F.length("context").cast("long").alias("chars"))
+    rows = R.ranked(table(spark, d, "documents").select("doc_id", "source", "text"), ["source"], F.col("doc_id"))
+    return C.context(rows, ["source"]).select("source", F.length("context").cast("long").alias("chars"))
