@@ -77,16 +77,15 @@ def asks_revenue(question_normal: Column) -> Column:
     return question_normal.rlike("营业收入|营收")
 
 
-def infer_unit(hint: Column, context_compact: Column, exact: bool = True) -> Column:
+def infer_unit(hint: Column, flat: Column, context_compact: Column) -> Column:
     """The unit of a cell: a percentage by its hint; a strong unit of the surroundings before none or a weak hint; else the
-    first of the priority list that hint or surroundings name; else the hint. context_compact: table_text() of the first
-    3000 characters."""
+    first of the priority list that hint or surroundings name; else the hint. flat: table_text() of the hint;
+    context_compact: table_text() of the first 3000 characters."""
     raw = F.trim(F.coalesce(hint, F.lit("")))
-    flat = X.table_text(raw, exact)
     strong = X.first_held(context_compact, STRONG_UNITS)
     overrules = strong.isNotNull() & ((flat == "") | flat.isin(*WEAK_HINTS) | ((flat == "千元") & strong.isin("人民币千元", "千元")))
-    both = F.concat(flat, context_compact)
-    return F.when(raw.rlike("[%％]"), "%").when(overrules, strong).otherwise(F.coalesce(X.first_held(both, UNIT_PRIORITY), F.nullif(raw, F.lit(""))))
+    named = F.coalesce(*[F.when(F.contains(flat, F.lit(u)) | F.contains(context_compact, F.lit(u)), F.lit(u)) for u in UNIT_PRIORITY])
+    return F.when(raw.rlike("[%％]"), "%").when(overrules, strong).otherwise(F.coalesce(named, F.nullif(raw, F.lit(""))))
 
 
 def rejects_unit(question: Column, question_normal: Column, unit: Column) -> Column:
@@ -119,10 +118,21 @@ def overlap(tokens: Column, text: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.contains(text, t))).cast("double")
 
 
+def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows plus columns that are worked out once. Spark puts a column's expression into every later filter that names it;
+    what a generator returns is not, so long expressions neither multiply nor run twice."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))))
+
+
+def in_form(rows: DataFrame, *names: str) -> DataFrame:
+    """Text columns in compatibility form, all in one pass; what follows stays in the JVM."""
+    return rows.withColumns({n: X.nfkc(F.col(n)) for n in names if n in rows.columns})
+
+
 def prepare_tables(tables: DataFrame, context: str = "context", exact: bool = True) -> DataFrame:
     """tables plus what every cell's score reads of the surroundings, worked out once per table."""
     c = F.coalesce(F.col(context), F.lit(""))
-    return tables.withColumns({"context_normal": X.normalize_text(c, exact), "context_compact": X.table_text(c, exact), "context_head": X.table_text(F.substring(c, 1, 3000), exact)})
+    return fixed(tables, context_normal=X.normalize_text(c, exact), context_compact=X.table_text(c, exact), context_head=X.table_text(F.substring(c, 1, 3000), exact))
 
 
 def ground_numbers(questions: DataFrame, tables: DataFrame, cells: DataFrame, exact: bool = True) -> DataFrame:
@@ -132,16 +142,23 @@ def ground_numbers(questions: DataFrame, tables: DataFrame, cells: DataFrame, ex
     currency. tables: doc, table_id, context. cells: doc, table_id, page, row_idx, col_idx, raw_value, row_head, col_head,
     unit_hint, period, normalized_value, ordinal (scan order). Adds score, unit, value, target_unit and answer_value.
     """
-    asks = questions.withColumn("q_normal", X.normalize_text(F.col("question"), exact)).withColumn("q_tokens", X.index_tokens(F.col("question"), exact)).where(F.size("q_tokens") > 0)
-    asks = asks.select("question_id", "question", "q_normal", "q_tokens", F.col("pages").alias("q_pages"), F.col("year").alias("q_year"), F.col("period").alias("q_period"), F.col("currency").alias("q_currency"), F.explode(F.array_distinct("docs")).alias("doc"))
-    rows = cells.join(prepare_tables(tables.select("doc", "table_id", "context"), exact=exact), ["doc", "table_id"]).join(asks, "doc")
+    if exact:
+        questions, tables, cells = in_form(questions, "question", "period", "currency"), in_form(tables, "context"), in_form(cells, "raw_value", "row_head", "col_head", "unit_hint", "period")
+    exact = False
+    asks = fixed(questions, q_normal=X.normalize_text(F.col("question"), exact), q_tokens=X.index_tokens(F.col("question"), exact), target_unit=target_unit(F.col("question")), currency_normal=X.normalize_text(F.col("currency"), exact)).where(F.size("q_tokens") > 0)
+    asks = asks.select("question_id", "question", "q_normal", "q_tokens", "target_unit", F.col("pages").alias("q_pages"), F.col("year").alias("q_year"), F.col("period").alias("q_period"), F.col("currency").alias("q_currency"), "currency_normal", F.explode(F.array_distinct("docs")).alias("doc"))
+    # what depends on a cell or a table alone is worked out before they meet questions
+    own = fixed(cells.where(F.col("raw_value").rlike(r"\d")), row_normal=X.normalize_text(F.col("row_head"), exact), col_normal=X.normalize_text(F.col("col_head"), exact), period_normal=X.normalize_text(F.col("period"), exact), hint_flat=X.table_text(F.col("unit_hint"), exact), plain=is_numeric_cell(F.col("raw_value"), None, exact), with_percent=is_numeric_cell(F.col("raw_value"), F.lit("%"), exact))
+    own = own.where("plain or with_percent").join(prepare_tables(tables.select("doc", "table_id", "context"), exact=exact), ["doc", "table_id"])
+    own = fixed(own, unit=infer_unit(F.col("unit_hint"), F.col("hint_flat"), F.col("context_head")))
+    own = fixed(own, value=F.coalesce(X.parse_numeric(F.col("raw_value"), F.col("unit"), exact), F.col("normalized_value")), unit_normal=X.normalize_text(F.col("unit"), exact))
+    rows = own.join(asks, "doc").where(F.col("plain") | (F.col("with_percent") & F.contains("question", F.lit("%"))))
     q = F.col("q_normal")
-    rows = rows.withColumn("row_normal", X.normalize_text(F.col("row_head"), exact)).withColumn("col_normal", X.normalize_text(F.col("col_head"), exact))
-    rows = rows.where(is_numeric_cell(F.col("raw_value"), F.col("question"), exact)).withColumn("unit", infer_unit(F.col("unit_hint"), F.col("context_head"), exact))
-    rows = rows.where(~rejects_unit(F.col("question"), q, F.col("unit"))).withColumn("revenue", revenue_score(q, F.col("row_normal"), F.col("col_normal"))).where("revenue is not null")
-    when = F.when(given(F.col("period")), X.normalize_text(F.col("period"), exact)).otherwise(F.col("context_normal"))
-    money = F.when(given(F.col("unit")), X.normalize_text(F.col("unit"), exact)).otherwise(F.col("context_normal"))
-    asked_money = X.normalize_text(F.col("q_currency"), exact)
+    rows = rows.where(~rejects_unit(F.col("question"), q, F.col("unit")))
+    rows = fixed(rows, revenue=revenue_score(q, F.col("row_normal"), F.col("col_normal"))).where("revenue is not null")
+    when = F.when(given(F.col("period")), F.col("period_normal")).otherwise(F.col("context_normal"))
+    money = F.when(given(F.col("unit")), F.col("unit_normal")).otherwise(F.col("context_normal"))
+    asked_money = F.col("currency_normal")
     score = (
         F.col("revenue") + overlap(F.col("q_tokens"), F.col("row_normal")) * 2.2 + overlap(F.col("q_tokens"), F.col("col_normal")) * 1.8 + overlap(F.col("q_tokens"), F.col("context_normal")) * 0.8
         + scope_score(q, F.col("context_compact"))
@@ -152,9 +169,8 @@ def ground_numbers(questions: DataFrame, tables: DataFrame, cells: DataFrame, ex
             (F.contains("question", F.lit("%")) & F.contains("raw_value", F.lit("%")), 0.5),
         )
     )
-    rows = rows.withColumn("score", F.round(score, 4)).withColumn("value", F.coalesce(X.parse_numeric(F.col("raw_value"), F.col("unit"), exact), F.col("normalized_value")))
-    rows = rows.withColumn("target_unit", target_unit(F.col("question"))).withColumn("answer_value", to_target(F.col("value"), F.col("target_unit")))
-    return rows.drop("revenue", "context_head", "q_tokens", "q_pages")
+    rows = fixed(rows, score=F.round(score, 4), answer_value=to_target(F.col("value"), F.col("target_unit")))
+    return rows.drop("revenue", "context_head", "q_tokens", "q_pages", "plain", "with_percent", "hint_flat", "period_normal", "unit_normal", "currency_normal")
 
 
 def best_matches(matches: DataFrame, by: str = "question_id", least: float = TABLE_LEAST) -> DataFrame:
@@ -173,13 +189,13 @@ def mentions_year(year: Column, *texts: Column, exact: bool = True) -> Column:
     return year.isNull() | F.contains(X.normalize_text(F.concat_ws(" ", *texts), exact), year.cast("string"))
 
 
-def supporting_matches(matches: DataFrame, best: DataFrame, top: int = 2, exact: bool = True) -> DataFrame:
+def supporting_matches(matches: DataFrame, best: DataFrame, top: int = 2) -> DataFrame:
     """Other cells of the best match's document that hold its value (within max(1, 1e-6 |value|)) and name the year asked
     for: by priority, page and score, one per page other than the best one's, `top` at most; questions for revenue only."""
     b = best.select("question_id", F.col("doc").alias("b_doc"), F.col("page").alias("b_page"), F.col("value").alias("b_value"), F.col("ordinal").alias("b_ordinal"))
     hit = matches.join(b, "question_id").where(F.col("doc").eqNullSafe(F.col("b_doc")) & (F.col("ordinal") != F.col("b_ordinal")) & asks_revenue(F.col("q_normal")))
     hit = hit.where(F.abs(F.col("value") - F.col("b_value")) <= F.greatest(F.lit(1.0), F.abs("b_value") * 1e-6))
-    hit = hit.where(mentions_year(F.col("q_year"), F.col("row_head"), F.col("col_head"), F.col("period"), F.col("context_normal"), exact=exact) & ~F.col("page").eqNullSafe(F.col("b_page")))
+    hit = hit.where(mentions_year(F.col("q_year"), F.col("row_normal"), F.col("col_normal"), F.col("period"), F.col("context_normal"), exact=False) & ~F.col("page").eqNullSafe(F.col("b_page")))
     hit = hit.withColumn("priority", support_priority(F.col("context_compact"), F.col("page")))
     order = [F.col("priority").desc(), F.col("page"), F.col("score").desc(), F.col("ordinal")]
     one = ranked(hit, ["question_id", "page"], *order, top=1, name="in_page").drop("in_page")
@@ -203,11 +219,14 @@ def ground_charts(questions: DataFrame, records: DataFrame, exact: bool = True)
     questions as for ground_numbers(). records: doc, chart_id, page, series_name, x_label, unit, raw_value, normalized_value,
     context_text, table_markdown, confidence, ordinal. Records without a number are left out.
     """
+    if exact:
+        questions, records = in_form(questions, "question", "period"), in_form(records, "series_name", "x_label", "unit", "raw_value", "context_text", "table_markdown")
+    exact = False
     asks = questions.withColumn("q_normal", X.normalize_text(F.col("question"), exact)).withColumn("q_tokens", X.index_tokens(F.col("question"), exact)).where(F.size("q_tokens") > 0)
     asks = asks.select("question_id", "question", "q_normal", "q_tokens", F.col("pages").alias("q_pages"), F.col("year").alias("q_year"), F.col("period").alias("q_period"), F.explode(F.array_distinct("docs")).alias("doc"))
     present = lambda *c: F.concat_ws("\n", *[F.when(given(F.col(x)), F.col(x)) for x in c])
-    rows = records.withColumn("value", F.coalesce(F.col("normalized_value"), X.parse_numeric(F.col("raw_value"), F.col("unit"), exact))).where("value is not null")
-    rows = rows.withColumns({"series_normal": X.normalize_text(F.col("series_name"), exact), "x_normal": X.normalize_text(F.col("x_label"), exact), "context_normal": X.normalize_text(present("series_name", "x_label", "unit", "context_text", "table_markdown"), exact)})
+    rows = fixed(records, value=F.coalesce(F.col("normalized_value"), X.parse_numeric(F.col("raw_value"), F.col("unit"), exact))).where("value is not null")
+    rows = fixed(rows, series_normal=X.normalize_text(F.col("series_name"), exact), x_normal=X.normalize_text(F.col("x_label"), exact), context_normal=X.normalize_text(present("series_name", "x_label", "unit", "context_text", "table_markdown"), exact))
     rows = rows.join(asks, "doc")
     around = F.concat_ws(" ", "x_normal", "context_normal")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0)))) * 2.0
@@ -216,7 +235,7 @@ def ground_charts(questions: DataFrame, records: DataFrame, exact: bool = True)
         (asks_revenue(F.col("q_normal")) & F.col("series_normal").rlike("营业收入|营收"), 3.0), (F.contains(around, F.col("q_year").cast("string")), 1.5),
         (given(F.col("q_period")) & F.contains(around, X.normalize_text(F.col("q_period"), exact)), 1.0), (F.array_contains("q_pages", F.col("page")), 1.0), (F.col("question").rlike(CHART_WORDS), 0.8),
     )
-    rows = rows.withColumn("score", F.round(score + confidence - chart_unit_penalty(F.col("question"), F.col("unit")), 4)).withColumn("target_unit", target_unit(F.col("question")))
+    rows = fixed(rows, score=F.round(score + confidence - chart_unit_penalty(F.col("question"), F.col("unit")), 4), target_unit=target_unit(F.col("question")))
     return rows.withColumn("answer_value", to_target(F.col("value"), F.col("target_unit"))).drop("q_tokens", "q_pages")
 
 
@@ -227,3 +246,36 @@ def grounded_pages(page: Column, members: Column, support: Column, most: int = 3
     # the support page that is looked at first is taken even if there are enough already
     room = F.greatest(F.lit(most) - F.size(first), F.lit(1))
     return F.array_sort(F.concat(first, F.slice(more, F.lit(1), room)))
+
+
+#: What is measured of a report: words of its rows, weaker words, words that rule a row out, and words around it (fixed values).
+METRICS = {
+    "net_profit": ("归属于上市公司股东的净利润|归属于母公司股东的净利润", "净利润", "扣除非经常性|少数股东|每股|率|现金流量", "主要会计数据|主要财务指标|公司简介和主要财务指标|利润表"),
+    "rd_investment": ("研发投入合计|研发投入总额", None, "占营业收入|比例|资本化的比重|人员|人数|变化幅度", "研发投入|研发费用"),
+    "total_assets": ("总资产|资产总额|资产总计", None, "负债|净资产|收益率|每股|增减|同比", "主要会计数据|主要财务指标|公司简介和主要财务指标|资产负债表"),
+    "operating_cash_flow": ("经营活动产生的现金流量净额|经营活动现金流量净额", "经营性现金净流量|经营现金流量净额", "每股|比率|占比|收益率", "主要会计数据|主要财务指标|公司简介和主要财务指标|现金流量表"),
+}
+OTHER_YEARS, CHANGES = "2023|2022|2021|上年|上期|上年度|上期期末", "增减|变化|比例|比上年|同比|%|百分点"
+
+
+def metric_cells(tables: DataFrame, cells: DataFrame, metric: str, year: str = "2024", exact: bool = True) -> DataFrame:
+    """The best cell of each document for a metric: rows that name it, columns of the year or the current period, tables
+    whose surroundings fit and early pages; first in scan order among equals.
+
+    tables: doc, table_id, context. cells: as for ground_numbers().
+    """
+    strong, weak, bad, around = METRICS[metric]
+    if exact:
+        tables, cells = in_form(tables, "context"), in_form(cells, "raw_value", "row_head", "col_head", "unit_hint")
+    exact = False
+    rows = cells.join(tables.select("doc", "table_id", X.table_text(F.col("context"), exact).alias("around")), ["doc", "table_id"])
+    rows = fixed(rows, row=X.table_text(F.col("row_head"), exact), col=X.table_text(F.col("col_head"), exact), plain=is_numeric_cell(F.col("raw_value"), None, exact)).where("plain")
+    row, col = F.col("row"), F.col("col")
+    row_score = F.when(row.rlike(bad), None).when(row.rlike(strong), 20.0)
+    row_score = row_score.when(row.rlike(weak), 10.0) if weak else row_score
+    ends = F.when(col.rlike("期末|本年末|年末|期末余额"), 4.0) if metric == "total_assets" else F.lit(None)
+    col_score = F.when(~col.rlike(f"{OTHER_YEARS}|{CHANGES}"), F.coalesce(F.when(F.contains(col, F.lit(year)), 5.0), ends, F.when(col.rlike("本期|本年度|本年|本报告期|合计|本集团|本公司"), 3.0), F.when(col == "", 1.0)))
+    rd = metric == "rd_investment"
+    place = points((F.col("around").rlike(around), 8.0), (F.contains("around", F.lit("母公司")) & F.lit(not rd), -4.0), (F.col("page") <= (80 if rd else 15), 2.0 if rd else 4.0))
+    rows = fixed(rows, score=F.round(row_score + col_score + place, 4), value=X.parse_numeric(F.col("raw_value"), F.col("unit_hint"), exact)).where("score is not null and value is not null")
+    return ranked(rows, ["doc"], F.col("score").desc(), F.col("ordinal"), top=1).drop("rank", "row", "col", "around", "plain")

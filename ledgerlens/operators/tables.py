@@ -215,6 +215,22 @@ def link_tables(tables: DataFrame, doc: str, exact: bool = True) -> DataFrame:
     return tables.join(chains, [doc, "table_id"], "left").withColumn("role", F.coalesce("role", F.lit("singleton"))).withColumn("merge_confidence", F.coalesce("merge_confidence", F.lit(0.0)))
 
 
+#: What a serialized table's chunk takes from its logical table (fixed values).
+LINKS = ("logical_table_id", "continuation_of", "role", "page_span", "merge_confidence", "materializable")
+
+
+def with_logical_links(chunks: DataFrame, tables: DataFrame, doc: str) -> DataFrame:
+    """Chunks of serialized tables left joined with their table's place in a logical table."""
+    links = tables.select(doc, "table_id", *[c for c in LINKS if c in tables.columns])
+    return chunks.drop(*[c for c in LINKS if c in chunks.columns]).join(links, [doc, "table_id"], "left")
+
+
+def serialized_by_page(tables: DataFrame, doc: str, infos: str = "infos") -> DataFrame:
+    """Tables that were serialized (an array of information blocks), as chunks of their page: their blocks, a line each."""
+    rows = tables.where(F.col(infos).isNotNull())
+    return rows.select(doc, "page", "table_id", F.array_join(infos, "\n").alias("text"), F.lit("serialized_table").alias("chunk_type"), F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_table"), F.col("table_id").cast("string")).alias("parent_block_id"))
+
+
 def materialize(cells: DataFrame, tables: DataFrame, doc: str) -> DataFrame:
     """Cells of materialisable chains as cells of one table: rows counted on from table to table, heads, units and periods
     that a cell or its table lacks taken from the chain's head, or from the first table or cell that has one.

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerlens.plans import analytics, search
+from ledgerlens.plans import analytics, reports, samples, search
 
 SF = "/root/testdata/sf0.001"
-ALL = search.QUERIES | analytics.QUERIES
-SQL = search.SQL | analytics.SQL
+ALL = search.QUERIES | analytics.QUERIES | reports.QUERIES | samples.QUERIES
+SQL = search.SQL | analytics.SQL | reports.SQL | samples.SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
