@@ -18,19 +18,27 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where the setting is missing (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where the setting is missing, a temporary folder of this machine in local
+    mode, where all tasks see it; on a cluster an error, as executors would not."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def stash(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Operators drop what they have read; a table that their result still reads goes when the application ends.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
     gc.collect()  # shuffle files of what has been written go once the driver has let go of their plans
     df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -59,6 +67,18 @@ def without(df: DataFrame, names) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, changed until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, also where it isn't installed on the executors."""
     import os

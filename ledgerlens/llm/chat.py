@@ -79,10 +79,12 @@ def chat_format(messages: DataFrame, top_k: int = 1) -> DataFrame:
     rank by their leaf's score, ties by leaf; the `top_k` best stay (top-k is the feature; None keeps all).
 
     Defined results: null text or role is the empty string; null scores rank last; null conv_ids form one conversation;
-    of repeated rows for one node one stays; an empty table gives no row; columns besides those named are ignored.
+    of rows that repeat a node the one stays that is least by conv_id, parent, role, text and score, nulls first; rows
+    without a node are left out; an empty table gives no row; columns besides those named are ignored.
     """
     messages = messages.select("conv_id", F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))
-    messages = messages.where(F.col("node").isNotNull()).dropDuplicates(["node"])
+    same = F.min(F.struct(*[x for c in ("conv_id", "parent", "role", "text", "score") for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c).alias(c))])).alias("m")
+    messages = messages.where(F.col("node").isNotNull()).groupBy("node").agg(same).select("m.conv_id", "node", "m.parent", "m.role", "m.text", "m.score")
     paths = tree_paths(messages.select("node", "parent"))
     best = paths.where(F.col("up") == 0).select("leaf").join(messages.select(F.col("node").alias("leaf"), "conv_id", "score"), "leaf")
     order = Window.partitionBy("conv_id").orderBy(F.col("score").desc_nulls_last(), F.col("leaf"))
@@ -115,7 +117,8 @@ def read_back(chats: DataFrame) -> DataFrame:
 def op9_chat_format(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
-    rows = given.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    own = spark.sql(f"SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = given.unionByName(own)
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     name = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
     rows = rows.withColumn("at", at).select("conv_id", F.concat_ws("#", name, "at").alias("node"), F.when(F.col("at") > 1, F.concat_ws("#", name, F.col("at") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))

@@ -48,13 +48,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     hit = lines.join(keys, ["__h1", "__h2", "__salt"]).where(~F.col("__doc").eqNullSafe(F.col("__last")))
     drops = hit.groupBy(F.col("__doc").alias("__d"), F.col("__t1").alias("__u1"), F.col("__t2").alias("__u2")).agg(F.collect_set("__pos").alias("__drop"))
     text, kept = text_of(), [c for c in without(docs, OUT) if c.lower() != "text"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2"), F.split(text, "\n", -1).alias("__lines"))
+    row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in kept])  # the table's own columns, whatever their names
+    rows = docs.select(row.alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2"), F.split(text, "\n", -1).alias("__lines"))
     rows = rows.join(drops, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")), "left")
     n = F.size("__lines")
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop"))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
     out = {"text": F.when(F.col("__drop").isNull(), F.array_join("__lines", "\n")).otherwise(left)}
-    return rows.select(*[out[c.lower()].alias(c) if c.lower() in out else F.col(f"`{c}`") for c in without(docs, OUT)], n.cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.select(*[out[c.lower()].alias(c) if c.lower() in out else F.col(f"__row.`{c}`").alias(c) for c in without(docs, OUT)], n.cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir):

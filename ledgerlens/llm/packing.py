@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, stash, text_of
+from ._shared import drop_stash, ship, slices, stash, text_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one group packs at least; groups, not the corpus, are what one task holds.
@@ -140,23 +140,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bin of each length: longest first, each to the gap that leaves the squared counts of open bins per gap least.
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, opening: bool = True) -> np.ndarray:
+    """Bin of each length, longest first: where the squared counts of open bins per residual gap become least.
 
-    Only the lengths matter, so equal ones are interchangeable; ties go to the tightest gap.
+    An open bin of every gap that is wide enough and a new bin are candidates alike; full and untouched bins don't count.
+    Ties go to an open bin before a new one, and to the tightest gap. Only lengths matter, so equal ones are
+    interchangeable. opening=False leaves a new bin to lengths that no open bin holds: for leftovers, which no further
+    lengths will fill up.
     """
-    count = np.zeros(capacity + 1, np.int64)  # open bins by residual gap; full bins don't count
+    count = np.zeros(capacity + 1, np.int64)  # open bins by residual gap
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out, bins = np.empty(len(lengths), np.int64), 0
+    out, bins, never = np.empty(len(lengths), np.int64), 0, np.iinfo(np.int64).max
     for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
         have = count[size:]
         # moving a bin from gap g to gap g - size changes the sum by 2 (count[g - size] - count[g] + 1); a filled one leaves it
         change = 2 * (count[: capacity + 1 - size] - have + 1)
         change[0] = 1 - 2 * have[0]
-        change = np.where(have > 0, change, np.iinfo(np.int64).max)
+        change = np.where(have > 0, change, never)
         g = int(change.argmin())
-        if have[g] == 0:
+        new = 2 * count[capacity - size] + 1 if size < capacity else 0
+        if have[g] == 0 or (opening and new < change[g]):
             b, bins = bins, bins + 1
             gap = capacity - size
         else:
@@ -178,7 +182,7 @@ def _pack_groups(rows: DataFrame, groups: int, level: int, capacity: int, final:
         def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
             size = t.column("length").to_numpy()
-            seq = sum_of_squares(size, capacity)
+            seq = sum_of_squares(size, capacity, not final)
             order = np.lexsort((-size, seq))
             before = np.cumsum(size[order]) - size[order]
             first = np.concatenate(([True], np.diff(seq[order]) > 0))
@@ -214,19 +218,24 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gro
 
     The corpus is dealt at random into groups of about `group` pieces; each group is packed by the sum-of-squares rule,
     longest first. What lies in sequences not filled to within a few tokens goes on to fewer groups, until one group
-    packs the last of it: leftovers shrink at every level, so no task holds more than a bounded share.
+    packs the last of it: leftovers shrink at every level, so no task holds more than a bounded share. At the last level a
+    sequence is opened only for a piece that no open one holds.
 
     Defined results: a null or empty text is the end id alone, one piece of length 1; rows that repeat a doc_id are
     packed each; null doc_ids are packed too; texts longer than a sequence are cut into full pieces, whose last may be
     shorter; an empty table gives no row; other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows, path = stash(pieces(docs, tokenizer, capacity), "pieces")
     done, level, before, left = [], 0, None, rows.count()
     while True:
         groups = max(1, -(-left // group))
         # the last level: one group, or leftovers that no longer shrink
         final = groups == 1 or (before is not None and left > 0.8 * before)
-        packed, path = stash(_pack_groups(rows, groups, level, capacity, final), "packed")
+        packed, new = stash(_pack_groups(rows, groups, level, capacity, final), "packed")
+        if not level:
+            drop_stash(docs.sparkSession, path)  # later levels read the tables that the result reads too
+        path = new
         done.append(packed.where(~F.col("loose")).drop("loose", "row"))
         if final:
             break

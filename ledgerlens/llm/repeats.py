@@ -178,9 +178,10 @@ def covered(spans, n: int) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, drop: list[str]) -> DataFrame:
-    """docs (without the columns in `drop`) plus __text and __spans; each row meets the spans of its own text."""
+    """(row, text, spans): docs' columns (without those in `drop`) as one struct, and each row's own text and spans."""
     gone = {c.lower() for c in drop}
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone], text_of().alias("__text"), doc.alias("__doc"), F.xxhash64(F.lit(3), "doc_id", text_of()).alias("__row"))
-    spans = spans.select(F.col("doc").alias("__d"), F.col("row").alias("__r"), F.col("spans").alias("__spans"))
-    return rows.join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").drop("__doc", "__row", "__d", "__r")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone])
+    rows = docs.select(row.alias("row"), text_of().alias("text"), doc.alias("doc"), F.xxhash64(F.lit(3), "doc_id", text_of()).alias("hash"))
+    spans = spans.select(F.col("doc").alias("d"), F.col("row").alias("r"), "spans")
+    return rows.join(spans, (F.col("doc") == F.col("d")) & (F.col("hash") == F.col("r")), "left").select("row", "text", "spans")

@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stash, text_of
+from ._shared import fresh, ship, stash, text_of
 from .components import components
 
 SEED = 42
@@ -46,15 +46,16 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row; null text counts as empty."""
+    """(doc_id, key, fp long) for every row, key a hash of its text; null text counts as empty."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().cast("binary").alias("raw"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _forest(fps: np.ndarray, max_bits: int, deep: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,8 +150,9 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.mapInArrow(lambda batches: _links(batches, max_bits), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, roots: bool = False) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the least doc_id reachable over links of at most max_bits bits.
+    roots: (doc_id, key, fp, root) instead, root naming the component, key being xxhash64 of the row's text.
 
     Defined results: null and empty texts have no words, fingerprint zero, and link like any other; fewer words than a
     shingle count as one shingle; equal fingerprints are one node, so copies never form pairs; each input row gives one
@@ -161,24 +163,29 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) ->
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = components(near_links(nodes, max_bits))
     named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    if roots:
+        return fps.join(named.select("fp", "root"), "fp").select("doc_id", "key", "fp", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without the near copies: of each component only its least doc_id stays, with all its columns.
+    """docs without the near copies: of each component one row stays, with all its columns.
 
-    Rows that repeat a doc_id: the row with the least text stays. Rows without a doc_id stay if nothing with one is in
-    their component; then one of them, with the least text, stays.
+    The row that stays has the component's least doc_id; of several such rows the one with the least fingerprint, then with
+    the least hash of its text, then any. Rows without a doc_id stay only if nothing in their component has one. Rows of
+    different components never take each other's place, also where they share a doc_id.
     """
-    from pyspark.sql import Window
-
-    text, cols = text_of(), docs.columns
-    keep = simhash_groups(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "inner").drop("__keep").withColumn("__text", F.sha2(text, 256))
-    one = Window.partitionBy("doc_id").orderBy("__text")
-    return rows.withColumn("__at", F.row_number().over(one)).where("__at = 1").select(*[F.col(f"`{c}`") for c in cols])
+    cols, (key, at) = docs.columns, fresh(docs, "key", "at")
+    groups, _ = stash(simhash_groups(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, max_bits, True), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key")).alias("m")
+    keep = groups.groupBy("root").agg(best).select(F.col("m.doc_id").alias("keep_doc"), F.col("m.key").alias("keep_key"))
+    rows = docs.withColumn(key, F.xxhash64(text_of()))
+    rows = rows.join(keep.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("keep_doc")) & (F.col(key) == F.col("keep_key")), "left_semi")
+    # equal rows: one stays
+    one = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
+    return rows.withColumn(at, F.row_number().over(one)).where(F.col(at) == 1).select(*[F.col(f"`{c}`") for c in cols])
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

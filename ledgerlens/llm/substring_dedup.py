@@ -112,8 +112,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int
                     out.append((len(words), int(mask.sum()), b" ".join([w for w, m in zip(words, mask.tolist()) if not m]).decode()))
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    rows = with_spans(docs, spans, list(OUT)).withColumn("__cut", cut("__text", "__spans"))
-    return rows.select(*[F.col(f"`{c}`") for c in without(docs, OUT)], "__cut.n_words", "__cut.n_removed", "__cut.kept")
+    rows = with_spans(docs, spans, list(OUT)).withColumn("cut", cut("text", "spans"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in without(docs, OUT)], *[f"cut.{c}" for c in OUT])
 
 
 def op8_substring_dedup(spark, sf_dir):

@@ -93,8 +93,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int =
                     out.append((len(raw), int(mask.sum()), runs, np.frombuffer(raw, np.uint8)[~mask].tobytes()))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = with_spans(docs, spans, list(OUT)).withColumn("__cut", cut("__text", "__spans"))
-    return rows.select(*[F.col(f"`{c}`") for c in without(docs, OUT)], *[f"__cut.{c}" for c in OUT])
+    rows = with_spans(docs, spans, list(OUT)).withColumn("cut", cut("text", "spans"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in without(docs, OUT)], *[f"cut.{c}" for c in OUT])
 
 
 def op3_suffix_dedup(spark, sf_dir):
