@@ -187,6 +187,31 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.decontaminate(empty, bench).count() == 0 and decontamination.decontaminate(df, bench.where("false")).count() == 6
 
 
+def test_decontamination_of_reworded_quotes(spark):
+    items = [(0, "What is the chemical symbol for the element gold?"), (1, "Tom has 3 apples and 12 km to walk. Tom gives 2 apples to his old friend and walks home in 4 hours."), (2, "red fox"), (3, "How many moons does the planet have, and which one of them is the largest of all in size?")]
+    rows = [
+        (10, "Question: What is the chemical symbol for the element gold? Answer"), (11, "so WHAT IS THE CHEMICAL SYMBOL FOR THE ELEMENT GOLD"), (12, "what is the chemical symbol for the element silver"),
+        (20, items[1][1].replace("Tom", "Mary Ann")), (21, items[1][1].lower()), (22, items[1][1].replace("Tom", "Bob", 1)), (23, "Intro by Jane Doe " + items[1][1].replace("3", "1,5")), (24, items[1][1].replace("12 km", "12 very long km")),
+        (30, "Red fox!"), (31, "the red fox runs"), (40, items[3][1].replace("the planet", "the big planet")), (41, " ".join(items[3][1].split()[:9])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(df, bench).collect()}
+    assert got >= {(10, 0), (11, 0), (20, 1), (21, 1), (23, 1), (30, 2)}
+    assert not got & {(12, 0), (31, 2), (41, 3)}
+
+
+def test_window_sizes_meet_every_look():
+    """Whatever windows are missing, as many as may be, and wherever the looks fall, one of them meets a found window."""
+    import math
+
+    for n in range(decontamination.SHORTEST, 200):
+        size, stride = decontamination.window_size(n)
+        w = n - size + 1
+        least = min(len(range(r, w, stride)) for r in range(stride))
+        assert least > w - math.ceil(w * decontamination.COVER - 1e-9), n
+
+
 def test_edit_fingerprints(docs, empty):
     df = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = {r.doc_id: r.text or "" for r in df.collect()}
