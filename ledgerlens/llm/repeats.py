@@ -4,10 +4,12 @@ Every window of a fixed number of units belongs to a super-k-mer, a run of conse
 Equal windows share their minimiser wherever they stand, so:
 
 1. each document gives rows (minimiser, hash of the super-k-mer's string, place); minimisers seen in one place only are done;
-2. equal super-k-mers are aggregated, with map-side combine, before anything else moves: copies settle here, by count;
-3. only where different super-k-mers share a minimiser does a string travel, once per distinct one, to its bucket, where
-   the operator's own method compares windows;
-4. what was found meets the places again, spans are gathered per document, and texts are shuffled once to be cut.
+2. equal super-k-mers are aggregated, with map-side combine, before anything else moves: of copies one travels on;
+3. where different super-k-mers share a minimiser, each distinct string travels, packed, to its bucket, where the operator's
+   own method compares windows;
+4. a bucket of more strings than a task should hold is cut again: its strings are taken as texts and go through 1 to 3 with
+   minimisers of another order, so windows that are equal still meet, and others part;
+5. what was found meets the places again, spans are gathered per document, and texts are shuffled once to be cut.
 
 Strings are equal if minimiser and hash, 128 bits together, are. Intermediate tables lie in the shared folder.
 """
@@ -15,7 +17,7 @@ Strings are equal if minimiser and hash, 128 bits together, are. Intermediate ta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,18 @@ from .segments import ragged, super_kmers
 
 SPANS = "array<struct<s:int,e:int>>"
 PLACE = "doc long, row long"
+#: How often a bucket may be cut again by minimisers of another order.
+LEVELS = 4
 
 
 @dataclass(frozen=True)
 class Units:
-    """How a text becomes units: `window` of them are compared, minimisers are hashes of `k`."""
+    """How a text becomes units: `window` of them are compared, minimisers are hashes of `k`, their order is the seed's."""
 
     words: bool
     window: int
     k: int
+    seed: int = 0
 
     def read(self, texts: pa.Array, hashed: bool = True):
         """(unit hashes, where each text's begin and the end, packed bytes per text, byte offset of each unit in its text)."""
@@ -48,7 +53,7 @@ class Units:
                 return None, bounds, raw, None
             table = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
             return table[np.frombuffer(b"".join(raw), np.uint8)], bounds, raw, None
-        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.string())))
         raw = pc.binary_join(split, " ").cast(pa.binary()).to_pylist()
         hashes = None
         if hashed:
@@ -79,7 +84,7 @@ def places(docs: DataFrame, unit: Units) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
                 hashes, bounds, raw, at = unit.read(part.column(2))
-                seq, start, count, low, kmers = super_kmers(hashes, bounds, unit.window, unit.k)
+                seq, start, count, low, kmers = super_kmers(hashes, bounds, unit.window, unit.k, unit.seed)
                 if not len(seq):
                     continue
                 span = count + unit.window - unit.k
@@ -99,12 +104,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(F.lit(3), "doc_id", text_of()).alias("row"), text_of().alias("text"))
 
 
-def strings(docs: DataFrame, wanted: DataFrame, unit: Units, digest: bool) -> DataFrame:
-    """The packed strings of `wanted` (mini, h, first, n, doc, row, start, windows, hot), cut from their documents.
-
-    digest: of hot rows, a 128-bit digest per window travels instead, all in a row.
-    """
-    fields = ["mini", "h", "first", "n", "start", "windows", "hot"]
+def strings(docs: DataFrame, wanted: DataFrame, unit: Units) -> DataFrame:
+    """The packed strings of `wanted` (mini, h, first, doc, row, start, windows), cut from their documents."""
+    fields = ["mini", "h", "first", "n", "start", "windows"]
     by = wanted.groupBy(F.col("doc").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct(*fields)).alias("want"))
     same = (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r"))
     both = docs.join(by, same).select("text", "want")
@@ -118,26 +120,20 @@ def strings(docs: DataFrame, wanted: DataFrame, unit: Units, digest: bool) -> Da
                 seq = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 start, count = (want.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "windows"))
                 packed = _cut(raw, seq, start, count + unit.window - 1, at, bounds)
-                hot = want.field("hot").to_numpy(zero_copy_only=False)
-                if digest and hot.any():
-                    for i in np.flatnonzero(hot).tolist():
-                        one = np.full(count[i], seq[i])
-                        packed[i] = b"".join(map(xxhash.xxh3_128_digest, _cut(raw, one, start[i] + np.arange(count[i]), np.full(count[i], unit.window), at, bounds)))
-                yield pa.RecordBatch.from_arrays([*(want.field(f) for f in ("mini", "h", "first", "n", "windows", "hot")), pa.array(packed, pa.binary())], ["mini", "h", "first", "n", "windows", "hot", "packed"])
+                yield pa.RecordBatch.from_arrays([*(want.field(f) for f in ("mini", "h", "first", "n")), pa.array(packed, pa.binary())], ["mini", "h", "first", "n", "packed"])
 
-    return both.mapInArrow(run, "mini long, h long, first long, n long, windows int, hot boolean, packed binary")
+    return both.mapInArrow(run, "mini long, h long, first long, n long, packed binary")
 
 
-def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callable[[DataFrame], tuple[DataFrame, list[str]]], hot: int) -> tuple[DataFrame, list[str]]:
-    """(doc, row, spans): the units to remove of each document, overlapping spans allowed. Also the tables to drop later.
+def repeated_spans(rows: DataFrame, unit: Units, ordered: bool, compare: Callable[[DataFrame], DataFrame], bucket: int, levels: int = LEVELS) -> tuple[DataFrame, str]:
+    """(doc, row, spans): the units to remove of each text, overlapping spans allowed; and the table that holds them.
 
-    ordered: only what also starts in a smaller doc is removed; else all that starts elsewhere, however often.
-    compare: takes the travelling strings (mini, h, first, n, windows, hot, packed) and returns (mini, h, runs), the spans,
-    in units of the string, of windows that other strings (or the string itself) hold, and tables of its own. hot: distinct strings of a minimiser
-    that make it hot.
+    rows: (doc, row, text), as keyed() gives them. ordered: only what also starts in a smaller doc is removed; else all that
+    starts elsewhere, however often. compare: takes the travelling strings (mini, h, first, n, packed) and returns (mini, h,
+    runs), the spans, in units of the string, of windows that other strings (or the string itself) hold. Buckets of more than
+    `bucket` distinct strings are cut again, `levels` times at most.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs)
+    spark = rows.sparkSession
     at, at_path = stash(places(rows, unit), "places")
     if ordered:
         worth = F.min("doc") != F.max("doc")
@@ -153,10 +149,19 @@ def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callabl
     groups = shared.groupBy("mini", "h").agg(n.alias("n"), whole.alias("whole"), F.min(F.struct("doc", "row", "start", "windows")).alias("at"), F.max("mixed").alias("mixed"))
     groups, groups_path = stash(groups, "groups")
     travel = groups.where("mixed").select("mini", "h", F.col("at.doc").alias("first"), "n", "at.doc", "at.row", "at.start", "at.windows")
-    many = travel.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.lit(True).alias("hot"))
-    travel = travel.join(many, "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    compared, used = compare(strings(rows, travel, unit, digest=ordered))
+    used = [shared_path, groups_path]
+    large, large_path = stash(travel.groupBy("mini").count().where(F.col("count") > bucket).select("mini"), "large")
+    used.append(large_path)
+    if levels and not large.isEmpty():
+        packed, path = stash(strings(rows, travel, unit), "strings")
+        again = packed.join(large, "mini", "left_semi").select("mini", "h", F.col("first").alias("doc"), F.xxhash64("mini", "h").alias("row"), F.col("packed").alias("text"))
+        deeper, deeper_path = repeated_spans(again.select("doc", "row", "text"), replace(unit, seed=unit.seed + 1), ordered, compare, bucket, levels - 1)
+        used += [path, deeper_path]
+        compared = compare(packed.join(large, "mini", "left_anti")).unionByName(again.drop("text").join(deeper, ["doc", "row"]).select("mini", "h", F.col("spans").alias("runs")))
+    else:
+        compared = compare(strings(rows, travel, unit))
     found, found_path = stash(compared, "found")
+    used.append(found_path)
     known = groups.select("mini", "h", "whole", F.col("at.doc").alias("first")).join(found, ["mini", "h"], "left").where(F.col("whole") | F.col("runs").isNotNull())
     # (doc, row, start) joins its super-k-mer's verdict; a hot one is split by Spark's skew join
     all_of = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("windows") + unit.window - 1).cast("int").alias("e")))
@@ -164,9 +169,9 @@ def repeated_spans(docs: DataFrame, unit: Units, ordered: bool, compare: Callabl
     gone = F.when((F.col("doc") > F.col("first")) if ordered else F.col("whole"), all_of).otherwise(part_of)
     met = shared.select("mini", "h", "doc", "row", "start", "windows").join(known, ["mini", "h"]).select("doc", "row", gone.alias("spans")).where(F.col("spans").isNotNull())
     spans, spans_path = stash(met.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans")), "spans")
-    for path in (shared_path, groups_path, found_path, *used):
+    for path in used:
         drop_stash(spark, path)
-    return spans, [spans_path]
+    return spans, spans_path
 
 
 def covered(spans, n: int) -> np.ndarray:

@@ -14,14 +14,15 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def kmer_hashes(units: np.ndarray, k: int) -> np.ndarray:
-    """Order-dependent hash of every k units (k a power of two); positions near the end hold less and aren't to be used."""
+def kmer_hashes(units: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Order-dependent hash of every k units (k a power of two), another one for every seed; positions near the end hold less
+    and aren't to be used."""
     h, have, base = units.astype(np.uint64, copy=True), 1, 0x100000001B3
     while have < k:
         factor = np.uint64(pow(base, have, 1 << 64))
         h[:-have] = h[:-have] * factor + h[have:]
         have *= 2
-    return _scramble(h * _ODD)
+    return _scramble(h * _ODD ^ np.uint64(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1))
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -33,7 +34,7 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return m if have == w else np.minimum(m[: len(h) - w + 1], m[w - have : w - have + len(h) - w + 1])
 
 
-def super_kmers(units: np.ndarray, bounds: np.ndarray, window: int, k: int):
+def super_kmers(units: np.ndarray, bounds: np.ndarray, window: int, k: int, seed: int = 0):
     """units: hashes of all sequences in a row; bounds: where each begins, and the end.
 
     Returns arrays (sequence, start, windows, minimiser): maximal runs of consecutive windows of one sequence whose least
@@ -44,7 +45,7 @@ def super_kmers(units: np.ndarray, bounds: np.ndarray, window: int, k: int):
     count = np.maximum(np.diff(bounds) - window + 1, 0)
     if n < window or not count.any():
         return none, none, none, none.astype(np.uint64), np.empty(0, np.uint64)
-    h = kmer_hashes(units, k)[: n - k + 1]
+    h = kmer_hashes(units, k, seed)[: n - k + 1]
     least = sliding_min(h, window - k + 1)
     seq = np.flatnonzero(count)
     first = bounds[seq]

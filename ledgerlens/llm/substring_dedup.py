@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,31 +12,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash, without
-from .repeats import SPANS, Units, covered, repeated_spans, with_spans
+from ._shared import ship, without
+from .repeats import SPANS, Units, covered, keyed, repeated_spans, with_spans
 
 #: Words of a window and of the stretch whose hash is minimised.
 WINDOW, K = 50, 8
-#: Distinct super-k-mers of one minimiser beyond which its windows are compared by digest, spread over all tasks.
-HOT = 3000
-#: Super-k-mers sorted at a time.
-SORTED = 4000
+#: Distinct super-k-mers of one minimiser beyond which they are dealt again by another one.
+BUCKET = 3000
+#: Super-k-mers sorted at a time, and windows in memory before a sorted run goes to a file.
+SORTED, HELD = 4000, 400_000
 OUT = ("n_words", "n_removed", "kept")
 
 
-def _sorted_windows(items: list[tuple], window: int) -> list[tuple]:
+class Runs:
+    """Rows in sorted order, sorted runs of which lie in files once they are many."""
+
+    def __init__(self, held: int):
+        self.limit, self.rows, self.files = held, [], []
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+        if len(self.rows) > self.limit:
+            self.rows.sort()
+            f = tempfile.TemporaryFile(prefix="windows-")
+            for lo in range(0, len(self.rows), 1000):
+                pickle.dump(self.rows[lo : lo + 1000], f)
+            f.seek(0)
+            self.files.append(f)
+            self.rows = []
+
+    def merged(self) -> Iterator[tuple]:
+        def read(f) -> Iterator[tuple]:
+            with f:
+                while True:
+                    try:
+                        yield from pickle.load(f)
+                    except EOFError:
+                        return
+
+        self.rows.sort()
+        return heapq.merge(self.rows, *map(read, self.files)) if self.files else iter(self.rows)
+
+
+def _sorted_windows(items: list[tuple], window: int, held: int = HELD) -> list[tuple]:
     """items: (mini, h, first, packed). Sort all their windows; per item the word spans whose windows stand in a smaller first."""
-    rows = []
+    runs = Runs(held)
     for i, (_, _, first, packed) in enumerate(items):
         words = packed.split(b" ")
         at = [0]
         for w in words:
             at.append(at[-1] + len(w) + 1)
-        rows += [(packed[at[o] : at[o + window] - 1], first, i, o) for o in range(len(words) - window + 1)]
-    rows.sort()
+        runs.add([(packed[at[o] : at[o + window] - 1], first, i, o) for o in range(len(words) - window + 1)])
     hits: dict[int, list[int]] = {}
     text, least = None, 0
-    for w, first, i, o in rows:
+    for w, first, i, o in runs.merged():
         if w != text:
             text, least = w, first
         elif first > least:
@@ -70,34 +102,29 @@ def _compare(window: int):
         if held:
             yield table(held)
 
-    def compare(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    def compare(rows: DataFrame) -> DataFrame:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows, path = stash(rows, "strings")
-        cold = rows.where(~F.col("hot")).select("mini", "h", "first", "packed").repartition(n, "mini").sortWithinPartitions("mini", "h")
-        cold = cold.mapInArrow(run, f"mini long, h long, runs {SPANS}")
-        hot = rows.where("hot").select("mini", "h", "first", "packed", F.posexplode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("o", "__o"))
-        hot = hot.select("mini", "h", "first", "o", F.expr("substring(packed, 16 * o + 1, 16)").alias("w"))
-        least = hot.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
-        hot = hot.join(least, "w").where("least < first").groupBy("mini", "h").agg(F.transform(F.sort_array(F.collect_list("o")), lambda o: F.struct(o.alias("s"), (o + window).cast("int").alias("e"))).cast(SPANS).alias("runs"))
-        return cold.unionByName(hot), [path]
+        rows = rows.select("mini", "h", "first", "packed").repartition(n, "mini").sortWithinPartitions("mini", "h")
+        return rows.mapInArrow(run, f"mini long, h long, runs {SPANS}")
 
     return compare
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, bucket: int = BUCKET) -> DataFrame:
     r"""Return docs plus n_words, n_removed and kept: each text less every word that lies in a window of `window` words
     whose sequence also starts in a document with a smaller doc_id, joined by single spaces.
 
     Words are runs of anything but `[\x20\x09-\x0D]`, unchanged; windows lie in one document and are judged on the input.
 
-    A minimiser shared by more than `hot` distinct super-k-mers has its windows compared by 128-bit digests through a
-    map-side combined aggregate instead of in one bucket, so no bucket holds an unbounded group.
+    A minimiser of more than `bucket` distinct super-k-mers is dealt again by minimisers of another order, some times over, so
+    windows are compared by sorting in every bucket; what still is a large one is sorted in runs that lie in files.
 
     Defined results: null and empty texts have no words and keep the empty text; texts shorter than a window stay whole;
     rows that share a doc_id are one document, among which nothing is removed; null doc_ids come after all others and are
     one document; columns named n_words, n_removed or kept are replaced; an empty table gives an empty table.
     """
-    spans, _ = repeated_spans(docs, Units(True, window, k), True, _compare(window), hot)
+    ship(docs.sparkSession)
+    spans, _ = repeated_spans(keyed(docs), Units(True, window, k), True, _compare(window), bucket)
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

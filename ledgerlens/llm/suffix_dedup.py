@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import without
-from .repeats import SPANS, Units, covered, repeated_spans, with_spans
+from ._shared import ship, without
+from .repeats import SPANS, Units, covered, keyed, repeated_spans, with_spans
 from .suffix_sort import repeated_windows
 
 #: Bytes of a repeated string, and of the stretch whose hash is minimised to deal strings to shards.
 WINDOW, K = 400, 32
-#: Bytes that one sort takes at least, where a shard has so many; strings of one minimiser are never parted.
+#: Bytes that one sort takes at least, where a task has so many; strings of one bucket are sorted together.
 SHARD = 3 << 20
+#: Distinct strings of one minimiser beyond which they are dealt again by another one.
+BUCKET = 3000
 OUT = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -55,15 +57,15 @@ def _compare(window: int, shard: int):
         if held:
             yield sort(held)
 
-    def compare(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    def compare(rows: DataFrame) -> DataFrame:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.select("mini", "h", "n", "packed").repartition(n, "mini").sortWithinPartitions("mini", "h")
-        return rows.mapInArrow(run, f"mini long, h long, runs {SPANS}"), []
+        return rows.mapInArrow(run, f"mini long, h long, runs {SPANS}")
 
     return compare
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD, bucket: int = BUCKET) -> DataFrame:
     """Return docs plus n_bytes, n_removed, n_spans and kept (binary): each text's UTF-8 bytes less every byte under a
     `window`-byte string that also starts anywhere else, in this document or another.
 
@@ -71,13 +73,15 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int =
     not be valid UTF-8.
 
     Strings that share a minimiser are dealt to one shard, and shards are suffix-sorted by external induced sorting, whose
-    queues lie in files of the executor's own temporary folder while the task runs (a lost task starts its shard anew).
+    queues lie in files of the executor's own temporary folder while the task runs (a lost task starts its shard anew). A
+    minimiser of more than `bucket` distinct strings is dealt again by minimisers of another order, some times over.
 
     Defined results: null and empty texts have no bytes; texts shorter than the window stay whole; repeated rows are
     places of their own, so both lose what they share; null doc_ids are documents like others; columns of the four names
     are replaced; an empty table gives an empty table.
     """
-    spans, _ = repeated_spans(docs, Units(False, window, k), False, _compare(window, shard), 1 << 62)
+    ship(docs.sparkSession)
+    spans, _ = repeated_spans(keyed(docs), Units(False, window, k), False, _compare(window, shard), bucket)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -40,16 +40,24 @@ def test_line_dedup(spark, docs, empty):
 
 
 def test_substring_dedup(docs, empty):
-    got = {(r.doc_id, r.lang): (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs, hot=1).where("doc_id is null or doc_id <> 7").collect()}
+    got = {(r.doc_id, r.lang): (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs, bucket=1).where("doc_id is null or doc_id <> 7").collect()}
     assert got[(1, "en")] == (120, 0) and got[(2, "en")] == (120, 120) and got[(3, "en")] == (120, 119)
     assert got[(4, "en")] == got[(5, "en")] == got[(6, "en")] == (0, 0)
     assert got[(None, "en")] == (95, 95) and got[(9, "en")] == (185, 85)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_substring_dedup_hot_and_cold_agree(docs):
-    a, b = (sorted(map(str, substring_dedup.substring_dedup(docs, hot=h).select("doc_id", "n_removed", "kept").collect())) for h in (0, 10**9))
+def test_buckets_cut_again_agree(docs, monkeypatch):
+    a, b = (sorted(map(str, substring_dedup.substring_dedup(docs, bucket=n).select("doc_id", "n_removed", "kept").collect())) for n in (1, 10**9))
     assert a == b
+    a, b = (sorted(map(str, suffix_dedup.suffix_dedup(docs, bucket=n).select("doc_id", "n_removed", "n_spans", "kept").collect())) for n in (1, 10**9))
+    assert a == b
+
+
+def test_windows_sorted_in_files():
+    rng = np.random.default_rng(6)
+    items = [(1, i, int(rng.integers(5)), " ".join(rng.choice(list("ab"), 30)).encode()) for i in range(60)]
+    assert substring_dedup._sorted_windows(items, 6, 10**9) and sorted(substring_dedup._sorted_windows(items, 6, 50)) == sorted(substring_dedup._sorted_windows(items, 6, 10**9))
 
 
 def test_suffix_dedup(docs, empty):
