@@ -8,11 +8,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stash, text_of
+from ._shared import drop_stash, ship, stash, text_of
+from .components import components
 
 #: Classes that code points are hashed to, and steps after which the shared random bits start over.
 CLASSES, PERIOD = 64, 1 << 16
@@ -162,6 +164,7 @@ def _end(walk: Walk, classes, first, b: int) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row, fingerprint) of every row; row is a hash of the text, null counts as empty."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._shared import slices
@@ -174,71 +177,97 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, fingerprint string")
 
 
-def _bands(fp: str, seed: int, bands: int, digits: int) -> list[str]:
-    """Keys of a fingerprint: sampled digits of the octave its walk ends in and of the one below, so that walks on either
-    side of an octave's end meet too."""
-    d, out = fp.split(":")[1], []
-    last = max(0, (len(d) - 1) // SAMPLES)
-    for o in sorted({last, max(0, last - 1)}):
-        part = d[o * SAMPLES : (o + 1) * SAMPLES].ljust(SAMPLES, "-")
-        for band in range(bands):
-            pick = np.random.default_rng((seed, o, band)).choice(SAMPLES, digits, replace=False)
-            out.append(f"{o}/{band}/" + "".join(part[i] for i in pick))
-    return out
-
-
-def similar_pairs(docs: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6, dense: int = 200) -> DataFrame:
-    """(a, b, likeness): documents of different fingerprints that are alike at least so well; a is below b, each the least
-    doc_id with its fingerprint (copies share it and are one row).
-
-    Bit-sampled banding: `bands` times `digits` sampled digits make a key; equal keys meet by a shuffle and pairs are
-    verified by their likeness. A key that more than `dense` fingerprints share is banded again with other samples, so
-    unlike ones part before any pair is formed.
+#: Bands of a fingerprint, digits sampled for each, and how alike linked texts are at least.
+BANDS, DIGITS, LEAST = 24, 5, 0.8
+#: Keys that more fingerprints share are first linked through a few of their members, in some rounds.
+HOT, REPS, ROUNDS = 64, 2, 3
+
+
+def _picks(seed: int, octave: int, bands: int, digits: int) -> np.ndarray:
+    """The sampled places within an octave's digits, band by band: the same for all texts."""
+    rng = np.random.default_rng((seed, octave))
+    return np.stack([rng.choice(SAMPLES, digits, replace=False) for _ in range(bands)])
+
+
+def band_keys(prints: list[str], bands: int = BANDS, digits: int = DIGITS) -> tuple[np.ndarray, np.ndarray]:
+    """(which fingerprint, key) of all bands: hashes of sampled digits of the octave in which a walk ends and of the one
+    below, so that walks on either side of an octave's end meet too."""
+    kept: dict[int, np.ndarray] = {}
+    which, keys = [], []
+    for n, fp in enumerate(prints):
+        d = np.frombuffer(fp.split(":")[1].encode(), np.uint8)
+        last = max(0, (len(d) - 1) // SAMPLES)
+        for o in sorted({last, max(0, last - 1)}):
+            part = np.zeros(SAMPLES, np.uint8)
+            have = d[o * SAMPLES : (o + 1) * SAMPLES]
+            part[: len(have)] = have
+            if o not in kept:
+                kept[o] = _picks(0, o, bands, digits)
+            raw = part[kept[o]].tobytes()
+            keys += [xxhash.xxh3_64_intdigest(raw[b * digits : (b + 1) * digits], (o << 16) + b) for b in range(bands)]
+            which += [n] * bands
+    return np.array(which, np.int64), np.array(keys, np.uint64)
+
+
+def similar_links(docs: DataFrame, least: float = LEAST, bands: int = BANDS, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): nodes (fid, fingerprint, first) are the distinct fingerprints with the least doc_id that has them, links
+    (a, b) pairs of fids whose likeness is `least` or more and that connect all such pairs that share a band.
+
+    Bit-sampled banding: equal bands meet by a shuffle of (key, fid); every pair is verified by its whole fingerprints. Copies
+    share a fingerprint and are one node. Of a key that many share, members are first linked through a few of them; then
+    only pairs that no chain of links joins yet are formed, so groups of near copies cost their size, not its square.
     """
-    fps, _ = stash(fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "edit-fps")
+    spark = docs.sparkSession
+    nodes, _ = stash(fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("fid", F.xxhash64("fingerprint")), "edit-nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(lo, 200) for lo in range(0, batch.num_rows, 200)):
-                rows = [(k, fp, doc) for fp, doc in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for k in _bands(fp, 0, bands, digits)]
-                k, fp, doc = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), pa.array(doc, pa.int64())], ["key", "fingerprint", "doc_id"])
-
-    def verify(group: list[tuple[str, int]], depth: int) -> Iterator[tuple[int, int, float]]:
-        if len(group) > dense and depth < 4:
-            again: dict[str, list] = {}
-            for x in group:
-                for k in _bands(x[0], depth, bands // 2, digits):
-                    again.setdefault(k, []).append(x)
-            for part in again.values():
-                if len(part) > 1:
-                    yield from verify(part, depth + 1)
-            return
-        for i, (fa, a) in enumerate(group):
-            for fb, b in group[i + 1 :]:
-                if a != b and (s := likeness(fa, fb)) >= least:
-                    yield min(a, b), max(a, b), s
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def table() -> pa.RecordBatch:
-            cols = list(zip(*dict.fromkeys(verify(group, 1)))) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "likeness"])
+            fid = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(fid), 2000):
+                which, key = band_keys(batch.column(1).slice(lo, 2000).to_pylist(), bands, digits)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fid[lo:][which])], ["key", "fid"])
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, fp, doc in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                if k != key:
-                    if len(group) > 1:
-                        yield table()
-                    key, group = k, []
-                group.append((fp, doc))
-        if len(group) > 1:
-            yield table()
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.mapInArrow(keys, "key string, fingerprint string, doc_id long").repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(pairs, "a long, b long, likeness double").distinct()
+            keep = [likeness(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        side = lambda c: nodes.select(F.col("fid").alias(c), F.col("fingerprint").alias(f"f{c}"))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
+        return stash(both.mapInArrow(alike, "a long, b long"), label)[0]
+
+    def rooted(part: DataFrame) -> DataFrame:
+        if links is None:
+            return part.withColumn("root", F.col("fid"))
+        return part.join(components(links).withColumnRenamed("node", "fid"), "fid", "left").withColumn("root", F.coalesce("root", "fid"))
+
+    rows, rows_path = stash(nodes.select("fid", "fingerprint").mapInArrow(keys, "key long, fid long").distinct(), "edit-keys")
+    size = rows.groupBy("key").count().where("count > 1")
+    rows, shared_path = stash(rows.join(size, "key"), "edit-shared")
+    drop_stash(spark, rows_path)
+    links, hot = None, rows.where(F.col("count") > HOT)
+    for k in range(0 if hot.isEmpty() else ROUNDS):
+        part = rooted(hot)
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fid", F.lit(k)), "fid"))
+        reps = part.withColumn("at", rank).where(F.col("at") <= REPS)
+        pairs = part.alias("x").join(reps.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.root") != F.col("y.root"))
+        found = verified(pairs.select(F.least("x.fid", "y.fid").alias("a"), F.greatest("x.fid", "y.fid").alias("b")), "edit-round")
+        links = found if links is None else links.unionByName(found)
+    left, left_path = stash(rooted(rows), "edit-left")
+    pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fid") < F.col("y.fid")) & (F.col("x.root") != F.col("y.root")))
+    found = verified(pairs.select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b")), "edit-links")
+    for path in (shared_path, left_path):
+        drop_stash(spark, path)
+    return nodes, found if links is None else links.unionByName(found)
+
+
+def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(fid, similar_id) of every fingerprint that is linked to another: similar_id is the least doc_id of its group; fid is
+    xxhash64 of the fingerprint. Fingerprints without a link are their own group and are left out."""
+    nodes, links = similar_links(docs, least)
+    named = nodes.select("fid", "first").join(components(links).withColumnRenamed("node", "fid"), "fid")
+    return named.join(named.groupBy("root").agg(F.min("first").alias("similar_id")), "root").select("fid", "similar_id")
 
 
 def next_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -257,7 +286,8 @@ def next_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     next; an empty table gives no row; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = min(4096, parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(spark)
+    parts = parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
     # at most `parts` boundaries reach the driver
     quantiles = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
@@ -344,4 +374,9 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_edit_fingerprints(spark, sf_dir):
-    return next_edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Besides the contract's columns: similar_id, the least doc_id of the group of texts that banding and verification link
+    at a likeness of LEAST or more; null for a text that is like no other one (copies of itself aside)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    groups, _ = stash(similar_groups(docs), "edit-groups")  # its size is known: Spark decides whether to broadcast it
+    out = next_edited(docs).withColumn("fid", F.xxhash64("fingerprint"))
+    return out.join(groups, "fid", "left").drop("fid")

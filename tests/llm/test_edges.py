@@ -237,13 +237,47 @@ def test_edit_fingerprints(docs, empty):
     assert edit_embedding.next_edited(df.where("doc_id = 8")).first().near_next == 1.0
 
 
-def test_edit_pairs(spark):
+def test_edit_links(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    base = "".join(rng.choice(list("abcdefgh "), 2000))
-    other = "".join(rng.choice(list("abcdefgh "), 2000))
+    base, other = ("".join(rng.choice(list("abcdefgh "), 2000)) for _ in range(2))
     near = base[:900] + "zz" + base[905:]
-    df = spark.createDataFrame([(1, base), (2, near), (3, other), (4, base), (5, None)], "doc_id long, text string")
-    assert {(r.a, r.b) for r in edit_embedding.similar_pairs(df, 0.8).collect()} == {(1, 2)}
+    rows = [(1, base), (2, near), (3, other), (4, base), (5, None)]
+    edit = lambda t, at: t[:at] + "q" + t[at + 1 :]
+    rows += [(100 + i, edit(edit(other, 1500 + i), 1990 - i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(edit_embedding, "HOT", 8)
+    names = {r.fid: r.similar_id for r in edit_embedding.similar_groups(df).collect()}
+    nodes, _ = edit_embedding.similar_links(df)
+    got = {r.first: names.get(r.fid) for r in nodes.collect()}
+    assert got[1] == got[2] == 1 and got[5] is None and got[3] == 3
+    assert sum(got.get(100 + i, 3) == 3 for i in range(120)) >= 115  # some share a fingerprint with what they were made of
+    assert edit_embedding.similar_groups(df.where("false")).count() == 0
+
+
+def test_recall_of_bands(spark):
+    """Of the pairs of different texts whose likeness is the least or more, found by comparing all, nine in ten at least are
+    in one group."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    nodes, links = edit_embedding.similar_links(docs)
+    root = {r.node: r.root for r in components.components(links).collect()}
+    rows = [(r.fid, r.fingerprint) for r in nodes.collect()]
+    ends = np.array([int(f.split(":")[0], 16) for _, f in rows])
+    order = np.argsort(ends)
+    true = found = 0
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if ends[b] * 0.75 > ends[a]:  # the likeness is at most the share of the longer walk
+                break
+            if edit_embedding.likeness(rows[a][1], rows[b][1]) >= edit_embedding.LEAST:
+                true += 1
+                found += root.get(rows[a][0], -1) == root.get(rows[b][0], -2)
+    print("pairs", true, "recall", found / max(1, true))
+    assert found >= 0.9 * true
 
 
 def test_classifiers(spark, docs, empty):
