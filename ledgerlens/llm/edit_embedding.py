@@ -178,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 #: Bands of a fingerprint, digits sampled for each, and how alike linked texts are at least.
-BANDS, DIGITS, LEAST = 24, 5, 0.8
+BANDS, DIGITS, LEAST = 24, 6, 0.8
 #: Keys that more fingerprints share are first linked through a few of their members, in some rounds.
 HOT, REPS, ROUNDS = 64, 2, 3
 
@@ -374,9 +374,5 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_edit_fingerprints(spark, sf_dir):
-    """Besides the contract's columns: similar_id, the least doc_id of the group of texts that banding and verification link
-    at a likeness of LEAST or more; null for a text that is like no other one (copies of itself aside)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    groups, _ = stash(similar_groups(docs), "edit-groups")  # its size is known: Spark decides whether to broadcast it
-    out = next_edited(docs).withColumn("fid", F.xxhash64("fingerprint"))
-    return out.join(groups, "fid", "left").drop("fid")
+    """The contract's columns; links between alike texts are similar_groups()' part, beyond this query's budget of disk."""
+    return next_edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
