@@ -9,8 +9,11 @@ from ..functions import text as X
 from ..operators import chunks as C
 from ..operators import filters as P
 from ..operators import fusion as U
+from ..operators import lexical_index as I
 from ..operators import retrieval as R
 from ..operators import routing as G
+from ..operators import vector_index as V
+from ..sources.store import new_path
 from ._tables import table
 
 QUERIES, SQL = {}, {}
@@ -52,11 +55,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 def _bm25(spark, d, top):
     docs, items = table(spark, d, "documents").where("text is not null"), table(spark, d, "benchmark")
-    # texts are tokenised once: sizes, document frequencies and scores come from one table of terms
-    index = R.postings(docs, X.index_tokens(F.col("text")))
-    size = docs.select(F.size(X.index_tokens(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("avg_size"))
+    # texts are tokenised once for all queries over this state of the table; postings are read in blocks that may hold a hit
+    index = I.lexical_index(docs, X.index_tokens(F.col("text")), "index-tokens")
     terms = items.select("item_id", F.explode(X.index_tokens(F.col("text"))).alias("term"))
-    return R.bm25(index, terms, size, top)
+    return I.search(index, terms, top)[0]
 
 
 @register(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM rk WHERE rank <= 5")
@@ -150,17 +152,33 @@ def dense_topk_cosine(spark, d):
     return out.select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-#: Cells of the inverted file and how many of them a question looks into: recall@10 is tested against brute force.
-CELLS, PROBES = 8, 7
+def _asked(v):
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+
+
+def _short(n, top=10):
+    """How long a short list is: twenty times what is asked for, a tenth of a small table."""
+    return max(4 * top, min(20 * top, n // 10))
 
 
 @register()
 def dense_topk_by_cell(spark, d):
-    """Inverted-file search over centres fitted on a bounded sample; approximate, so it has no exact SQL."""
-    v = table(spark, d, "embeddings")
-    centres = R.fit_cells(v, CELLS)
-    out = R.dense_topk_cells(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), v, centres, PROBES, 10)
-    return out.select("qid", "vec_id", "score", "rank")
+    """Product-quantised codes in cells, stored and read again; whole vectors of a short list order it. Approximate, so it has
+    no exact SQL; recall is tested."""
+    v, path = table(spark, d, "embeddings"), new_path(spark, "vectors")
+    V.write_index(v, path)
+    index = V.read_index(spark, path)
+    return V.pq_topk(index, _asked(v), 10, _short(index.rows)).select("qid", "vec_id", "score", "rank")
+
+
+@register()
+def dense_topk_by_graph(spark, d):
+    """A neighbour graph over the codes, stored and walked for all questions at once; recall is tested."""
+    v, path = table(spark, d, "embeddings"), new_path(spark, "vectors")
+    V.write_index(v, path)
+    V.write_graph(V.read_index(spark, path), path)
+    index = V.read_index(spark, path, graph=True)
+    return V.graph_topk(index, _asked(v), 10, short=_short(index.rows)).select("qid", "vec_id", "score", "rank", "compared")
 
 
 @register("""WITH g AS (SELECT vec_id // 4 AS gid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
