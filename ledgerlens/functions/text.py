@@ -64,7 +64,7 @@ def tokens(text: Column) -> Column:
 
 
 #: Terms of finance that are index tokens of their own.
-FINANCE_TERMS = "营业收入 营收 归母净利润 扣非归母净利润 毛利率 净利率 期间费用率 经营活动现金流净额 资产负债率 每股收益 分红 回购 并购 定增 券商 年报 研报".split()
+FINANCE_TERMS = ("营业收入", "营收", "归母净利润", "扣非归母净利润", "毛利率", "净利率", "期间费用率", "经营活动现金流净额", "资产负债率", "每股收益", "分红", "回购", "并购", "定增", "券商", "年报", "研报")
 #: What an index token of Latin letters and digits is, and a run of ideographs.
 LATIN, IDEOGRAPHS = r"[a-z0-9]+(?:[./_-][a-z0-9]+)?", r"[一-鿿]+"
 
@@ -131,7 +131,7 @@ UNIT_FACTORS = {
     "千元": 1e3, "百万元": 1e6, "千万元": 1e7,
 }
 #: Units that a chunk's text is searched for, the first one found counts.
-CHUNK_UNITS = "亿元 万元 亿股 万股 百万元 千万元 % 百分点".split()
+CHUNK_UNITS = ("亿元", "万元", "亿股", "万股", "百万元", "千万元", "%", "百分点")
 
 
 def first_held(text: Column, names) -> Column:
@@ -145,8 +145,8 @@ def unit_hint(text: Column) -> Column:
 
 
 def parse_numeric(text: Column, hint: Column | None = None, exact: bool = True) -> Column:
-    """First number with its sign, times the factor of the longest unit that the text or the hint names; a percentage keeps
-    its number; null without a number.
+    """First number with its sign, times the factor of the longest unit that the text or the hint names, of equally long ones
+    the first of UNIT_FACTORS; a percentage keeps its number; null without a number.
 
     A minus sign or opening bracket right before any digit makes it negative, also in a range such as 12-15.
     """
@@ -154,10 +154,10 @@ def parse_numeric(text: Column, hint: Column | None = None, exact: bool = True)
     value = F.nullif(F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
     value = F.when(plain.rlike(r"^\s*[(\-]|[(\-]\s*\d") & (value > 0), -value).otherwise(value)
     units = F.concat_ws(" ", plain, F.coalesce(hint, F.lit(""))) if hint is not None else plain
-    factor = F.lit(1.0)
-    for name in sorted(UNIT_FACTORS, key=len):  # the longest is tested first
-        factor = F.when(F.contains(units, F.lit(name)), F.lit(UNIT_FACTORS[name])).otherwise(factor)
-    return value * F.when(units.rlike("%|百分点"), F.lit(1.0)).otherwise(factor)
+    # the longest unit counts, of equally long ones the first of the table; the text is worked out once, as a lambda's variable
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(UNIT_FACTORS[n]).alias("factor")) for n in sorted(UNIT_FACTORS, key=len, reverse=True)])
+    of = lambda u: F.when(u.rlike("%|百分点"), F.lit(1.0)).otherwise(F.coalesce(F.get(F.filter(known, lambda x: F.contains(u, x["name"])), F.lit(0))["factor"], F.lit(1.0)))
+    return value * F.get(F.transform(F.array(units), of), F.lit(0))
 
 
 #: Longer names of report kinds and their short forms, in the order in which they are replaced.

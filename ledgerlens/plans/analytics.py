@@ -157,10 +157,10 @@ NUMBER = r"""CASE WHEN regexp_matches(p, '^\s*[(\-]|[(\-]\s*\d') AND CAST(nullif
 
 @register(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])[,，]([0-9])', '\1\2', 'g'), '([0-9])[,，]([0-9])', '\1\2', 'g') AS p FROM documents),
 v AS (SELECT doc_id, p, {NUMBER} AS v FROM t)
-SELECT doc_id, v AS value, v * CASE WHEN regexp_matches(p, '%|百分点') THEN 1.0 WHEN doc_id % 4 = 0 THEN 1e4 WHEN doc_id % 4 = 1 THEN 1e8 ELSE 1.0 END AS in_yuan FROM v""")
+SELECT doc_id, v AS value, v * CASE WHEN regexp_matches(p, '%|百分点') THEN 1.0 WHEN doc_id % 4 = 0 THEN 1e4 WHEN doc_id % 4 = 1 OR doc_id % 12 = 3 THEN 1e8 WHEN doc_id % 12 = 7 THEN 1e8 WHEN doc_id % 12 = 11 THEN 1e4 ELSE 1.0 END AS in_yuan FROM v""")
 def numeric_parse_units(spark, d):
-    """The first number of every text, by itself and with a unit that a table would give."""
-    hint = F.expr("CASE doc_id % 4 WHEN 0 THEN '人民币 万元' WHEN 1 THEN '亿港元' WHEN 2 THEN '%' END")
+    """The first number of every text, by itself and with a unit, or two, that a table would give."""
+    hint = F.expr("CASE doc_id % 4 WHEN 0 THEN '人民币 万元' WHEN 1 THEN '亿港元' WHEN 2 THEN '%' ELSE CASE doc_id % 12 WHEN 3 THEN '万元 亿元' WHEN 7 THEN '百万元 亿港元' ELSE '亿元 万元人民币' END END")
     return table(spark, d, "documents").select("doc_id", X.parse_numeric(F.col("text")).alias("value"), X.parse_numeric(F.col("text"), hint).alias("in_yuan"))
 
 

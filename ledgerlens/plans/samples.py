@@ -212,16 +212,47 @@ def name_support(spark, d):
     return L.name_support(items, answers, "q").select("q", "support_type")
 
 
-@register("""WITH h AS (SELECT o_custkey AS q, bool_or(o_orderkey % 5 = 0) AS yes, bool_or(o_orderkey % 5 = 1) AS no FROM orders GROUP BY 1)
-SELECT c_custkey AS q, CASE WHEN yes AND no THEN CASE WHEN c_custkey % 2 = 0 THEN 'explicit_negative' ELSE 'conflict' END WHEN no THEN 'explicit_negative' WHEN yes THEN 'explicit_positive' ELSE 'insufficient_evidence' END AS classification FROM customer LEFT JOIN h ON q = c_custkey""")
+@register("""WITH w(t, yes, no, words) AS (VALUES (0, '拟派发现金红利。', '现金分红：不进行现金分红', '利润分配预案'), (1, '公司拟回购社会公众股', '股份回购：未实施回购', '回购报告书'), (2, '出具了保留意见', '审计意见类型：标准无保留意见', '审计意见'), (3, '实际控制人发生变更', '控制权变更：控制权未发生变更', '控制权'), (4, '设有子公司', '无子公司', '-')),
+h AS (SELECT o_custkey AS q, bool_or(o_orderkey % 5 = 0) AS yes, bool_or(o_orderkey % 5 = 1) AS no FROM orders GROUP BY 1)
+SELECT c_custkey AS q, CASE WHEN yes AND no THEN CASE WHEN c_custkey % 5 IN (1, 2, 3) OR (c_custkey % 5 = 0 AND c_custkey % 2 = 0) THEN 'explicit_negative' ELSE 'conflict' END
+ WHEN no THEN 'explicit_negative' WHEN yes THEN 'explicit_positive' ELSE 'insufficient_evidence' END AS classification FROM customer LEFT JOIN h ON q = c_custkey""")
 def boolean_context(spark, d):
+    """Questions about each known target and one that names its own; of the first target every other one speaks of its plan."""
+    t = c("t")
+    pick = lambda *said: F.element_at(F.array(*map(F.lit, said)), t + 1)
+    orders = table(spark, d, "orders").withColumn("t", (c("o_custkey") % 5).cast("int"))
+    yes = pick("拟派发现金红利。", "公司拟回购社会公众股", "出具了保留意见", "实际控制人发生变更", "设有子公司")
+    no = F.concat(F.lit("x\n"), pick("现金分红：不进行现金分红", "股份回购：未实施回购", "审计意见类型：标准无保留意见", "控制权变更：控制权未发生变更", "无子公司"))
     k = c("o_orderkey") % 5
-    text = F.when(k == 0, "拟派发现金红利。").when(k == 1, "x\n现金分红：不进行现金分红").otherwise("其他")
-    items = table(spark, d, "orders").select(c("o_custkey").alias("q"), F.month("o_orderdate").alias("page"), text.alias("text"))
-    questions = table(spark, d, "customer").select(c("c_custkey").alias("q"), F.when(c("c_custkey") % 2 == 0, "利润分配预案是否提到现金分红？").otherwise("是否提到现金分红？").alias("question"))
+    items = orders.select(c("o_custkey").alias("q"), F.month("o_orderdate").alias("page"), F.when(k == 0, yes).when(k == 1, no).otherwise("其他").alias("text"))
+    customers = table(spark, d, "customer").withColumn("t", (c("c_custkey") % 5).cast("int"))
+    asked = pick("是否提到现金分红？", "是否披露股份回购？", "是否存在非标审计意见？", "是否有控制权变更？", "是否有子公司？")
+    questions = customers.select(c("c_custkey").alias("q"), F.concat(F.when((t == 0) & (c("c_custkey") % 2 == 0), "利润分配预案").otherwise(""), asked).alias("question"))
     return L.boolean_context(items, questions, "q").select("q", "classification")
 
 
+@register("""WITH i AS (SELECT o_custkey AS q, o_orderkey % 4 AS k FROM orders), h AS (SELECT q, bool_or(k = 0) AS e, bool_or(k IN (0, 1)) AS a FROM i GROUP BY 1),
+r AS (SELECT c_custkey AS q, c_custkey % 12 AS m, c_custkey % 2 = 0 AS labelled, e, a FROM customer LEFT JOIN h ON q = c_custkey),
+w AS (SELECT q, CASE WHEN m IN (0, 1) THEN 'name_query_not_single_doc' WHEN m = 2 THEN 'name_anchor_positive_but_refused' WHEN m IN (3, 4) THEN 'name_refusal_without_positive_anchor'
+ WHEN m = 5 THEN 'name_final_answer_not_string' WHEN m IN (6, 7) THEN 'name_anchor_value_mismatch' WHEN e AND labelled THEN 'name_explicit_field_hit'
+ WHEN a AND NOT labelled THEN 'name_answer_text_only' ELSE 'name_missing_explicit_grounding' END AS reason FROM r)
+SELECT q, reason IN ('name_refusal_without_positive_anchor', 'name_explicit_field_hit', 'name_answer_text_only') AS accepted, reason FROM w""")
+def name_verdicts(spark, d):
+    """Name answers against their anchors, refusals included, and against what the evidence says."""
+    k, m = c("o_orderkey") % 4, c("c_custkey") % 12
+    text = F.when(k == 0, "董事长：\n张 三 Co").when(k == 1, "张三co\n。\n董事长").when(k == 2, "董事长：李四").otherwise("x")
+    items = table(spark, d, "orders").select(c("o_custkey").alias("q"), F.month("o_orderdate").alias("page"), text.alias("text"))
+    labels = F.when(c("c_custkey") % 2 == 0, F.array(F.lit("董事长"))).otherwise(F.array().cast("array<string>"))
+    answer = F.when(m.isin(2, 3, 4), "N/A").when(m == 5, "  ").otherwise("张三 co")
+    anchor = F.when(m == 2, "张三").when(m == 3, "N/A").when(m == 6, "李四").when(m == 8, "张 三 co")
+    rows = table(spark, d, "customer").select(
+        c("c_custkey").alias("q"), F.when(m == 0, "谁的董事长更高？").otherwise("董事长是谁？").alias("question"), F.when(m == 1, 2).otherwise(1).alias("n_docs"),
+        answer.alias("final_answer"), labels.alias("labels"), m.isin(2, 3, 6, 7, 8).alias("has_anchor"), anchor.alias("anchor"), F.array().cast("array<string>").alias("aliases"),
+    )
+    support = L.name_support(items, rows.select("q", c("final_answer").alias("value"), "aliases", "labels"), "q")
+    return L.name_verdict(rows, support, "q")
+
+
 @register("""SELECT l_orderkey, place, CASE WHEN f = 'A' AND p % 7 = 0 THEN 'no_retrieval' WHEN l_linestatus = 'O' AND p % 5 = 0 THEN 'number_grounding_missing_normalized_value' WHEN l_linestatus = 'O' AND p % 5 = 1 THEN 'number_final_answer_grounding_mismatch' WHEN p % 11 = 0 THEN 'missing_relevant_pages' WHEN p % 13 = 0 THEN 'hallucinated_pages' WHEN l_tax > 0.07 THEN 'severe_validation_flags' END AS reason
 FROM (SELECT l_orderkey, CAST(round(l_linenumber * 1e9 + l_extendedprice * 100) AS BIGINT) AS place, l_returnflag AS f, l_partkey AS p, l_linestatus, l_tax FROM lineitem)""")
 def sample_gates(spark, d):

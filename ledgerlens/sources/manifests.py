@@ -246,32 +246,6 @@ def resume(questions: DataFrame, answers: DataFrame, key: str = "question_id", t
     return left.join(hit, same, "left_anti").drop("__n")
 
 
-def require_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, failing when they run if a key repeats: no separate pass decides."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    check = F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys))))).otherwise(F.lit(True))
-    return rows.withColumn("__ok", check.cast("boolean")).where("__ok").drop("__ok")
-
-
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; a malformed line fails the read, or is left out where not strict."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: bool = True) -> DataFrame:
-    """New rows replace old ones of their key; without overwrite old ones stay."""
-    if overwrite:
-        return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
-    return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
-
-
-def write_store(tables: dict[str, DataFrame], path: str, year: str = "report_year") -> None:
-    """One parquet table per entity, partitioned by year where it has one."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(year) if year in df.columns else writer).parquet(f"{path}/{name}")
-
-
 def read_store(spark: SparkSession, path: str, names: list[str], cache: bool = False) -> dict[str, DataFrame]:
     """The tables of a store; a snapshot's version is the newest change of any of its files, so a cached one is told from
     what was written later."""

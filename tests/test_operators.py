@@ -19,7 +19,7 @@ def one(spark, column):
 
 
 def test_numbers(spark):
-    cases = [("4,000 million", None, 4000.0), ("12-15", None, -12.0), ("(3.5)", None, -3.5), ("50 %", None, 50.0), ("50％ 万元", None, 50.0), ("none", None, None), ("2亿元", None, 2e8), ("３", "百万元", 3e6), ("1，234", "万元人民币", 1234e4), ("7", "亿股", 7e8), ("8", "千万", 8e7)]
+    cases = [("4,000 million", None, 4000.0), ("12-15", None, -12.0), ("(3.5)", None, -3.5), ("50 %", None, 50.0), ("50％ 万元", None, 50.0), ("none", None, None), ("2亿元", None, 2e8), ("３", "百万元", 3e6), ("1，234", "万元人民币", 1234e4), ("7", "亿股", 7e8), ("8", "千万", 8e7), ("12亿元 万元", None, 12e8), ("12万元 亿元", None, 12e8), ("5百万元 亿港元", None, 5e8), ("5", "万元 亿股", 5e8), ("5亿元", "万元人民币", 5e4)]
     for text, hint, want in cases:
         got = one(spark, X.parse_numeric(F.lit(text), None if hint is None else F.lit(hint)))
         assert got == want, (text, got)
@@ -193,3 +193,11 @@ def test_names_and_booleans(spark):
     line = lambda a, q: one(spark, L.boolean_line(F.lit(a), F.lit(q)))
     assert line("本年不进行现金分红", "是否提到现金分红？") == "explicit_negative" and line("派发现金红利", "是否提到现金分红？") == "explicit_positive"
     assert line("公司未涉及诉讼", "公司是否存在诉讼？") == "explicit_negative" and line("无关", "公司是否存在诉讼？") is None
+    target = lambda q: one(spark, L.boolean_target(F.lit(q)))
+    assert [target(q) for q in ("是否有回购方案？", "审计报告是否为非标？", "控制权变更与否", "派息多少", "营业收入")] == ["share_buyback_plan", "nonstandard_audit_opinion", "controlling_shareholder_change", "cash_dividend_plan", None]
+    assert line("公司无回购计划", "是否披露股份回购？") == "explicit_negative" and line("拟回购", "是否披露股份回购？") == "explicit_positive" and line("审计意见类型: 标准无保留意见", "审计意见是否为非标？") == "explicit_negative"
+    assert line("实际控制人未发生变更", "控股股东变更了吗？") is None  # none of the words that state it stands in the line
+    items = spark.createDataFrame([(1, 1, "回购方案：拟回购\n未实施回购，回购计划"), (2, 1, "现金分红\n不分红，派息"), (3, 1, "现金分红\n不分红，派息，拟分配")], "q int, page int, text string")
+    asked = spark.createDataFrame([(1, "是否披露股份回购？"), (2, "现金分红吗"), (3, "现金分红吗"), (4, "派息")], "q int, question string")
+    got = {r.q: r.classification for r in L.boolean_context(items, asked, "q").collect()}
+    assert got == {1: "explicit_negative", 2: "conflict", 3: "explicit_negative", 4: "insufficient_evidence"}
