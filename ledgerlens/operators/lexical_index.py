@@ -12,6 +12,8 @@ from .retrieval import ranked
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Documents of one block at most, about; the ratio of sizes within a level.
 BLOCK, RATIO = 4096, 1.15
+#: What a level's number is multiplied by to number its parts: more parts than this would need 4096 million documents of a level.
+PARTS = 1_000_000
 #: Rounding of scores: what a bound must fall short of to be skipped.
 SLACK = 1e-3
 
@@ -20,8 +22,8 @@ SLACK = 1e-3
 class LexicalIndex:
     """A stored index.
 
-    forward: (doc, size, terms), one row per document, terms as 64-bit numbers. terms: (term, no, df, idf). blocks: (no,
-    level, part, n, least, docs, sizes): the documents of one term, one size level and one part of that level.
+    forward: (doc, size, terms), one row per document. terms: (no, df, idf). blocks: (no, place, n, least, docs): the
+    documents of one term in one place, a size level and one of its parts.
     """
 
     forward: DataFrame
@@ -47,44 +49,42 @@ def write_lexical_index(docs: DataFrame, tokens: Column, path: str, key: str = "
 
     tokens: array of terms, taken as a set. Only this pass reads the texts; everything else derives from the stored forward
     table. Impacts fall with a document's size alone, so postings are cut by size levels, and within a level by a hash of
-    the key into parts of about BLOCK documents: no term's postings are one row, and the same document is in the same
-    (level, part) for every term, so bounds of several terms add up. Terms are numbered by a 64-bit hash; a build in which
-    two terms share one fails.
+    the key into parts of about BLOCK documents: no term's postings are one row, and the same document is in the same place
+    for every term, so bounds of several terms add up. Terms are their 64-bit hashes: of v terms two share one with a
+    probability of v * v / 2 ** 65, one in three million for ten million terms.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.array_distinct(tokens).alias("words"))
-    rows = rows.select("doc", F.size("words").alias("size"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("terms"))
-    rows.write.mode("overwrite").parquet(f"{path}/forward")
-    forward = spark.read.schema(rows.schema).parquet(f"{path}/forward")
+    save = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w))).alias("terms"))
+    save(rows.select("doc", F.size("terms").alias("size"), "terms"), "forward")
+    forward = spark.read.schema("doc long, size int, terms array<long>").parquet(f"{path}/forward")
     # parts by level: a row per level, of which there are fewer than a hundred or two
-    parts = forward.groupBy(level_of(F.col("size")).alias("level")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"))
-    parts.coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
-    levels = spark.read.schema(parts.schema).parquet(f"{path}/levels")
+    save(forward.groupBy(level_of(F.col("size")).alias("level")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).coalesce(1), "levels")
+    levels = spark.read.schema("level int, parts int, n long, sizes long").parquet(f"{path}/levels")
     n = levels.agg(F.sum("n"), F.sum("sizes")).first()
     n_docs = n[0] or 0
-    # document frequencies; the mean weight of the vocabulary is what a term in over half the documents gets a share of
-    df = forward.select(F.explode(F.arrays_zip("words", "terms")).alias("t")).groupBy(F.col("t.words").alias("term"), F.col("t.terms").alias("no")).agg(F.count(F.lit(1)).alias("df"))
-    idf = df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    twice = F.count(F.lit(1)).over(Window.partitionBy("no"))
-    check = F.when(twice > 1, F.raise_error(F.concat(F.lit("two terms share a number, one is "), F.col("term")))).otherwise(F.col("no"))
-    idf.select("term", check.cast("long").alias("no"), "df", "idf").write.mode("overwrite").parquet(f"{path}/terms")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts"))
     placed = forward.withColumn("level", level_of(F.col("size"))).join(F.broadcast(levels.select("level", "parts")), "level")
-    post = placed.select("doc", "size", "level", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.explode("terms").alias("no"))
-    block = post.groupBy("no", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.collect_list(F.struct("doc", "size")).alias("m"))
-    block = block.select("no", "level", "part", "n", "least", F.col("m.doc").alias("docs"), F.col("m.size").alias("sizes"))
-    block.write.mode("overwrite").parquet(f"{path}/blocks")
-    # written last: an index without counts is not whole
-    mean = spark.read.parquet(f"{path}/terms").agg(F.avg("idf").alias("mean_idf"))
-    mean.select("mean_idf", F.lit(n_docs).cast("long").alias("docs"), F.lit((n[1] or 0) / n_docs if n_docs else 1.0).alias("avg_size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+    post = placed.select("doc", "size", (F.col("level") * PARTS + part).cast("int").alias("place"), F.explode("terms").alias("no"))
+    # sizes within a level are alike: the least of a block stands for all
+    block = post.groupBy("no", "place").agg(F.min("size").alias("least"), F.collect_list("doc").alias("docs"))
+    save(block.select("no", "place", F.size("docs").cast("long").alias("n"), "least", "docs"), "blocks")
+    blocks = spark.read.schema("no long, place int, n long").parquet(f"{path}/blocks")
+    df = blocks.groupBy("no").agg(F.sum("n").alias("df"))
+    save(df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
+    # the mean weight of the vocabulary is what a term in over half the documents gets a share of. Written last: an index
+    # without counts is not whole
+    mean = spark.read.schema("no long, df long, idf double").parquet(f"{path}/terms").agg(F.avg("idf").alias("mean_idf"))
+    save(mean.select("mean_idf", F.lit(n_docs).cast("long").alias("docs"), F.lit((n[1] or 0) / n_docs if n_docs else 1.0).alias("avg_size")).coalesce(1), "counts")
 
 
 def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     counts = spark.read.schema("mean_idf double, docs long, avg_size double").parquet(f"{path}/counts")
     one = counts.first()
     return LexicalIndex(
-        spark.read.schema("doc long, size int, words array<string>, terms array<long>").parquet(f"{path}/forward"),
-        spark.read.schema("term string, no long, df long, idf double").parquet(f"{path}/terms"),
-        spark.read.schema("no long, level int, part int, n long, least int, docs array<long>, sizes array<int>").parquet(f"{path}/blocks"),
+        spark.read.schema("doc long, size int, terms array<long>").parquet(f"{path}/forward"),
+        spark.read.schema("no long, df long, idf double").parquet(f"{path}/terms"),
+        spark.read.schema("no long, place int, n long, least int, docs array<long>").parquet(f"{path}/blocks"),
         int(one["docs"] or 0), float(one["avg_size"]), counts,
     )
 
@@ -114,18 +114,18 @@ def asked_terms(index: LexicalIndex, queries: DataFrame, query: str) -> DataFram
     """(query, no, idf) of the questions' distinct terms that the index holds."""
     mean = index.counts.select("mean_idf")  # one row
     weight = F.when(F.col("idf") < 0, F.lit(FLOOR) * F.col("mean_idf")).otherwise(F.col("idf"))
-    return queries.select(query, "term").distinct().join(index.terms, "term").crossJoin(F.broadcast(mean)).select(query, "no", weight.alias("idf"))
+    return queries.select(query, F.xxhash64("term").alias("no")).distinct().join(index.terms, "no").crossJoin(F.broadcast(mean)).select(query, "no", weight.alias("idf"))
 
 
 def _heads(index: LexicalIndex, asked: DataFrame, query: str) -> DataFrame:
-    """(query, no, level, part, n, idf, bound, upto, whole): bound is the block's own, upto that of it and all lighter terms
-    in the same (level, part), whole that of all terms there. Only the blocks' heads are read, not their documents."""
-    rows = index.blocks.select("no", "level", "part", "n", "least").join(asked, "no")
+    """(query, no, place, n, idf, least, bound, upto, whole): bound is the block's own, upto that of it and all lighter terms in
+    the same place, whole that of all terms there. Only the blocks' heads are read, not their documents."""
+    rows = index.blocks.select("no", "place", "n", "least").join(asked, "no")
     bound = F.greatest(F.col("idf"), F.lit(0.0)) * length_factor(F.col("best"), index.avg_size)
-    place = Window.partitionBy(query, "level", "part")
+    place = Window.partitionBy(query, "place")
     rows = rows.withColumn("best", F.min("least").over(place)).withColumn("bound", bound)
     lighter = place.orderBy("idf", "no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(query, "no", "level", "part", "n", "idf", "bound", F.sum("bound").over(lighter).alias("upto"), F.sum("bound").over(place).alias("whole"))
+    return rows.select(query, "no", "place", "n", "idf", F.col("best").alias("least"), "bound", F.sum("bound").over(lighter).alias("upto"), F.sum("bound").over(place).alias("whole"))
 
 
 def _scored(index: LexicalIndex, candidates: DataFrame, bags: DataFrame, query: str) -> DataFrame:
@@ -142,7 +142,7 @@ def search(index: LexicalIndex, queries: DataFrame, top: int, query: str = "item
 
     * Threshold: the blocks of each question's few heaviest terms give documents; the best of these by what was seen are
       scored whole, and the `top`-th score is one that every hit must reach.
-    * Blocks: in each (level, part) a question's terms are ordered by weight. If all of them together stay below the
+    * Blocks: in each place a question's terms are ordered by weight. If all of them together stay below the
       threshold, nothing there is read. Otherwise the light ones that together stay below it are left out, since a
       document with these alone can't be a hit; the rest are opened.
     * Scores: the best documents of opened blocks raise the threshold once more; those that can still reach it, counting
@@ -159,10 +159,11 @@ def search(index: LexicalIndex, queries: DataFrame, top: int, query: str = "item
     bags = cut(bags)
 
     def opened(some: DataFrame) -> DataFrame:
-        """(query, doc, seen, size, left): documents of blocks, the weight seen of each, and the bound of what was not opened."""
-        rows = some.join(index.blocks.select("no", "level", "part", "docs", "sizes"), ["no", "level", "part"])
-        rows = rows.select(query, "idf", "left", F.explode(F.arrays_zip("docs", "sizes")).alias("d"))
-        return rows.groupBy(query, F.col("d.docs").alias("doc")).agg(F.sum("idf").alias("seen"), F.first("d.sizes").alias("size"), F.min("left").alias("left"))
+        """(query, doc, seen, size, left): documents of blocks, the weight seen of each at the least size of its place, and the
+        bound of what was not opened."""
+        rows = some.select(query, "no", "place", "idf", "left", F.col("least").alias("size")).join(index.blocks.select("no", "place", "docs"), ["no", "place"])
+        rows = rows.select(query, "idf", "size", "left", F.explode("docs").alias("doc"))
+        return rows.groupBy(query, "doc").agg(F.sum("idf").alias("seen"), F.first("size").alias("size"), F.min("left").alias("left"))
 
     # the heaviest terms, until they have several times as many postings as are asked for
     sizes = asked.join(index.terms.select("no", "df"), "no")
@@ -181,10 +182,10 @@ def search(index: LexicalIndex, queries: DataFrame, top: int, query: str = "item
     best = lambda rows, k: ranked(rows, [query], shown.desc(), F.col("doc"), top=k).select(query, "doc")
     least = reached(best(opened(some), 4 * top))
     # blocks that may hold a hit, and of these the terms that a hit must hold one of
-    needed = heads.join(least, query).where((F.col("whole") >= F.col("least")) & (F.col("upto") >= F.col("least")))
-    place = Window.partitionBy(query, "level", "part")
+    needed = heads.withColumnRenamed("least", "lowest").join(least, query).where((F.col("whole") >= F.col("least")) & (F.col("upto") >= F.col("least")))
+    place = Window.partitionBy(query, "place")
     needed = needed.withColumn("left", F.max("whole").over(place) - F.sum("bound").over(place))
-    needed = cut(needed.select(query, "no", "level", "part", "n", "idf", "left"))
+    needed = cut(needed.select(query, "no", "place", "n", "idf", F.col("lowest").alias("least"), "left"))
     may = cut(opened(needed).join(least, query).where(shown + F.col("left") >= F.col("least")).select(query, "doc", "seen", "size", "left"))
     # the best of what was seen now raise the threshold, before the rest is scored
     least = reached(best(may, 8 * top))
