@@ -116,16 +116,20 @@ class Discriminant:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Discriminant | None:
-    """Learn from a bounded sample; only its statistics, a few numbers a document, reach the driver. None: nothing to learn from."""
+    """Learn from a bounded sample; only its statistics, a few numbers a document, reach the driver. None: nothing to learn from.
+
+    Defined results: as fit_toxicity(): unknown, held-out and null labels are left out, null texts are empty ones, rows that
+    repeat count each, other columns are ignored.
+    """
     from ._labels import training_sample
 
-    rows, shares = training_sample(docs.select("doc_id", "text"), labels, "quality", per_class)
+    rows, shares, label = training_sample(docs.select("doc_id", "text"), labels, "quality", per_class)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [statistics(t) for t in b["text"]]})
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", text_of().alias("text")).mapInPandas(run, "doc_id long, y int, x array<double>").toPandas()
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y"), text_of().alias("text")).mapInPandas(run, "doc_id long, y int, x array<double>").toPandas()
     if not len(got):
         return None
     got = got.sort_values("doc_id", kind="stable")

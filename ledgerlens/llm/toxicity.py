@@ -68,11 +68,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_
     The sample (at most about 2 * per_class texts of at most TRAIN_CHARS characters) is brought to the driver, where
     numpy trains; its size does not grow with the corpus. The score is shifted so that 0.5 is the cut of the largest F1
     over all languages, at the classes' true shares; each language with enough rows of both classes has its own cut.
+
+    Defined results: labels of unknown or held-out documents, and null or other labels, are left out; null texts are empty
+    ones; rows that repeat a doc_id all count; without rows of both classes the model scores 0; other columns of docs, of
+    whatever name, are ignored.
     """
     ship(docs.sparkSession)
-    rows, shares = training_sample(docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS), labels, "toxic", per_class)
+    rows, shares, label = training_sample(docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS), labels, "toxic", per_class)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", lang.alias("lang"), text_of().alias("text")).toPandas()
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y"), lang.alias("lang"), text_of().alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"], kind="stable")
     y, texts = got["y"].to_numpy(), got["text"].tolist()
     if len(got) < 2 or y.min() == y.max():
