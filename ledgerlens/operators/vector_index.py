@@ -362,3 +362,19 @@ def graph_topk(index: VectorIndex, queries: DataFrame, top: int, beam: int = 512
     fellow = ranked(own.join(index.codes, ["cell", "code"]).select("node", "vec_id"), ["node"], F.col("vec_id"), top=top + 1)
     found = found.join(fellow.select("node", "vec_id"), "node").select("qid", "vec_id")
     return exact_top(found, index, queries, top).join(state.select("qid", "compared"), "qid")
+
+
+def late_pq_topk(index: VectorIndex, tokens: DataFrame, questions: DataFrame, top: int, short: int = 200) -> DataFrame:
+    """Late interaction over candidates: (qid, doc, score, rank) of documents that hold a token near one of the question's.
+
+    index: of token vectors, by vec_id. tokens: (doc, vec_id, embedding). questions: (qid, vec_id, qv), one row per token.
+    Each token's short list of codes names documents; only these are compared, token by token, on whole vectors. A
+    question's own document (doc = qid) is left out.
+    """
+    near = short_lists(index, questions.select(F.col("vec_id").alias("qid"), "qv"), short).select(F.col("qid").alias("token"), "vec_id")
+    pairs = near.join(tokens.select("vec_id", "doc"), "vec_id").join(questions.select(F.col("vec_id").alias("token"), "qid"), "token")
+    pairs = pairs.where(F.col("doc") != F.col("qid")).select("qid", "doc").distinct()
+    hit = pairs.join(tokens.select("doc", "embedding"), "doc").join(questions.select("qid", F.col("vec_id").alias("token"), "qv"), "qid")
+    best = hit.groupBy("qid", "doc", "token").agg(F.max(dot(F.col("qv"), F.col("embedding"))).alias("best"))
+    scored = best.groupBy("qid", "doc").agg(F.round(F.sum("best"), 4).alias("score"))
+    return ranked(scored, ["qid"], F.col("score").desc(), F.col("doc"), top=top)
