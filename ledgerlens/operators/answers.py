@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .filters import given
 from .retrieval import ranked
+from .routing import alias_matches
 
 LEVELS = ("low", "medium", "high")
 
@@ -34,7 +35,8 @@ def label_matches(questions: DataFrame, reports: DataFrame, evidence: DataFrame,
     asked = questions.select("question_id", F.explode("labels").alias("label")).withColumn("key", X.normalize_text(F.col("label"), exact)).where("key <> ''")
     tags = reports.select("doc", F.explode("tags").alias("tag")).withColumn("key", X.normalize_text(F.col("tag"), exact)).select("doc", "key").distinct()
     said = evidence.select("doc", X.normalize_text(F.col("label"), exact).alias("said")).distinct()
-    words = said.select("said").distinct().join(asked.select("key").distinct(), F.contains("said", F.col("key")))
+    vocabulary = said.select("said", F.col("said").alias("text")).distinct()
+    words = alias_matches(vocabulary, asked.select(F.col("key").alias("alias")).distinct(), "said", fold=False).select("said", F.col("alias").alias("key"))
     by_evidence = said.join(words, "said").select("doc", "key").distinct()
     hit = asked.join(tags.unionByName(by_evidence).distinct(), "key").groupBy("question_id", "doc").agg(F.array_sort(F.collect_set("label")).alias("matched_labels"))
     return hit.join(reports.select("doc", "company", "code"), "doc")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .filters import given
+from .retrieval import ranked
 
 #: What ends a line, as Python's splitlines() sees it.
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: White space that is cut off lines.
 BLANKS = " \t\n\x0b\f\r"
 #: Suffixes of section titles (fixed values).
-TITLE_ENDS = "报告 概况 概览 目录 说明 分析 风险提示 情况".split()
+TITLE_ENDS = ("报告", "概况", "概览", "目录", "说明", "分析", "风险提示", "情况")
 
 
 # -- page text -----------------------------------------------------------------------------------------------------------
@@ -538,11 +539,25 @@ def chunk_type(value: Column, node_type: Column) -> Column:
     return out
 
 
-def context(rows: DataFrame, by: list[str], per_doc: int = 2500, total: int = 8000, mark: str = "...[cut]") -> DataFrame:
-    """Texts in rank order, cut by a budget per document and one in all; what is cut ends in a mark."""
-    cut = rows.withColumn("part", F.when(F.length("text") > per_doc, F.concat(F.substring("text", 1, per_doc), F.lit(mark))).otherwise(F.col("text")))
-    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("before", F.coalesce(F.sum(F.length("part")).over(w), F.lit(0))).where(F.col("before") < total)
+def context(rows: DataFrame, by: list[str], per_doc: int = 2500, total: int = 8000, mark: str = "...[cut]", order: str = "rank") -> DataFrame:
+    """Texts in order (unique within `by`), cut by a budget per document and one in all; what is cut ends in a mark.
+
+    Which texts fit follows from lengths alone: each group's first `total` lengths that aren't 0 are summed up, and texts,
+    cut, are only fetched for these. Texts of no length stand between them as empty parts, up to the last that fits.
+    """
+    size = F.least(F.length("text"), F.when(F.length("text") > per_doc, per_doc + len(mark)).otherwise(F.length("text")))
+    sizes = ranked(rows.select(*by, order, size.alias("n")).where("n > 0"), by, F.col(order), top=total, name="nth")
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < total)
+    ends = held.groupBy(*by).agg(F.max(F.struct(order, (F.col("before") + F.col("n") >= total).alias("full"))).alias("m"))
+    own = lambda df, *more: df.select(*[F.col(c).alias(f"own_{c}") for c in (*by, *more)], *[c for c in df.columns if c in ("before", "m")])
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in by]
+    part = F.when(F.length("text") > per_doc, F.concat(F.substring("text", 1, per_doc), F.lit(mark))).otherwise(F.col("text")).alias("part")
     room = F.lit(total) - F.col("before")
-    cut = cut.withColumn("part", F.when(F.length("part") > room, F.concat(F.substring(F.col("part"), F.lit(1), room.cast("int")), F.lit(mark))).otherwise(F.col("part")))
-    return cut.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+    texts = rows.select(*by, order, F.coalesce("text", F.lit("")).alias("text"))
+    full = texts.where(F.length("text") > 0).join(own(held, order), [*same, F.col(order) == F.col(f"own_{order}")]).select(*by, order, part, "before")
+    full = full.select(*by, order, F.when(F.length("part") > room, F.concat(F.substring(F.col("part"), F.lit(1), room.cast("int")), F.lit(mark))).otherwise(F.col("part")).alias("part"))
+    empty = texts.where(F.length("text") == 0).join(own(ends), same, "left").where(F.col("m").isNull() | ~F.col("m.full") | (F.col(order) < F.col(f"m.{order}")))
+    empty = empty.select(*by, order, F.lit("").alias("part"))
+    both = full.unionByName(empty)
+    return both.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "part"))), lambda x: x["part"]), "\n\n").alias("context"))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
 from .retrieval import ranked
 
 
@@ -36,9 +37,9 @@ def mix(rows: DataFrame, group: str, key: str, quota: int, salt: str = "mix") ->
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """`turn` (from 1) of every row in its group, and its `place` (from 1) when groups take turns in the order of their names.
 
-    A place is the number of rows of earlier turns, which are sums of least(group size, turn - 1), plus the groups that take
-    the same turn before: both follow from group sizes. Turns are numbered range by range of `order`: ranges come from
-    approximate quantiles, their sizes are counted, so no group is numbered in one task.
+    A place is a row's number in order of turn and group. Turns are numbered range by range of `order`: ranges come from
+    approximate quantiles, their sizes are counted, so no group is numbered in one task; places are numbered by ranges of
+    (turn, group) in the same way, with one count per task on the driver.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -51,11 +52,12 @@ def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     turn = F.row_number().over(Window.partitionBy(group, "__range").orderBy(order)) + F.col("__before")
     rows = rows.join(before.withColumnRenamed(group, "__g"), (F.col(group).eqNullSafe(F.col("__g"))) & (rows["__range"] == before["__range"])).drop(before["__range"]).withColumn("turn", turn)
-    # one array of (group, size) rides along: groups are the strata, a small vocabulary
-    groups = sizes.groupBy(group).agg(F.sum("__n").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "n"))).alias("__groups"))
-    done = F.aggregate("__groups", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], F.col("turn") - 1))
-    ahead = F.size(F.filter("__groups", lambda x: (x["n"] >= F.col("turn")) & F.coalesce(x["g"] < F.col(group), x["g"].isNull() & F.col(group).isNotNull())))
-    return rows.crossJoin(F.broadcast(groups)).withColumn("place", done + ahead + 1).drop("__range", "__g", "__before", "__groups")
+    rows = rows.drop("__range", "__g", "__before").repartitionByRange("turn", group).sortWithinPartitions("turn", group)
+    rows = cut(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = sorted(tuple(r) for r in rows.groupBy("__part").count().collect())
+    first = [(part, sum(n for p, n in counts if p < part)) for part, _ in counts]
+    offset = spark.createDataFrame(first, "__part int, __first long")
+    return rows.join(F.broadcast(offset), "__part").withColumn("place", F.col("__first") + F.col("__at") + 1).drop("__part", "__at", "__first")
 
 
 def rotated_take(rows: DataFrame, by: list[str], order: str, start: Column, most: int) -> DataFrame:

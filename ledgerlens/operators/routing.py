@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import char_ngrams, currency_token, normalize_text, period_token, query_fingerprint, security_codes
 from .retrieval import ranked
@@ -27,26 +31,65 @@ def catalog_topk(pairs: DataFrame, by: list[str], top: int, *ties: Column) -> Da
 
 #: Characters of the pieces by which names and texts meet.
 GRAM = 5
+#: Names that every task may hold as one automaton: so many, and so many characters in all. Their number is counted first.
+NAMES, NAME_CHARS = 100_000, 2_000_000
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, key: str, fold: bool = True, exact: bool = True) -> DataFrame:
     """(key, alias, position): names that stand anywhere in a text, inside longer words too, with their first position.
 
+    Up to NAMES names go to every task as one automaton, which passes over each text once, whatever their number; texts
+    don't move. More names meet the texts by equality of pieces (_by_pieces). Both ways give the same rows. fold: both sides
+    in their normal form, else as they are. Null texts hold nothing, null and empty names are nowhere.
+    """
+    form = (lambda c: normalize_text(c, exact)) if fold else (lambda c: c)
+    names = aliases.select(F.col("alias").cast("string").alias("alias"), form(F.col("alias")).alias("name")).where("name <> ''").distinct()
+    low = texts.select(key, form(F.col("text")).alias("low"))
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("name") + F.length("alias")), F.lit(0)).alias("chars")).first()
+    if size["n"] > NAMES or size["chars"] > NAME_CHARS:
+        return _by_pieces(low, names, key)
+    by_name: dict[str, list[str]] = {}
+    for alias, name in sorted(tuple(r) for r in names.collect()):
+        by_name.setdefault(name, []).append(alias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for name, said in by_name.items():
+            found.add_word(name, (len(name), said))
+        if by_name:
+            found.make_automaton()
+        for batch in batches:
+            row, alias, position = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if by_name else ()):
+                seen: set[str] = set()
+                for end, (n, said) in found.iter(text or ""):
+                    if said[0] not in seen:  # the first place a name ends is the first it begins
+                        seen.add(said[0])
+                        row += [i] * len(said)
+                        alias += said
+                        position += [end - n + 2] * len(said)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(alias, pa.string()), pa.array(position, pa.int64())], [key, "alias", "position"])
+
+    return low.mapInArrow(run, T.StructType([low.schema[key], T.StructField("alias", T.StringType()), T.StructField("position", T.LongType())]))
+
+
+def _by_pieces(low: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """alias_matches() for any number of names.
+
     Of every name one piece of GRAM characters (the whole name, if shorter) is a key: of its pieces the one that the fewest
     texts hold. Texts meet these keys by equality on their own pieces; only pairs that share a piece are compared, and no
-    text with every name. fold: both sides in their normal form, else as they are.
+    text with every name.
     """
-    form = (lambda c: normalize_text(c, exact)) if fold else (lambda c: c)
-    names = aliases.select("alias", form(F.col("alias")).alias("name")).where("name <> ''")
     sizes = sorted(r[0] for r in names.select(F.least(F.length("name"), F.lit(GRAM))).distinct().collect())  # GRAM values at most
     if not sizes:
-        return texts.select(key, F.lit(None).cast("string").alias("alias"), F.lit(0).cast("long").alias("position")).where("false")
+        return low.select(key, F.lit(None).cast("string").alias("alias"), F.lit(0).cast("long").alias("position")).where("false")
     pieces = lambda c, n: char_ngrams(c, n)
     of_name = F.lit(None).cast("array<string>")
     for n in sizes:
         of_name = F.when(F.least(F.length("name"), F.lit(GRAM)) == n, F.array_distinct(pieces(F.col("name"), n))).otherwise(of_name)
     named = names.select("alias", "name", F.explode(of_name).alias("piece"))
-    low = texts.select(key, form(F.col("text")).alias("low"))
     held = low.select(key, F.explode(F.array_distinct(F.concat(*[pieces(F.col("low"), n) for n in sizes]))).alias("piece"))
     # a piece in no text settles its names at once
     df = held.join(named.select("piece").distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("df"))

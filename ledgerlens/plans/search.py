@@ -338,8 +338,12 @@ def kind_bonus_rerank(spark, d):
 SELECT qid, c_custkey, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, c_acctbal DESC, c_custkey DESC) AS rank FROM p WHERE score > 0) WHERE rank <= 10""")
 def catalog_score_topk(spark, d):
     c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    seg = c.select(F.col("c_mktsegment").alias("qid")).distinct()
-    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(F.broadcast(seg))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    # without its name a customer scores the same for every segment, so only the best of each segment can be among anyone's best
+    rows = rows.withColumn("base", G.catalog_score(doc_type=F.col("r_name") == "ASIA", year=F.col("c_acctbal") > 5000))
+    rows = R.ranked(rows, ["c_mktsegment"], F.col("base").desc(), F.col("c_acctbal").desc(), F.col("c_custkey").desc(), top=10).drop("rank")
+    names = rows.groupBy(F.lit(1).alias("one")).agg(F.collect_set("c_mktsegment").alias("segments"))  # one row, a name per segment
+    rows = rows.withColumn("one", F.lit(1)).join(names, "one").withColumn("qid", F.explode("segments"))
     rows = rows.withColumn("score", G.catalog_score(name=F.col("c_mktsegment") == F.col("qid"), doc_type=F.col("r_name") == "ASIA", year=F.col("c_acctbal") > 5000))
     return G.catalog_topk(rows, ["qid"], 10, F.col("c_acctbal").desc(), F.col("c_custkey").desc()).select("qid", "c_custkey", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -424,5 +428,4 @@ b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY rank ROWS BET
 c AS (SELECT *, CASE WHEN p > 8000 - before THEN 8000 - before + 8 ELSE p END AS q FROM b WHERE before < 8000)
 SELECT source, CAST(sum(q) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM c GROUP BY source""")
 def context_budget(spark, d):
-    rows = R.ranked(table(spark, d, "documents").select("doc_id", "source", "text"), ["source"], F.col("doc_id"))
-    return C.context(rows, ["source"]).select("source", F.length("context").cast("long").alias("chars"))
+    return C.context(table(spark, d, "documents").select("doc_id", "source", "text"), ["source"], order="doc_id").select("source", F.length("context").cast("long").alias("chars"))
