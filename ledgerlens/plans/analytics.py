@@ -278,7 +278,7 @@ def micro_recall_levels(spark, d):
     return total.select("gold", "hits", E.ratio(F.col("hits"), F.col("gold")).alias("micro_recall"))
 
 
-PAIRS = r"p AS (SELECT doc_id, item_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
+PAIRS = r"k AS (SELECT doc_id, text, doc_id % n AS item_id FROM documents, (SELECT count(*) AS n FROM benchmark)), p AS (SELECT doc_id, item_id, k.text AS a, b.text AS b FROM k JOIN benchmark b USING (item_id))"
 WORDS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[\s\x1c-\x1f]+', ' ', 'g')), '[\s,;|/]+'), lambda t: t <> '')"
 
 
@@ -300,14 +300,16 @@ def token_f1(spark, d):
     return rows.select("doc_id", E.multiset_f1(F.col("x"), F.col("y")).alias("f1"))
 
 
+#: Distinct neighbours in a list of characters; a lone character stands for itself.
+GRAMS = "list_distinct(CASE WHEN len({0}) > 1 THEN list_transform(range(1, len({0})), lambda i: {0}[i] || {0}[i + 1]) ELSE list_filter({0}, lambda t: t <> '') END)"
 FREE = r"regexp_replace(trim(regexp_replace(lower({}), '[\s\x1c-\x1f]+', ' ', 'g')), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')"
 
 
 @register(rf"""WITH {PAIRS}, f AS (SELECT doc_id, {FREE.format('a')} AS a, {FREE.format('b')} AS b FROM p),
-x AS (SELECT DISTINCT doc_id, substr(a, i, 2) AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(length(a), 2))) AS i FROM f WHERE a <> '')),
-y AS (SELECT DISTINCT doc_id, substr(b, i, 2) AS g FROM (SELECT doc_id, b, unnest(range(1, greatest(length(b), 2))) AS i FROM f WHERE b <> '')),
-c AS (SELECT doc_id, sum(nx) AS nx, sum(ny) AS ny, sum(nb) AS nb FROM (SELECT doc_id, count(*) AS nx, 0 AS ny, 0 AS nb FROM x GROUP BY 1 UNION ALL SELECT doc_id, 0, count(*), 0 FROM y GROUP BY 1 UNION ALL SELECT doc_id, 0, 0, count(*) FROM x JOIN y USING (doc_id, g) GROUP BY 1) GROUP BY 1)
-SELECT doc_id, round(CASE WHEN nx + ny > nb THEN nb / (nx + ny - nb) ELSE 0.0 END, 4) AS jaccard, round(CASE WHEN least(nx, ny) > 0 THEN nb / least(nx, ny) ELSE 0.0 END, 4) AS containment FROM f JOIN c USING (doc_id)""")
+h AS (SELECT doc_id, string_split(a, '') AS a, string_split(b, '') AS b FROM f),
+x AS (SELECT doc_id, {GRAMS.format('a')} AS x, {GRAMS.format('b')} AS y FROM h),
+c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS nb FROM x)
+SELECT doc_id, round(CASE WHEN nx + ny > nb THEN nb / (nx + ny - nb) ELSE 0.0 END, 4) AS jaccard, round(CASE WHEN least(nx, ny) > 0 THEN nb / least(nx, ny) ELSE 0.0 END, 4) AS containment FROM c""")
 def ngram_jaccard(spark, d):
     """Character bigrams of whole texts without signs: one linear pass a text, sets compared within the row."""
     rows = _pairs(spark, d).select("doc_id", E.free_text(F.col("a")).alias("a"), E.free_text(F.col("b")).alias("b"))
