@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerlens.plans import analytics, reports, samples, search, stores
+from ledgerlens.plans import analytics, files, reports, samples, search, stores
 
 SF = "/root/testdata/sf0.001"
-ALL = search.QUERIES | analytics.QUERIES | reports.QUERIES | samples.QUERIES | stores.QUERIES
-SQL = search.SQL | analytics.SQL | reports.SQL | samples.SQL | stores.SQL
+ALL = search.QUERIES | analytics.QUERIES | reports.QUERIES | samples.QUERIES | stores.QUERIES | files.QUERIES
+SQL = search.SQL | analytics.SQL | reports.SQL | samples.SQL | stores.SQL | files.SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
