@@ -51,12 +51,12 @@ def canonical_columns(rows: DataFrame, names: dict[str, tuple[str, ...]] | None
     """Rows under canonical names: of each name's columns the first that holds something; other columns stay."""
     names = names or ALIASES
     have = {c.lower(): c for c in rows.columns}
-    out, used = [], set()
+    out, used, kinds = [], set(), dict(rows.dtypes)
     for name, alternatives in names.items():
         found = [have[a] for a in alternatives if a in have]
         used |= set(found)
         if found:
-            out.append(first_present(*[F.col(f"`{c}`") for c in found]).alias(name))
+            out.append(first_present(*[F.col(f"`{c}`") for c in found]).cast(kinds[found[0]]).alias(name))
     return rows.select(*out, *[F.col(f"`{c}`") for c in rows.columns if c not in used])
 
 
