@@ -201,7 +201,7 @@ def test_pipeline_line_dedup(stages):
 
 
 def test_pipeline_near_copies(stages):
-    before, after = (x.toPandas() for x in stages["simhash_near_dedup"])
+    before, after = (x.toPandas() for x in stages["near_copy_dedup"])
     sets = {}
     for r in before.itertuples():
         words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower())
