@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from .retrieval import ranked
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Goes up with every change of what is stored.
+LAYOUT = 1
 #: Documents of one block at most, about; the ratio of sizes within a level.
 BLOCK, RATIO = 4096, 1.15
 #: What a level's number is multiplied by to number its parts: more parts than this would need 4096 million documents of a level.
 PARTS = 1_000_000
+#: Documents whose forward rows are picked by a broadcast of their numbers, at most.
+LOOKED = 500_000
 #: Rounding of scores: what a bound must fall short of to be skipped.
 SLACK = 1e-3
 
@@ -22,8 +26,8 @@ SLACK = 1e-3
 class LexicalIndex:
     """A stored index.
 
-    forward: (doc, size, terms), one row per document. terms: (no, df, idf). blocks: (no, place, n, least, docs): the
-    documents of one term in one place, a size level and one of its parts.
+    forward: (doc, size, terms), one row per document. terms: (no, df, idf). blocks: (no, place, n, docs): the documents of
+    one term in one place, a size level and one of its parts.
     """
 
     forward: DataFrame
@@ -39,6 +43,11 @@ def level_of(size: Column) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(RATIO))).cast("int")
 
 
+def least_size(place: Column) -> Column:
+    """A size that no document of a place falls below: that of its level."""
+    return F.greatest(F.floor(F.pow(F.lit(RATIO), F.floor(place / PARTS)) - 1e-6), F.lit(1)).cast("int")
+
+
 def length_factor(size: Column, avg_size: float) -> Column:
     """What a term's weight is multiplied by in a document of so many distinct terms (every frequency is 1)."""
     return F.lit(K1 + 1) / (1 + F.lit(K1) * (1 - B + B * size / F.lit(avg_size)))
@@ -65,10 +74,10 @@ def write_lexical_index(docs: DataFrame, tokens: Column, path: str, key: str = "
     n_docs = n[0] or 0
     part = F.pmod(F.xxhash64("doc"), F.col("parts"))
     placed = forward.withColumn("level", level_of(F.col("size"))).join(F.broadcast(levels.select("level", "parts")), "level")
-    post = placed.select("doc", "size", (F.col("level") * PARTS + part).cast("int").alias("place"), F.explode("terms").alias("no"))
-    # sizes within a level are alike: the least of a block stands for all
-    block = post.groupBy("no", "place").agg(F.min("size").alias("least"), F.collect_list("doc").alias("docs"))
-    save(block.select("no", "place", F.size("docs").cast("long").alias("n"), "least", "docs"), "blocks")
+    post = placed.select("doc", (F.col("level") * PARTS + part).cast("int").alias("place"), F.explode("terms").alias("no"))
+    # most terms of a task stand in one document, so gathering them before they move would only add to what moves
+    block = post.repartition("no", "place").groupBy("no", "place").agg(F.collect_list("doc").alias("docs"))
+    save(block.select("no", "place", F.size("docs").cast("long").alias("n"), "docs"), "blocks")
     blocks = spark.read.schema("no long, place int, n long").parquet(f"{path}/blocks")
     df = blocks.groupBy("no").agg(F.sum("n").alias("df"))
     save(df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
@@ -84,7 +93,7 @@ def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(
         spark.read.schema("doc long, size int, terms array<long>").parquet(f"{path}/forward"),
         spark.read.schema("no long, df long, idf double").parquet(f"{path}/terms"),
-        spark.read.schema("no long, place int, n long, least int, docs array<long>").parquet(f"{path}/blocks"),
+        spark.read.schema("no long, place int, n long, docs array<long>").parquet(f"{path}/blocks"),
         int(one["docs"] or 0), float(one["avg_size"]), counts,
     )
 
@@ -102,7 +111,7 @@ def lexical_index(docs: DataFrame, tokens: Column, name: str, key: str = "doc_id
     spark = docs.sparkSession
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("sum")).first()
-    path = f"{shared_dir(spark)}/lexical-{name}-{state['n']}-{state['sum'] or 0}"
+    path = f"{shared_dir(spark)}/lexical-{LAYOUT}-{name}-{state['n']}-{state['sum'] or 0}"
     try:
         return read_lexical_index(spark, path)
     except AnalysisException:
@@ -120,17 +129,22 @@ def asked_terms(index: LexicalIndex, queries: DataFrame, query: str) -> DataFram
 def _heads(index: LexicalIndex, asked: DataFrame, query: str) -> DataFrame:
     """(query, no, place, n, idf, least, bound, upto, whole): bound is the block's own, upto that of it and all lighter terms in
     the same place, whole that of all terms there. Only the blocks' heads are read, not their documents."""
-    rows = index.blocks.select("no", "place", "n", "least").join(asked, "no")
-    bound = F.greatest(F.col("idf"), F.lit(0.0)) * length_factor(F.col("best"), index.avg_size)
+    rows = index.blocks.select("no", "place", "n").join(asked, "no").withColumn("least", least_size(F.col("place")))
+    bound = F.greatest(F.col("idf"), F.lit(0.0)) * length_factor(F.col("least"), index.avg_size)
     place = Window.partitionBy(query, "place")
-    rows = rows.withColumn("best", F.min("least").over(place)).withColumn("bound", bound)
+    rows = rows.withColumn("bound", bound)
     lighter = place.orderBy("idf", "no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(query, "no", "place", "n", "idf", F.col("best").alias("least"), "bound", F.sum("bound").over(lighter).alias("upto"), F.sum("bound").over(place).alias("whole"))
+    return rows.select(query, "no", "place", "n", "idf", "least", "bound", F.sum("bound").over(lighter).alias("upto"), F.sum("bound").over(place).alias("whole"))
 
 
 def _scored(index: LexicalIndex, candidates: DataFrame, bags: DataFrame, query: str) -> DataFrame:
-    """(query, doc, score) of candidates, from their rows of the forward table alone."""
-    rows = candidates.join(index.forward.select("doc", "size", "terms"), "doc").join(bags, query)
+    """(query, doc, score) of candidates, from their rows of the forward table alone. Up to LOOKED documents, which are counted
+    first, pick these rows where they are read; the rows of more meet them by a shuffle."""
+    docs = candidates.select("doc").distinct()
+    forward = index.forward.select("doc", "size", "terms")
+    if docs.count() <= LOOKED:
+        forward = forward.join(F.broadcast(docs), "doc", "left_semi")
+    rows = candidates.join(forward, "doc").join(bags, query)
     both = F.aggregate(F.array_intersect("terms", "nos"), F.lit(0.0), lambda s, t: s + F.element_at("weights", t))
     return rows.select(query, "doc", F.round(both * length_factor(F.col("size"), index.avg_size), 4).alias("score"))
 
@@ -174,7 +188,7 @@ def search(index: LexicalIndex, queries: DataFrame, top: int, query: str = "item
 
     def reached(documents: DataFrame) -> DataFrame:
         """(query, least): what the `top`-th of some documents scores, and so every hit at least; no bound where they are fewer."""
-        known = ranked(_scored(index, documents, bags, query), [query], F.col("score").desc(), F.col("doc"), top=top)
+        known = ranked(_scored(index, cut(documents), bags, query), [query], F.col("score").desc(), F.col("doc"), top=top)
         least = known.groupBy(query).agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("least"))
         return cut(names.join(least, query, "left").select(query, (F.coalesce("least", F.lit(float("-inf"))) - SLACK).alias("least")))
 
