@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import backends as K
 from ..operators import chunks as C
 from ..operators import filters as P
 from ..operators import fusion as U
@@ -102,6 +103,25 @@ def rrf_fusion(spark, d):
     return out.select("qid", "doc_id", F.col("score").cast("double").alias("score"), "sources", F.col("rank").cast("long").alias("rank"))
 
 
+@register(f"""WITH {BM25}, {TAGS},
+li AS (SELECT item_id AS qid, 'bm25' AS source, doc_id, score, rank FROM rk WHERE rank <= 10 UNION ALL SELECT qid, 'tag', doc_id, score, rank FROM tr WHERE rank <= 10),
+fu AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM li GROUP BY qid, doc_id),
+mm AS (SELECT *, max(score) OVER w AS hi, min(score) OVER w AS lo FROM li WINDOW w AS (PARTITION BY qid, source)),
+av AS (SELECT qid, doc_id, round(sum(round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) WHEN score > 0 THEN 1.0 ELSE 0.0 END, 4)) / 2 + 1e-9, 4) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM mm GROUP BY qid, doc_id),
+al AS (SELECT 'both by rank' AS settings, *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fu
+ UNION ALL SELECT 'both by score', *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) FROM av
+ UNION ALL SELECT 'words alone', item_id, doc_id, score, 'bm25', rank FROM rk UNION ALL SELECT 'tags alone', qid, doc_id, score, 'tag', rank FROM tr)
+SELECT settings, qid, doc_id, CAST(score AS DOUBLE) AS score, sources, rank FROM al WHERE rank <= 5""")
+def configured_retrieval(spark, d):
+    """Four configurations, each with the backends and the fusion that it names."""
+    backends = {"bm25": lambda k: _bm25(spark, d, k).withColumnRenamed("item_id", "qid"), "tag": lambda k: _tags(spark, d, k)}
+    base, out = {"use_vector_dbs": False, "top_n_retrieval": 5, "answering_model": "any"}, None
+    for name, more in (("both by rank", {"use_bm25_db": True}), ("both by score", {"use_bm25_db": True, "fusion_method": "average"}), ("words alone", {"use_bm25_db": True, "use_tag_db": False}), ("tags alone", {})):
+        got = K.retrieve(K.Settings.of(base | more), backends, ["qid"], "doc_id").select(F.lit(name).alias("settings"), "qid", "doc_id", F.col("score").cast("double").alias("score"), "sources", F.col("rank").cast("long").alias("rank"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 LISTS = """
 li AS (SELECT o_orderstatus AS qid, 'price' AS source, o_custkey AS key, max(o_totalprice) AS score FROM orders GROUP BY 1, 3
        UNION ALL SELECT o_orderstatus, 'count', o_custkey, CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 3),
