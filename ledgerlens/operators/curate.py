@@ -160,7 +160,8 @@ def bucket_entries(docs: DataFrame, least: int = 3, most: int = 20) -> DataFrame
 
 
 def surface_form(forms: list[str], key: Column, salt: str, **context: Column) -> Column:
-    """One of the forms whose placeholders ("{name}") are all known, by a stable hash of the key, rendered."""
+    """One of the forms whose placeholders ("{name}") are all known, by a stable hash of the key, rendered. Of up to 16 forms
+    the whole hash's remainder chooses, which the hash modulo 720720 shares."""
     rendered = []
     for i, form in enumerate(forms):
         out, known = F.lit(form), F.lit(True)
@@ -170,7 +171,7 @@ def surface_form(forms: list[str], key: Column, salt: str, **context: Column) ->
         open_names = [n for n in re.findall(r"{(\w+)}", form) if n not in context]
         rendered.append(F.when(known & F.lit(not open_names), F.struct(F.lit(f"{i:02d}").alias("variant"), out.alias("text"))))
     good = F.array_compact(F.array(*rendered))
-    return F.get(good, F.pmod(stable_hash(F.concat(F.lit(f"{salt}::"), key)), F.greatest(F.size(good), F.lit(1))).cast("int"))
+    return F.get(good, F.pmod(stable_hash(F.concat(F.lit(f"{salt}::"), key), 720_720), F.greatest(F.size(good), F.lit(1))).cast("int"))
 
 
 def parity_split(group: Column, slot: Column) -> Column:

@@ -13,6 +13,7 @@ from ..operators import fusion as U
 from ..operators import retrieval as R
 from ..operators import routing as G
 from ..operators import sft as L
+from ..operators import templates as Q
 from ..functions import text as X
 from ..sources import manifests as M
 from ._tables import table
@@ -491,3 +492,44 @@ def token_extraction(spark, d):
     t = F.expr("CASE c_custkey % 4 WHEN 0 THEN ' sz300' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || ' and 600519' WHEN 1 THEN '2023年度报告' WHEN 2 THEN '2024 q2 update' ELSE 'US$' END")
     rows = table(spark, d, "customer").select("c_custkey", t.alias("t"))
     return rows.select("c_custkey", F.array_join(X.security_codes(c("t")), ",").alias("codes"), X.period_token(c("t")).alias("period"), F.when(c("c_custkey") % 4 == 3, X.currency_token(c("t"))).alias("currency"))
+
+
+#: A catalogue for the tables here: two templates of numbers, of which a report takes one, and one of pairs.
+CATALOGUE = [
+    dict(template_id=i, template_family="f", schema=schema, task_type="single_doc_fact", generation_mode=mode, target_key=target, surface_forms=forms, section_hints=hints, split_pool="train", answer_policy="cite", validator_target="v", max_per_doc=1, **more)
+    for i, schema, mode, target, forms, hints, more in (
+        ("n1", "number", "per_doc", "revenue", ["{company_name} revenue in {report_year}", "{company_name}, {section_name}: revenue"], ["Summary", "Income", "Notes"], {}),
+        ("n2", "number", "per_doc", "basic_eps", ["{field_label} of {company_name}", "{missing} of {company_name}", "{report_year} {field_label}, {company_name}", "Tell the {field_label} of {company_name}"], [], {"field_label": "earnings"}),
+        ("p1", "comparative", "per_pair", "revenue", ["{company_a} or {company_b}, {metric_label} in {year}?", "Whose {metric_label}: {company_a}, {company_b}?", "{year}: {company_b} against {company_a}"], [], {"metric_label": "revenue"}),
+    )
+]
+
+
+def _choice_sql(key, n):
+    digits = f"list_transform(string_split(sha1({key}), ''), lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))"
+    return f"(list_reduce(list_prepend(CAST(0 AS BIGINT), {digits}), lambda s, x: (s * 16 + x) % 720720) % {n})"
+
+
+@register(f"""WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name, 2000 + c_custkey % 20 AS y FROM customer WHERE c_custkey % 20 <> 7),
+h AS (SELECT *, {_choice_sql("'number:v1::' || k", 2)} AS start, {_choice_sql("'n1:surface::' || k", 2)} AS f1, {_choice_sql("'n1:section::' || k", 3)} AS s1, {_choice_sql("'n2:surface::' || k", 3)} AS f2 FROM r)
+SELECT k AS doc_id, CASE start WHEN 0 THEN 'n1' ELSE 'n2' END AS template_id, CASE WHEN start = 0 THEN 'seed-v2-number-revenue-0' || f1 || '-' || k ELSE 'seed-v2-number-basic_eps-' || CASE f2 WHEN 0 THEN '00' WHEN 1 THEN '02' ELSE '03' END || '-' || k END AS query_id,
+ CASE WHEN start = 0 THEN CASE f1 WHEN 0 THEN name || ' revenue in ' || y ELSE name || ', ' || ['Summary', 'Income', 'Notes'][s1 + 1] || ': revenue' END
+  ELSE CASE f2 WHEN 0 THEN 'earnings of ' || name WHEN 1 THEN y || ' earnings, ' || name ELSE 'Tell the earnings of ' || name END END AS question_text,
+ CASE WHEN start = 0 AND f1 = 1 THEN 'section_filter' ELSE 'single_doc_fact' END AS task_type, CASE WHEN start = 0 AND f1 = 1 THEN ['Summary', 'Income', 'Notes'][s1 + 1] END AS section_name FROM h""")
+def seed_questions(spark, d):
+    """A question for every report out of a catalogue that was looked over first; reports without a year have none."""
+    assert not Q.catalog_faults(CATALOGUE, ["chairman"])
+    k = c("c_custkey")
+    reports = table(spark, d, "customer").select(k.cast("string").alias("doc_id"), c("c_name").alias("company_name"), F.when(k % 20 == 7, 0).otherwise(2000 + k % 20).alias("report_year"))
+    return Q.per_document(reports, CATALOGUE, "v1").select("doc_id", "template_id", "query_id", "question_text", "task_type", "section_name")
+
+
+@register(f"""WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_a, CAST(c_custkey + 1 AS VARCHAR) AS doc_b, c_name AS na FROM customer WHERE c_custkey % 2 = 0), p AS (SELECT doc_a, doc_b, na, c_name AS nb FROM a JOIN customer ON doc_b = CAST(c_custkey AS VARCHAR)),
+h AS (SELECT *, {_choice_sql("'p1:surface::{\"doc_ids\": [\"' || doc_a || '\", \"' || doc_b || '\"], \"template_id\": \"p1\"}'", 3)} AS f FROM p)
+SELECT doc_a, doc_b, 'seed-v2-comparative-revenue-' || doc_a || '-' || doc_b AS query_id, CASE f WHEN 0 THEN na || ' or ' || nb || ', revenue in 2024?' WHEN 1 THEN 'Whose revenue: ' || na || ', ' || nb || '?' ELSE '2024: ' || nb || ' against ' || na END AS question_text, 'cross_doc_compare' AS task_type FROM h""")
+def pair_questions(spark, d):
+    """A comparing question for every pair of neighbours."""
+    n = table(spark, d, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    a = n.where("k % 2 = 0").select(c("k").cast("string").alias("doc_a"), (c("k") + 1).alias("next"), c("name").alias("company_a"))
+    pairs = a.join(n, c("next") == c("k")).select("doc_a", c("k").cast("string").alias("doc_b"), "company_a", c("name").alias("company_b"), F.lit(2024).alias("year"))
+    return Q.per_pair(pairs, CATALOGUE).select("doc_a", "doc_b", "query_id", "question_text", "task_type")
