@@ -545,7 +545,7 @@ def context(rows: DataFrame, by: list[str], per_doc: int = 2500, total: int = 80
     Which texts fit follows from lengths alone: each group's first `total` lengths that aren't 0 are summed up, and texts,
     cut, are only fetched for these. Texts of no length stand between them as empty parts, up to the last that fits.
     """
-    size = F.least(F.length("text"), F.when(F.length("text") > per_doc, per_doc + len(mark)).otherwise(F.length("text")))
+    size = F.when(F.length("text") > per_doc, per_doc + len(mark)).otherwise(F.length("text"))
     sizes = ranked(rows.select(*by, order, size.alias("n")).where("n > 0"), by, F.col(order), top=total, name="nth")
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     held = sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < total)

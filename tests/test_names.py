@@ -37,17 +37,17 @@ def test_turns_of_groups(spark):
 
 def test_budget_of_contexts(spark):
     rnd = random.Random(3)
-    rows = [(rnd.choice(["a", "b", None, "e"]), i, rnd.choice([None, "", "x", "y" * 30, "z" * 90])) for i in range(120)] + [("only", 500, "")]
-    got = {r.g: r.context for r in C.context(spark.createDataFrame(rows, "g string, rank int, text string"), ["g"], 40, 300, "#").collect()}
+    rows = [(rnd.choice(["a", "b", None, "e"]), i, rnd.choice([None, "", "x", "y" * 30, "z" * 41, "z" * 90])) for i in range(120)] + [("only", 500, "")]
+    got = {r.g: r.context for r in C.context(spark.createDataFrame(rows, "g string, rank int, text string"), ["g"], 40, 300, "##").collect()}
     want = {}
     for g in {r[0] for r in rows}:
         out, before = [], 0
         for _, _, text in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
             part = text or ""
-            part = part[:40] + "#" if len(part) > 40 else part
+            part = part[:40] + "##" if len(part) > 40 else part
             if before >= 300:
                 break
-            out.append(part[: 300 - before] + "#" if len(part) > 300 - before else part)
+            out.append(part[: 300 - before] + "##" if len(part) > 300 - before else part)
             before += len(part)
         want[g] = "\n\n".join(out)
     assert got == want
