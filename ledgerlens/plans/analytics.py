@@ -278,7 +278,7 @@ def micro_recall_levels(spark, d):
     return total.select("gold", "hits", E.ratio(F.col("hits"), F.col("gold")).alias("micro_recall"))
 
 
-PAIRS = r"k AS (SELECT doc_id, text, doc_id % n AS item_id FROM documents, (SELECT count(*) AS n FROM benchmark)), p AS (SELECT doc_id, item_id, k.text AS a, b.text AS b FROM k JOIN benchmark b USING (item_id))"
+PAIRS = r"dealt AS (SELECT doc_id, text, doc_id % n AS item_id FROM documents, (SELECT count(*) AS n FROM benchmark)), p AS (SELECT doc_id, item_id, dealt.text AS a, b.text AS b FROM dealt JOIN benchmark b USING (item_id))"
 WORDS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[\s\x1c-\x1f]+', ' ', 'g')), '[\s,;|/]+'), lambda t: t <> '')"
 
 
