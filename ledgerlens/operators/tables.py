@@ -264,14 +264,15 @@ def page_chains(pages: DataFrame, doc: str) -> DataFrame:
     return rows.withColumn("role", role)
 
 
-def row_offsets(parts: DataFrame, by: list[str], order: str, rows: str) -> DataFrame:
-    """Where each part's rows begin in the whole: the sum of those before; head and unit are inherited from the part before."""
+def row_offsets(parts: DataFrame, by: list[str], order: str | list[str], rows: str) -> DataFrame:
+    """Where each part's rows begin in the whole: the sum of those before; head and unit are inherited from the part before.
+    Parts of one place in `order` come in any order: name more columns where they repeat."""
     w = Window.partitionBy(*by).orderBy(order)
     return parts.withColumn("row_offset", F.coalesce(F.sum(rows).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def inherited(value: Column, by: list[str], order: str) -> Column:
-    """The last known value up to here."""
+def inherited(value: Column, by: list[str], order: str | list[str]) -> Column:
+    """The last known value up to here; `order` as for row_offsets()."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 

@@ -127,7 +127,8 @@ def logical_table_rows(spark, d):
  last_value(CASE WHEN l_discount > 0.05 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY part ROWS UNBOUNDED PRECEDING) AS head FROM li""")
 def header_inheritance(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), _place().alias("part"), "l_quantity", F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("h"))
-    return T.row_offsets(li, ["doc"], "part", "l_quantity").select("doc", "part", F.col("row_offset").cast("long").alias("row_offset"), T.inherited(F.col("h"), ["doc"], "part").alias("head"))
+    order = ["part", "l_quantity", "h"]  # lines of one place in a total order, so that every run gives the same rows
+    return T.row_offsets(li, ["doc"], order, "l_quantity").select("doc", "part", F.col("row_offset").cast("long").alias("row_offset"), T.inherited(F.col("h"), ["doc"], order).alias("head"))
 
 
 @register("""SELECT p_partkey AS key, s.series, p_brand AS x, CASE s.series WHEN 'size' THEN CAST(p_size AS VARCHAR) ELSE CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END AS raw,

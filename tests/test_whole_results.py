@@ -41,3 +41,9 @@ def test_other_companies(spark):
     most, got = most_rows(spark, L.other_companies(asks, held, 4, "q"))
     assert sorted(map(tuple, got)) == sorted(want)
     assert most <= 4 * len(queries)  # not a row per query and report
+
+
+def test_parts_of_one_place(spark):
+    rows = [(1, 5, float(q), h) for q, h in ((3, "a"), (1, None), (2, "b"), (2, "a"))]
+    out = lambda some: sorted(map(str, T.row_offsets(spark.createDataFrame(some, "doc long, part long, n double, h string").coalesce(1), ["doc"], ["part", "n", "h"], "n").withColumn("head", T.inherited(F.col("h"), ["doc"], ["part", "n", "h"])).collect()))
+    assert out(rows) == out(rows[::-1])
