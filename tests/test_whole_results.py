@@ -47,3 +47,16 @@ def test_parts_of_one_place(spark):
     rows = [(1, 5, float(q), h) for q, h in ((3, "a"), (1, None), (2, "b"), (2, "a"))]
     out = lambda some: sorted(map(str, T.row_offsets(spark.createDataFrame(some, "doc long, part long, n double, h string").coalesce(1), ["doc"], ["part", "n", "h"], "n").withColumn("head", T.inherited(F.col("h"), ["doc"], ["part", "n", "h"])).collect()))
     assert out(rows) == out(rows[::-1])
+
+
+def test_documents_of_a_manifest_are_dealt_anyhow(spark):
+    keys = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = files.QUERIES["manifest_json_to_csv"](spark, SF).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name", "p_size").collect()))
