@@ -12,6 +12,7 @@ from ledgerlens.llm.decontamination import decontaminate
 from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.near_copies import near_copy_dedup
 from ledgerlens.llm.packing import best_fit_pack
+from ledgerlens.llm.simhash import MAX_BITS
 from ledgerlens.llm.toxicity import OUT, fit_toxicity, toxicity
 
 
@@ -45,13 +46,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of their five-word shingles or more) the document with the least id stays.
+    """Of each group of near copies the document with the least id stays: texts are linked whose SimHash fingerprints of
+    five-word shingles differ in three bits at most, and then those of likeness 0.8 or more that fingerprints miss.
 
     Null and empty texts are copies of each other; a row without an id stays only where its group has none with one; of
     rows that repeat one stays. Columns may have any name.
     """
     ship(spark)
-    return near_copy_dedup(docs)
+    return near_copy_dedup(docs, bits=MAX_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._shared import drop_stash, fresh, ship, stash, text_of
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, shingle_hashes, simhash_groups
 
 #: Least likeness of a link, and what rounding may take from it.
 LEAST, EPS = 0.8, 1e-9
@@ -128,13 +128,14 @@ def _can(least: float):
     return (F.least(na, nb) >= F.lit(least) * F.greatest(na, nb) - EPS) & (F.least(na - ia, nb - ib) >= need)
 
 
-def near_copy_links(docs: DataFrame, rows: DataFrame, words: int, least: float, keys: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) of set ids that connect all sets of likeness `least` or more; None if no two share a key."""
+def near_copy_links(docs: DataFrame, rows: DataFrame, words: int, least: float, keys: DataFrame, links: DataFrame) -> DataFrame:
+    """links and verified links (a, b) of set ids that connect all sets of likeness `least` or more; links: those that are
+    known already, whose sets are not compared again."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared, shared_at = stash(keys.mapInArrow(_explode, "key long, sid long, n int, pos int").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, sid long, n int, pos int"), "keys")
     if shared.isEmpty():
-        return None
+        return links
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +162,6 @@ def near_copy_links(docs: DataFrame, rows: DataFrame, words: int, least: float,
         sets = part.select("sid").distinct().join(components(links).withColumnRenamed("node", "sid"), "sid", "left")
         return part.join(sets.select("sid", F.coalesce("root", "sid").alias("root")), "sid")
 
-    links = spark.createDataFrame([], "a long, b long")
     # near copies share most of their keys, and so many keys have the very same sets: one of these keys is enough. Of a set's
     # places the first counts, which is what the position test wants; two lists that collide only make more pairs to verify
     size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"))
@@ -196,13 +196,22 @@ def ranked(rows: DataFrame, by: str, *order, top: int) -> DataFrame:
     return rows.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("at") <= top).drop("at")
 
 
-def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
+def fingerprint_links(docs: DataFrame, rows: DataFrame, words: int, bits: int) -> DataFrame:
+    """(a, b) of set ids: the sets of each SimHash component with its first one. rows: key, sid."""
+    roots = simhash_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), words, bits, True).groupBy("key").agg(F.min("root").alias("fp_root"))
+    sets = rows.join(roots, "key").select("sid", "fp_root").distinct()
+    sets = sets.join(sets.groupBy("fp_root").agg(F.min("sid").alias("a")), "fp_root")
+    return stash(sets.select("a", F.col("sid").alias("b")).where("a <> b").distinct(), "fingerprint-links")[0]
+
+
+def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST, bits: int | None = None) -> DataFrame:
     """(doc_id, key, root) per row: key is xxhash64 of its text; rows of one root are linked by likeness `least` or more.
 
     The likeness of two texts is the Jaccard index of their sets of `words`-word shingles (a shorter text is one
     shingle). No pair is lost: two such sets share a shingle among the rarest n - ceil(least * n) + 1 of each, so these
     meet by equality, and the pairs that length and position allow are verified on the whole sets. Equal sets are one
     node. Keys that many sets share are linked through a few members first; then only pairs of different groups remain.
+    bits: texts whose SimHash fingerprints are linked over at most so many differing bits are linked too, and first of all.
     """
     frequent, counts = _frequent(docs, words)
 
@@ -216,22 +225,21 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> D
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
     rows, _ = stash(rows.mapInArrow(run, "doc_id long, key long, sid long, n int, prefix binary, sketch binary"), "rows")
-    links = near_copy_links(docs, rows.select("key", "sid", "sketch"), words, least, rows.groupBy("sid", "n").agg(F.min("prefix").alias("prefix")))
+    known = docs.sparkSession.createDataFrame([], "a long, b long") if bits is None else fingerprint_links(docs, rows.select("key", "sid"), words, bits)
+    links = near_copy_links(docs, rows.select("key", "sid", "sketch"), words, least, rows.groupBy("sid", "n").agg(F.min("prefix").alias("prefix")), known)
     rows = rows.select("doc_id", "key", "sid")
-    if links is None:
-        return rows.select("doc_id", "key", F.col("sid").alias("root"))
     return rows.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "key", F.coalesce("root", "sid").alias("root"))
 
 
-def near_copy_dedup(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
+def near_copy_dedup(docs: DataFrame, words: int = 5, least: float = LEAST, bits: int | None = None) -> DataFrame:
     """docs without the near copies: of each group only the row with the least doc_id stays, with all its columns.
 
     Null and empty texts are copies of each other and of nothing else. Rows without a doc_id stay only if nothing with
-    one is in their group. Rows of a group that share its least doc_id: one stays.
+    one is in their group. Rows of a group that share its least doc_id: one stays. bits as for near_copy_groups().
     """
     ship(docs.sparkSession)
     key, at, doc, text = fresh(docs, "key", "at", "keep_doc", "keep_key")
-    groups, _ = stash(near_copy_groups(docs, words, least), "groups")
+    groups, _ = stash(near_copy_groups(docs, words, least, bits), "groups")
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     keep, _ = stash(keep.select(F.col("m.doc_id").alias(doc), F.col("m.key").alias(text)), "keep")
     rows = docs.withColumn(key, F.xxhash64(text_of()))
