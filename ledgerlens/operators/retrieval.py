@@ -16,6 +16,17 @@ def ranked(df: DataFrame, by: list[str], *order: Column, top: int | None = None,
     return out if top is None else out.where(F.col(name) <= top)
 
 
+def tasks_for(rows: DataFrame, per: int = 250_000) -> int:
+    """How many tasks keep about `per` of the rows each: it grows with them, which a fixed number of partitions does not."""
+    return max(1, -(-rows.count() // per))
+
+
+def dealt(rows: DataFrame, *by: str, tasks: int | None = None) -> DataFrame:
+    """rows dealt by columns to so many tasks (None: tasks_for()); one task's worth is left to Spark."""
+    tasks = tasks or tasks_for(rows)
+    return rows.repartition(tasks, *by) if tasks > 1 else rows
+
+
 def postings(chunks: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     """(key, size, term): every distinct term of every chunk, with the chunk's number of distinct terms."""
     return chunks.select(F.col(key), F.array_distinct(tokens).alias("terms")).select(key, F.size("terms").alias("size"), F.explode("terms").alias("term"))
@@ -151,15 +162,26 @@ def dense_topk_cells(queries: DataFrame, vectors: DataFrame, centroids: list[lis
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("vec_id"), top=top)
 
 
+#: Terms of queries that every task may hold, counted first; and documents of one task.
+TERMS, DOCUMENTS = 200_000, 2_000
+
+
 def sparse_topk(weights: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """Sparse inner product: weights (doc_id, term, w) and queries (qid, term, qw) meet on the term."""
+    """Sparse inner product: weights (doc_id, term, w) and queries (qid, term, qw) meet on the term. Up to TERMS rows of
+    queries go to every task, so that documents stay where they are."""
+    if queries.count() <= TERMS:
+        queries = F.broadcast(queries)
     scored = weights.join(queries, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 4).alias("score"))
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("doc_id"), top=top)
 
 
 def wanted_terms(docs: DataFrame, tokens: Column, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf) of the terms that some question holds; others are dropped before anything is counted or moved."""
-    rows = docs.select(key, F.explode(tokens).alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
+    """(key, term, tf) of the terms that some question holds; others are dropped before anything is counted. Documents are
+    dealt by key, whole, to tasks of DOCUMENTS each, and counted there."""
+    terms = queries.select("term").distinct()
+    if terms.count() <= TERMS:
+        terms = F.broadcast(terms)
+    rows = dealt(docs, key, tasks=tasks_for(docs, DOCUMENTS)).select(key, F.explode(tokens).alias("term")).join(terms, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
