@@ -12,9 +12,12 @@ from .retrieval import ranked
 
 
 def stable_hash(key: Column, modulus: int = 1_000_000) -> Column:
-    """sha1 of the key as an integer, modulo: its hex digits are folded, as the whole number matters."""
-    digits = F.split(F.sha1(key), "")
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda s, c: F.when(c == "", s).otherwise((s * 16 + F.conv(c, 16, 10).cast("long")) % modulus))
+    """sha1 of the key as an integer, modulo (below two billion): its hex digits are folded, ten at a time, as the whole
+    number matters."""
+    digits, out = F.sha1(key), F.lit(0).cast("long")
+    for at in range(1, 40, 10):
+        out = (out * (16**10 % modulus) + F.conv(F.substring(digits, at, 10), 16, 10).cast("long")) % modulus
+    return out
 
 
 def split(key: Column, salt: str, test: float = 0.1, dev: float = 0.1) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .curate import stable_hash, surface_form
+from .grounding import fixed
+from .retrieval import dealt, tasks_for
 from .sft import TARGETS
 
 #: What every template must say, how questions are made, and the numbers that can be asked for (fixed values).
@@ -17,6 +19,8 @@ MODES = ("per_doc", "per_bucket", "per_pair")
 NUMBERS = ("revenue", "attributable_net_profit", "deducted_attributable_net_profit", "operating_cashflow_net", "basic_eps", "asset_liability_ratio")
 #: A hash modulo this has the same remainder as the hash itself for every number of choices up to 16.
 CHOICES = 720_720
+#: Reports of one task.
+REPORTS = 20_000
 
 
 def catalog_faults(templates: Iterable[Mapping], names: Iterable[str], booleans: Iterable[str] = tuple(TARGETS), numbers: Iterable[str] = NUMBERS) -> list[tuple[str, str]]:
@@ -57,24 +61,28 @@ def per_document(reports: DataFrame, templates: list[Mapping], version: str, doc
     reports: doc, company_name, report_year. Of the templates of each kind, in order of their ids, a report takes as many as
     the largest max_per_doc, going round from where a hash of the report points. Section and wording are chosen by hashes
     too, the same on every run. A question whose wording names its section is a section_filter. The catalogue is a driver's
-    list; reports are never shuffled. Reports without a name, a year or an id are left out; so is a template none of whose
+    list; reports are dealt to tasks of REPORTS each, since a few bytes of one make much work. Reports without a name, a year or an id are left out; so is a template none of whose
     wordings can be filled in.
     """
     key = F.col(doc).cast("string")
-    rows = reports.where((F.trim(key) != "") & (F.trim("company_name") != "") & F.col("report_year").isNotNull() & (F.col("report_year") != 0))
-    made = []
+    rows = dealt(reports, doc, tasks=tasks_for(reports, REPORTS)).where((F.trim(key) != "") & (F.trim("company_name") != "") & F.col("report_year").isNotNull() & (F.col("report_year") != 0))
+    made, first, second = [], {}, {}
     for schema in sorted({t["schema"] for t in templates if t["generation_mode"] == "per_doc"}):
         own = sorted((t for t in templates if t["generation_mode"] == "per_doc" and t["schema"] == schema), key=lambda t: str(t["template_id"]))
-        most, start = max(int(t.get("max_per_doc") or 1) for t in own), _choice(key, f"{schema}:{version}", len(own))
+        most, start = max(int(t.get("max_per_doc") or 1) for t in own), F.col(f"__start_{len(first)}")
+        first[f"__start_{len(first)}"] = _choice(key, f"{schema}:{version}", len(own))
         for i, t in enumerate(own):
             hints = [str(h) for h in t.get("section_hints") or () if str(h).strip()]
-            section = F.element_at(F.array(*map(F.lit, hints)), (_choice(key, f"{t['template_id']}:section", len(hints)) + 1).cast("int")) if hints else F.lit(None).cast("string")
+            section = F.col(f"__section_{len(second)}")
+            first[f"__section_{len(second)}"] = F.element_at(F.array(*map(F.lit, hints)), (_choice(key, f"{t['template_id']}:section", len(hints)) + 1).cast("int")) if hints else F.lit(None).cast("string")
             context = {"company_name": F.col("company_name"), "report_year": F.col("report_year"), "section_name": section} | {k: F.lit(t.get(k)).cast("string") for k in ("field_label", "metric_label", "question_suffix")}
-            asked = surface_form(t["surface_forms"], key, f"{t['template_id']}:surface", **context)
+            asked = F.col(f"__asked_{len(second)}")
+            second[f"__asked_{len(second)}"] = surface_form(t["surface_forms"], key, f"{t['template_id']}:surface", **context)
             names_it = F.element_at(F.array(*[F.lit("{section_name}" in f) for f in t["surface_forms"]]), asked["variant"].cast("int") + 1)
             said = F.concat(F.lit(f"seed-v2-{schema}-{t['target_key']}-"), asked["variant"], F.lit("-"), key)
             record = _record(t, asked, said, task_type=F.when(names_it, "section_filter").otherwise(str(t["task_type"])), section_name=F.when(names_it, section))
             made.append(F.when((F.pmod(F.lit(i) - start, F.lit(len(own))) < most) & asked.isNotNull(), record))
+    rows = fixed(fixed(rows, **first), **second) if made else rows  # each hash and each wording is worked out once
     return rows.select(doc, "company_name", "report_year", F.inline(F.array_compact(F.array(*made))))
 
 
