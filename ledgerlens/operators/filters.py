@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import currency_token, normalize_text, parse_numeric
+from ..functions.text import currency_token, normalize_text, first_number, nfkc, parse_numeric, without_commas
 
 EMPTY = "array<string>"
 
@@ -229,7 +229,7 @@ def is_numeric_cell(raw: Column, question: Column | None = None, exact: bool = T
     text = F.trim(F.coalesce(raw, F.lit("")))
     percent = F.coalesce(F.contains(question, F.lit("%")), F.lit(False)) if question is not None else F.lit(False)
     good = (F.length(text) <= 48) & ~text.rlike("[一-鿿]{7,}") & ~text.rlike(DATE_WORDS) & (percent | ~text.rlike("[%％]"))
-    return good & text.rlike(NUMBER_CELL) & parse_numeric(text, None, exact).isNotNull()
+    return good & text.rlike(NUMBER_CELL) & first_number(without_commas(nfkc(text) if exact else text)).isNotNull()
 
 
 def value_matches(observed: Column, expected, is_list: bool = False) -> Column:

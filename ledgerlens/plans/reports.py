@@ -366,8 +366,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY priority DESC
 SELECT question_id, page, ordinal, priority, support_rank FROM (SELECT doc AS question_id, page, ordinal, priority, row_number() OVER (PARTITION BY doc ORDER BY priority DESC, page, score DESC, ordinal) AS support_rank FROM o WHERE k = 1) WHERE support_rank <= 2""")
 def grounding_support(spark, d):
     """Other cells that hold the answer's value, one per page, by what their tables are."""
-    m = _ground(spark, d)
-    out = N.supporting_matches(m, N.best_matches(m))
+    out = N.supporting_matches(_ground(spark, d))
     return out.select("question_id", "page", "ordinal", c("priority").cast("long").alias("priority"), c("support_rank").cast("long").alias("support_rank"))
 
 
