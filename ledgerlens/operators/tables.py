@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_held, parse_numeric, period_token, squeezed, unit_hint
-from .retrieval import ranked
+from .retrieval import dealt, ranked
 
 
 def grid_markdown(rows: Column) -> Column:
@@ -276,24 +276,27 @@ def inherited(value: Column, by: list[str], order: str | list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def structured_cells(cells: DataFrame, tables: DataFrame, doc: str = "doc", exact: bool = True) -> DataFrame:
+def structured_cells(cells: DataFrame, tables: DataFrame, doc: str = "doc", exact: bool = True, tasks: int | None = None) -> DataFrame:
     """Numbers of parsed tables with the heads of their row and column.
 
     cells: doc, table_id, pos (reading order), row, row_end, col, col_end (ends excluded), text, column_header, row_header.
     tables: doc, table_id, page, markdown. Heads stand for every row or column that they span; the first column heads its
     rows; a cell's heads are distinct, in order. Only numbers that are no heads become records; the unit and period are
-    those that the table's markdown names.
+    those that the table's markdown names. tasks: to how many the cells are dealt; heads are so alike that Spark's own
+    choice, by their packed size, would put them into one.
     """
+    at = lambda df, *by: df if tasks is None else dealt(df, doc, "table_id", *by, tasks=tasks)
     rows = cells.withColumn("raw_value", F.trim("text")).where("raw_value <> ''")
     top, side = F.coalesce("column_header", F.lit(False)), F.coalesce("row_header", F.lit(False))
     spans = lambda lo, hi: F.explode(F.sequence(F.col(lo), F.greatest(F.col(hi) - 1, F.col(lo))))
     said = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw_value"))), lambda x: x["raw_value"]))
-    heads = rows.where(top).select(doc, "table_id", "pos", "raw_value", spans("col", "col_end").alias("col_idx")).groupBy(doc, "table_id", "col_idx").agg(said.alias("col_heads"))
-    labels = rows.where(side | ((F.col("col") == 0) & ~top)).select(doc, "table_id", "pos", "raw_value", spans("row", "row_end").alias("row_idx")).groupBy(doc, "table_id", "row_idx").agg(said.alias("row_heads"))
+    heads = at(rows.where(top).select(doc, "table_id", "pos", "raw_value", spans("col", "col_end").alias("col_idx")), "col_idx").groupBy(doc, "table_id", "col_idx").agg(said.alias("col_heads"))
+    labels = at(rows.where(side | ((F.col("col") == 0) & ~top)).select(doc, "table_id", "pos", "raw_value", spans("row", "row_end").alias("row_idx")), "row_idx").groupBy(doc, "table_id", "row_idx").agg(said.alias("row_heads"))
     known = tables.select(doc, "table_id", "page", unit_hint(F.coalesce("markdown", F.lit(""))).alias("unit_hint"), period_token(F.col("markdown"), exact).alias("period"))
-    body = rows.where(~top & ~side).select(doc, "table_id", F.col("row").alias("row_idx"), F.col("col").alias("col_idx"), "raw_value").join(known, [doc, "table_id"])
+    body = at(rows.where(~top & ~side).select(doc, "table_id", F.col("row").alias("row_idx"), F.col("col").alias("col_idx"), "raw_value")).join(at(known), [doc, "table_id"])
     body = body.withColumn("normalized_value", parse_numeric(F.col("raw_value"), F.col("unit_hint"), exact)).where("normalized_value is not null")
-    body = body.join(labels, [doc, "table_id", "row_idx"], "left").join(heads, [doc, "table_id", "col_idx"], "left")
+    body = at(body, "row_idx").join(labels, [doc, "table_id", "row_idx"], "left")
+    body = at(body, "col_idx").join(heads, [doc, "table_id", "col_idx"], "left")
     none = F.array().cast("array<string>")
     return body.withColumn("row_heads", F.coalesce("row_heads", none)).withColumn("col_heads", F.coalesce("col_heads", none))
 

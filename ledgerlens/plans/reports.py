@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import answers as A
 from ..operators import chunks as C
 from ..operators import grounding as N
+from ..operators import retrieval as R
 from ..operators import tables as T
 from ..sources import manifests as M
 from ..sources import metadata as B
@@ -138,7 +139,9 @@ CELLS = """h AS (SELECT l_orderkey AS doc, l_linenumber AS r, l_suppkey % 4 AS k
  CASE WHEN k < 2 THEN 'left,' ELSE 'right,' END || 'c' || (k + 1) AS col_heads, CASE WHEN doc % 2 = 0 THEN '万元' END AS unit_hint, '2024年报' AS period FROM h""")
 def structured_cells(spark, d):
     """Numbers of parsed tables with the heads that span their rows and columns; words are no records."""
-    h = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("doc"), c("l_linenumber").alias("r"), (c("l_suppkey") % 4).alias("k")).agg(F.min("l_extendedprice").alias("v"))
+    tasks = R.tasks_for(table(spark, d, "lineitem"))
+    li = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc"), c("l_linenumber").alias("r"), (c("l_suppkey") % 4).alias("k"), "l_extendedprice")
+    h = R.dealt(li, "doc", tasks=tasks).groupBy("doc", "r", "k").agg(F.min("l_extendedprice").alias("v"))
     no, yes = F.lit(False), F.lit(True)
     cell = lambda rows, pos, r, r2, k, k2, text, top, side: rows.select("doc", F.lit(1).alias("table_id"), pos.alias("pos"), r.cast("int").alias("row"), r2.cast("int").alias("row_end"), k.cast("int").alias("col"), k2.cast("int").alias("col_end"), text.alias("text"), top.alias("column_header"), side.alias("row_header"))
     docs, zero, one = h.select("doc").distinct(), F.lit(0), F.lit(1)
@@ -151,7 +154,7 @@ def structured_cells(spark, d):
     for part in (*spans, *heads):
         cells = cells.unionByName(part)
     tables = docs.select("doc", one.alias("table_id"), one.alias("page"), F.when(c("doc") % 2 == 0, "2024年度报告 单位：万元").otherwise("2024 年报").alias("markdown"))
-    out = T.structured_cells(cells, tables).where("col_idx > 0")
+    out = T.structured_cells(cells, tables, tasks=tasks).where("col_idx > 0")
     return out.select("doc", "row_idx", c("col_idx").cast("long").alias("col_idx"), "raw_value", "normalized_value", F.array_join("row_heads", ",").alias("row_heads"), F.array_join("col_heads", ",").alias("col_heads"), "unit_hint", "period")
 
 
