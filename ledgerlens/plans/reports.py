@@ -321,7 +321,7 @@ def dataset_materialise(spark, d):
 @register("""WITH e AS (SELECT l_orderkey AS doc, l_linenumber AS table_id, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT doc, table_id, CASE WHEN table_id % 2 = 0 THEN 'L' || doc END AS logical_table_id, n FROM e""")
 def logical_links(spark, d):
     """Serialized tables take their logical table's columns."""
-    li = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc"), c("l_linenumber").alias("table_id"))
+    li = R.dealt(table(spark, d, "lineitem").select(c("l_orderkey").alias("doc"), c("l_linenumber").alias("table_id")), "doc", "table_id")
     links = li.distinct().where("table_id % 2 = 0").withColumn("logical_table_id", F.concat(F.lit("L"), c("doc").cast("string")))
     return T.with_logical_links(li, links, "doc").groupBy("doc", "table_id", "logical_table_id").agg(F.count(F.lit(1)).alias("n"))
 
