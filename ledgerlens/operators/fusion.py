@@ -69,13 +69,13 @@ def parents_of(children: DataFrame, by: list[str], top: int) -> DataFrame:
     column tags, with the tags of all counted children.
 
     The scan stops at the first child of one parent more: what kept parents have after that is not counted. Children meet
-    their parents' places by a join, so no group is ordered as a whole but by parent.
+    a row of their group that lists its first parents, so they move by group alone, and not at all where they lie so already.
     """
     first = children.groupBy(*by, "parent").agg(F.min("rank").alias("first"))
     order = ranked(first, by, F.col("first"), top=top + 1, name="parent_rank")
-    stop = order.where(F.col("parent_rank") == top + 1).select(*by, F.col("first").alias("stop"))
-    kept = children.join(order.where(F.col("parent_rank") <= top), [*by, "parent"]).join(stop, by, "left")
-    kept = kept.where(F.col("stop").isNull() | (F.col("rank") < F.col("stop")))
+    lists = order.groupBy(*by).agg(F.collect_list(F.when(F.col("parent_rank") <= top, F.struct("parent", "parent_rank"))).alias("__tops"), F.min(F.when(F.col("parent_rank") == top + 1, F.col("first"))).alias("__stop"))
+    kept = children.join(lists, by).where(F.col("__stop").isNull() | (F.col("rank") < F.col("__stop")))
+    kept = kept.withColumn("parent_rank", F.get(F.filter("__tops", lambda t: t["parent"] == F.col("parent")), F.lit(0))["parent_rank"]).where("parent_rank is not null").drop("__tops", "__stop")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"].cast("string")), ",")
     tags = [_united("tags").alias("tags")] if "tags" in children.columns else []
     return kept.groupBy(*by, "parent", "parent_rank").agg(F.max("score").alias("score"), ids.alias("children"), F.count(F.lit(1)).alias("n_children"), *tags)
