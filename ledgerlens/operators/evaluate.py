@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .filters import given
-from .retrieval import ranked
+from .retrieval import dealt, ranked, tasks_for
 
 
 def ratio(top: Column, low: Column) -> Column:
@@ -386,11 +386,13 @@ def alignment(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def export_bundle(questions: DataFrame, answers: DataFrame, key: str = "question_id", text: str = "question_text") -> DataFrame:
     """One row per question with its answer, met by id, else by text; without one "N/A" and status missing. Answers that no
     question asked for follow with status unmatched."""
+    tasks = tasks_for(questions)
     a = answers.select(F.col(key).alias("a_id"), F.col(text).alias("a_text"), "value")
-    by_id = questions.join(a.where(F.col("a_id").isNotNull()).dropDuplicates(["a_id"]), F.col(key) == F.col("a_id"), "left")
-    by_text = a.where(F.col("a_text").isNotNull()).groupBy(F.col("a_text").alias("t_text")).agg(F.first("value").alias("t_value"))
-    both = by_id.join(by_text, F.col("a_id").isNull() & (F.col(text) == F.col("t_text")), "left")
+    by_id = dealt(questions, key, tasks=tasks).join(dealt(a.where(F.col("a_id").isNotNull()), "a_id", tasks=tasks).dropDuplicates(["a_id"]), F.col(key) == F.col("a_id"), "left")
+    by_text = dealt(a.where(F.col("a_text").isNotNull()), "a_text", tasks=tasks).groupBy(F.col("a_text").alias("t_text")).agg(F.first("value").alias("t_value"))
+    both = dealt(by_id, text, tasks=tasks).join(by_text, F.col("a_id").isNull() & (F.col(text) == F.col("t_text")), "left")
     found = F.col("a_id").isNotNull() | F.col("t_text").isNotNull()
     out = both.select(key, text, F.coalesce("value", "t_value", F.lit("N/A")).alias("value"), F.when(found, "answered").otherwise("missing").alias("status"))
-    rest = answers.join(questions.select(F.col(key).alias("q_id")).distinct(), F.col(key) == F.col("q_id"), "left_anti").join(questions.select(F.col(text).alias("q_text")).distinct(), F.col(text) == F.col("q_text"), "left_anti")
+    rest = dealt(answers, key, tasks=tasks).join(dealt(questions.select(F.col(key).alias("q_id")), "q_id", tasks=tasks).distinct(), F.col(key) == F.col("q_id"), "left_anti")
+    rest = dealt(rest, text, tasks=tasks).join(dealt(questions.select(F.col(text).alias("q_text")), "q_text", tasks=tasks).distinct(), F.col(text) == F.col("q_text"), "left_anti")
     return out.unionByName(rest.select(key, text, "value", F.lit("unmatched").alias("status")))
