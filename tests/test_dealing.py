@@ -48,3 +48,13 @@ def test_parents(spark):
 def test_words_are_no_patterns(spark):
     words = [w for t in (G.EXCHANGES, G.BOARDS, G.MARKETS, G.CHAIN, G.DOC_TYPES, G.REPORT_TYPES, G.TOPICS, *G.TAG_WORDS.values()) for p in t.values() for w in p.split("|")]
     assert words and not set("".join(words)) & set("\\.*+?[](){}^$")
+
+
+def test_currencies_of_questions(spark):
+    cases = {"in ￥ 5": "¥", "RMB and $": "CNY", "by 人民币": "CNY", "a US$": "USD", "HKD": "HKD", "none": None, "xUSDx": None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = df.select("t", G.rewrite(F.col("t"), X.normalize_text(F.col("t")))["currency"].alias("c")).collect()
+    assert {r.t: r.c for r in got} == cases
+    form = G.rewrite(F.col("t"), F.col("t"))["currency"]
+    plan = df.select(form.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("HKD)") == 1
