@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_stash, ship, slices, stash, text_of
+from ._shared import drop_stash, give_back, ship, slices, stash, text_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one group packs at least; groups, not the corpus, are what one task holds.
@@ -122,11 +122,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokens = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordTokens(tokenizer))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 4 << 20):
                 for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens.encode(part.column(2))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -45,17 +45,20 @@ class TextCNN:
             self.p[f"c{k}"] = np.full(self.filters, -0.05, np.float32)
 
     def _pooled(self, vec: np.ndarray, starts: np.ndarray, where: bool):
-        """Largest activation per document and filter, with its position. Documents are set apart by max(widths) - 1 zero rows."""
+        """Largest activation per document and filter, with its position. Documents end in max(widths) - 1 zero rows; a window
+        begins inside its document, as one that begins in these rows would reach into the next."""
         tops, at = [], []
+        gap = max(self.widths) - 1
+        n = len(vec) - gap
+        ends = np.append(starts[1:] - gap, n)
+        sides = np.stack((starts, ends), 1).ravel()[:-1]  # every other stretch is a document
         for k in self.widths:
-            n = len(vec) - max(self.widths) + 1
             W = self.p[f"W{k}"].reshape(k, self.dim, self.filters)
             act = vec[:n] @ W[0]
             for j in range(1, k):
                 act += vec[j : j + n] @ W[j]
-            tops.append(np.maximum.reduceat(act, starts, axis=0) + self.p[f"c{k}"])
+            tops.append(np.maximum.reduceat(act, sides, axis=0)[::2] + self.p[f"c{k}"])
             if where:
-                ends = np.append(starts[1:], n)
                 at.append(np.stack([act[s:e].argmax(0) + s for s, e in zip(starts, ends)]))
         return np.concatenate(tops, 1), at
 
@@ -141,12 +144,12 @@ class Ensemble:
     tables: list | None = field(default=None, repr=False)
 
     #: Words that a scoring process keeps vectors of; beyond it starts anew.
-    KEEP = 300_000
+    KEEP = 150_000
 
     def __getstate__(self):
         return {"nets": self.nets, "rows": {}, "tables": None}
 
-    def logits(self, texts: list[str], most: int = 400_000) -> np.ndarray:
+    def logits(self, texts: list[str], most: int = 100_000) -> np.ndarray:
         """One logit per text, over all its words; at most about `most` words (or one text) are in memory at a time."""
         out, held, n = [np.empty(0)], [], 0
         for t in texts:
@@ -172,8 +175,8 @@ class Ensemble:
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         for k, net in enumerate(self.nets):
             table, size = self.tables[k], len(self.rows)
-            if size > len(table):  # doubled, so that growing costs little
-                table = self.tables[k] = np.vstack([table, np.zeros((max(size, 2 * len(table)) - len(table), net.dim), np.float32)])
+            if size > len(table):  # by a quarter at least, so that growing costs little
+                table = self.tables[k] = np.vstack([table, np.zeros((max(size, 5 * len(table) // 4) - len(table), net.dim), np.float32)])
             table[size - len(new) : size] = net.p["E"][unit].sum(1)
 
     def _score(self, docs: list[list[str]]) -> np.ndarray:
@@ -194,7 +197,7 @@ class Ensemble:
             part = ids[starts[at] : starts[end] if end < len(starts) else len(ids)]
             total = np.zeros(end - at)
             for net, table in zip(self.nets, self.tables):
-                top, _ = net._pooled(table[np.append(part, gap)], starts[at:end] - starts[at], False)
+                top, _ = net._pooled(table[part], starts[at:end] - starts[at], False)
                 total += np.maximum(top, 0) @ net.p["w"] + net.p["b"]
             out.append(total / len(self.nets))
             at = end

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import held_out, training_sample
-from ._shared import ship, text_of, without
+from ._shared import give_back, ship, text_of, without
 from .textcnn import Ensemble, TextCNN, words_of
 
 #: Bounds of the training sample: about so many labelled rows per class, of texts up to so many characters.
@@ -116,8 +116,10 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         for part in texts:
             yield pd.Series(model.score(part.tolist()))
+        give_back()
 
     cut = F.lit(model.threshold)
     if "lang" in docs.columns:
