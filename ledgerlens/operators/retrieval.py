@@ -189,7 +189,8 @@ def tag_topk(tags: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """Tag overlap: share of a chunk's tags that some query term contains or is contained in.
 
     tags: (doc_id, tag), queries: (qid, term). Distinct tags and distinct terms, two vocabularies, are matched first, both
-    ways, by pieces that they share; the documents then join the matched tags by equality.
+    ways, by pieces that they share. A document's score depends on its set of tags alone, so questions meet the distinct sets,
+    and of each set only the `top` least doc_ids.
     """
     from .routing import alias_matches
 
@@ -197,9 +198,12 @@ def tag_topk(tags: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     inside = alias_matches(vocabulary.select(F.col("tag").alias("tag"), F.col("tag").alias("text")), terms.select(F.col("term").alias("alias")), "tag", fold=False).select("tag", F.col("alias").alias("term"))
     around = alias_matches(terms.select("term", F.col("term").alias("text")), vocabulary.select(F.col("tag").alias("alias")), "term", fold=False).select(F.col("alias").alias("tag"), "term")
     match = inside.unionByName(around).distinct().join(queries.select("qid", "term").distinct(), "term")
-    size = tags.groupBy("doc_id").agg(F.countDistinct("tag").alias("n"))
-    hits = tags.distinct().join(match, "tag").groupBy("qid", "doc_id").agg(F.countDistinct("term").alias("hits"))
-    scored = hits.join(size, "doc_id").select("qid", "doc_id", F.round(F.col("hits") / F.greatest(F.col("n"), F.lit(1)), 4).alias("score"))
+    own = tags.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    first = ranked(own, ["tags"], F.col("doc_id"), top=top, name="place").drop("place")
+    sets = first.select("tags").distinct()
+    hits = sets.withColumn("tag", F.explode("tags")).join(match, "tag").groupBy("qid", "tags").agg(F.countDistinct("term").alias("hits"))
+    score = F.round(F.col("hits") / F.greatest(F.size("tags"), F.lit(1)), 4)
+    scored = hits.select("qid", "tags", score.alias("score")).join(first, "tags").select("qid", "doc_id", "score")
     return ranked(scored, ["qid"], F.col("score").desc(), F.col("doc_id"), top=top)
 
 
