@@ -174,14 +174,15 @@ def short_lists(index: VectorIndex, queries: DataFrame, short: int, probes: int
     i = index.codes.select("vec_id", "code", "cell", F.pmod(F.xxhash64("vec_id"), per_cell[F.col("cell")]).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def best(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         if len(asked) and len(held):
             held = held.sort_values("vec_id", kind="stable")
             ids = held["vec_id"].to_numpy()
             codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(ids), -1)
             qv = np.stack(asked["qv"].to_list())
             whole = unit(qv) @ model.centres[key[1]]
-            for qid, base, table in zip(asked["qid"].tolist(), whole, model.tables(qv)):
+            tables = (t for lo in range(0, len(qv), 64) for t in model.tables(qv[lo : lo + 64]))  # of few questions at a time
+            for qid, base, table in zip(asked["qid"].tolist(), whole, tables):
                 s = base + sum(table[k][codes[:, k]] for k in range(codes.shape[1]))
                 s[ids == qid] = -np.inf
                 if len(s) > 4 * short:  # all that reach the short-th score, so ties are kept for the stable order below
@@ -190,8 +191,9 @@ def short_lists(index: VectorIndex, queries: DataFrame, short: int, probes: int
                     some = np.arange(len(s))
                 keep = some[np.argsort(-s[some], kind="stable")[:short]]
                 keep = keep[s[keep] > -np.inf]
-                out.append(pd.DataFrame({"qid": qid, "vec_id": ids[keep], "near": s[keep]}))
-        return pd.concat(out)
+                found.append((np.full(len(keep), qid, np.int64), ids[keep], s[keep].astype(np.float32)))
+        qids, vec_ids, near = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"qid": qids, "vec_id": vec_ids, "near": near})
 
     got = q.groupBy("qb", "cell", "ib").cogroup(i.groupBy("qb", "cell", "ib")).applyInPandas(best, "qid long, vec_id long, near float")
     return ranked(got, ["qid"], F.col("near").desc(), F.col("vec_id"), top=short)
