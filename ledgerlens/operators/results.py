@@ -46,7 +46,7 @@ def serialised(results: DataFrame, keys: list[str], scores: tuple[str, ...] = ("
     return results.select(*keys, F.parse_json(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias("result"))
 
 
-def inflated(stored: DataFrame, keys: list[str], result: str = "result") -> DataFrame:
+def inflated(stored: DataFrame, keys: list[str], result: str = "result", fields: tuple[str, ...] = tuple(METADATA)) -> DataFrame:
     """(keys, the fields of RESULT, metadata, other, older): stored results with their types.
 
     A result of the older shape has its metadata in an object of that name; the newer has them beside the other fields, and
@@ -55,19 +55,17 @@ def inflated(stored: DataFrame, keys: list[str], result: str = "result") -> Data
     fields which later versions write survive a round trip; values that are no object have no fields at all.
     """
     v = F.col(result)
-    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
-    object_ = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    rows = stored.select(*keys, F.when(object_, v).alias(result))
+    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)  # noqa: E731  # null where v is no object
     cols = {c: get(c, kind) for c, kind in RESULT.items()}
     for c in LISTS:
         cols[c] = F.coalesce(cols[c], F.array().cast(RESULT[c]))
     cols["query_hit_count"] = F.coalesce(cols["query_hit_count"], F.size(cols["matched_queries"]))
     cols["text"] = F.coalesce(cols["text"], F.lit(""))
-    meta = F.struct(*[F.coalesce(get(c, kind), get(f"metadata.{c}", kind)).alias(c) for c, kind in METADATA.items()]).alias("metadata")
+    meta = F.struct(*[F.coalesce(get(c, kind), get(f"metadata.{c}", kind)).alias(c) for c, kind in METADATA.items() if c in fields]).alias("metadata")
     known = {*RESULT, *METADATA, *DERIVED, "metadata"}
     whole = F.coalesce(v.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
     other = F.map_filter(whole, lambda k, _: ~k.isin(*sorted(known))).alias("other")
-    return rows.select(*keys, *[x.alias(c) for c, x in cols.items()], meta, other, F.coalesce(get("metadata", "variant").isNotNull(), F.lit(False)).alias("older"))
+    return stored.select(*keys, *[x.alias(c) for c, x in cols.items()], meta, other, F.coalesce(get("metadata", "variant").isNotNull(), F.lit(False)).alias("older"))
 
 
 def field(other: Column, name: str, kind: str) -> Column:

@@ -42,7 +42,7 @@ def result_round_trip(spark, d):
     )
     new = S.serialised(rows.where("l_linenumber % 3 <> 0"), ["l_orderkey", "l_linenumber"])
     old = rows.where("l_linenumber % 3 = 0").select("l_orderkey", "l_linenumber", F.parse_json(F.to_json(F.struct("page", "text", "matched_queries", "novel", "metadata"))).alias("result"))
-    out = S.inflated(new.unionByName(old), ["l_orderkey", "l_linenumber"])
+    out = S.inflated(new.unionByName(old), ["l_orderkey", "l_linenumber"], fields=("company_name", "report_year", "topic_flags"))
     return out.select(
         "l_orderkey", "l_linenumber", "page", "text", c("query_hit_count").alias("hits"), c("metadata.company_name").alias("company"), c("metadata.report_year").alias("year"),
         F.array_join("metadata.topic_flags", ",").alias("flags"), S.field(c("other"), "novel", "double").alias("novel"), "older", F.array_join(F.array_sort(F.map_keys("other")), ",").alias("other"),

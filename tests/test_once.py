@@ -1,7 +1,7 @@
 """Work that several configurations or questions share is done once."""
 
 from ledgerlens.operators import retrieval as R
-from ledgerlens.plans import search
+from ledgerlens.plans import search, stores
 
 
 def test_configurations_share_their_lists(spark, monkeypatch):
@@ -28,3 +28,8 @@ def test_tags_by_sets(spark):
                 scored.append((-round(len(hits) / max(1, len(own)), 4), doc))
         want += [(q, i + 1, doc, -s) for i, (s, doc) in enumerate(sorted(scored)[:5])]
     assert got == sorted(want)
+
+
+def test_only_fields_that_are_read_are_taken_from_results(spark):
+    plan = stores.result_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.company_name" in plan and "$.security_code" not in plan and "schema_of_variant" not in plan.lower() and "SchemaOfVariant" not in plan
