@@ -98,9 +98,10 @@ CONTINUED, TERMINAL = "(?i)续表|续页|continued", "合计|小计|总计|本
 
 
 def adjacent_pairs(tables: DataFrame, doc: str) -> DataFrame:
-    """Candidates for one logical table: tables of one document on pages that follow each other, met by page + 1."""
-    a = tables.select(doc, F.col("table_id").alias("left"), (F.col("page") + 1).alias("page"), F.struct(*tables.columns).alias("l"))
-    b = tables.select(doc, F.col("table_id").alias("right"), "page", F.struct(*tables.columns).alias("r"))
+    """Candidates for one logical table: tables of one document on pages that follow each other, met by the left one's page,
+    so that rows lie as the choice by page wants them."""
+    a = tables.select(doc, F.col("table_id").alias("left"), "page", F.struct(*tables.columns).alias("l"))
+    b = tables.select(doc, F.col("table_id").alias("right"), (F.col("page") - 1).alias("page"), F.struct(*tables.columns).alias("r"))
     return a.join(b, [doc, "page"])
 
 
@@ -113,9 +114,14 @@ def edge_score(geometry: Column, section: Column, columns: Column, unit: Column,
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
 
 
-def edge_levels(l: str = "l", r: str = "r", exact: bool = True) -> dict[str, Column]:
+#: Texts of a table that are compared in squeezed form.
+FLAT = ("section_name", "report_section", "section_title", "unit_hint", "first_row", "last_row")
+
+
+def edge_levels(l: str = "l", r: str = "r") -> dict[str, Column]:
     """The parts of edge_score() for two tables as structs with: bbox (left, top, right, bottom), section_name,
-    report_section, section_title, ncols, col_heads (array), unit_hint, caption, markdown, first_row and last_row (heads)."""
+    report_section, section_title, ncols, col_heads (array), unit_hint, caption, markdown, first_row and last_row (heads), and
+    flat, a struct of the squeezed forms of FLAT."""
     a, b = (lambda n: F.col(f"{l}.{n}")), (lambda n: F.col(f"{r}.{n}"))
     bottom, top = F.get(a("bbox"), F.lit(3)), F.get(b("bbox"), F.lit(1))
     boxed = (F.size(a("bbox")) == 4) & (F.size(b("bbox")) == 4)
@@ -123,17 +129,16 @@ def edge_levels(l: str = "l", r: str = "r", exact: bool = True) -> dict[str, Col
     low = lambda share, units: F.when(small, bottom >= share).otherwise(bottom >= units)
     high = lambda share, units: F.when(small, top <= share).otherwise(top <= units)
     geometry = F.when(~boxed, 0).when(low(0.78, 700) & high(0.22, 120), 2).when(low(0.68, 620) & high(0.30, 180), 1).otherwise(0)
-    flat = lambda c: squeezed(c, exact)
-    same = lambda x, y: F.coalesce((flat(x) != "") & (flat(x) == flat(y)), F.lit(False))
-    section = F.when(same(a("section_name"), b("section_name")) | same(a("report_section"), b("report_section")) | same(a("section_title"), b("section_title")), 1).otherwise(0)
+    same = lambda n: F.coalesce((a(f"flat.{n}") != "") & (a(f"flat.{n}") == b(f"flat.{n}")), F.lit(False))
+    section = F.when(same("section_name") | same("report_section") | same("section_title"), 1).otherwise(0)
     continued = F.concat_ws(" ", b("caption"), b("markdown"), b("section_title"), b("section_name"), b("report_section")).rlike(CONTINUED)
     heads = F.filter(F.transform(a("col_heads"), lambda h, i: (h != "") & h.eqNullSafe(F.get(b("col_heads"), i))), lambda x: F.coalesce(x, F.lit(False)))
     filled = F.size(F.filter(a("col_heads"), lambda h: F.coalesce(h != "", F.lit(False))))
     both = (filled > 0) & F.exists(b("col_heads"), lambda h: F.coalesce(h != "", F.lit(False)))
     columns = F.when(F.coalesce(a("ncols") != b("ncols"), F.lit(True)), 0).when(both & (F.size(heads) == filled), 3).when(both & (F.size(heads) > 0), 2).when(continued, 2).otherwise(1)
-    lu, ru = flat(a("unit_hint")), flat(b("unit_hint"))
+    lu, ru = a("flat.unit_hint"), b("flat.unit_hint")
     unit = F.when((lu != "") & (lu == ru), 2).when((lu != "") & (ru == ""), 1).otherwise(0)
-    last, first = flat(a("last_row")), flat(b("first_row"))
+    last, first = a("flat.last_row"), b("flat.first_row")
     return {
         "geometry": geometry, "section": section, "columns": columns, "unit": unit, "marker": F.when(continued, 1).otherwise(0), "continues": ~last.rlike(TERMINAL),
         "row_continuity": (first != "") & ((last == "") | (last != first)),
@@ -141,9 +146,12 @@ def edge_levels(l: str = "l", r: str = "r", exact: bool = True) -> dict[str, Col
 
 
 def table_edges(tables: DataFrame, doc: str, exact: bool = True) -> DataFrame:
-    """Scored links (doc, page of the left table, left, right, score, state) of tables on neighbouring pages."""
-    pairs = adjacent_pairs(tables, doc)
-    rows = pairs.select(doc, (F.col("page") - 1).alias("page"), "left", "right", edge_score(**edge_levels(exact=exact)).alias("score"))
+    """Scored links (doc, page of the left table, left, right, score, state) of tables on neighbouring pages.
+
+    Texts are squeezed table by table, and a pair's score comes out of a generator, whose expression Spark doesn't copy into
+    the filters that follow."""
+    pairs = adjacent_pairs(tables.withColumn("flat", F.struct(*[squeezed(F.col(n), exact).alias(n) for n in FLAT])), doc)
+    rows = pairs.select(doc, "page", "left", "right", F.explode(F.array(edge_score(**edge_levels()))).alias("score"))
     return rows.where(F.col("score") >= CANDIDATE).withColumn("state", F.when(F.col("score") >= CONFIRMED, "confirmed").otherwise("candidate"))
 
 

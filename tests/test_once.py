@@ -1,7 +1,7 @@
 """Work that several configurations or questions share is done once."""
 
 from ledgerlens.operators import retrieval as R
-from ledgerlens.plans import search, stores
+from ledgerlens.plans import analytics, search, stores
 
 
 def test_configurations_share_their_lists(spark, monkeypatch):
@@ -33,3 +33,10 @@ def test_tags_by_sets(spark):
 def test_only_fields_that_are_read_are_taken_from_results(spark):
     plan = stores.result_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "$.company_name" in plan and "$.security_code" not in plan and "schema_of_variant" not in plan.lower() and "SchemaOfVariant" not in plan
+
+
+def test_table_texts_are_squeezed_table_by_table(spark):
+    """Pairs are scored from squeezed texts, once: no text form above the join, and one column of scores for all filters."""
+    plan = analytics.table_greedy_matching(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "regexp_replace" not in above.lower() and plan.count("0.18 + ") == 1
