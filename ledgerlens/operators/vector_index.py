@@ -229,14 +229,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _met(model: Quantiser, degree: int):
-    """Of rows (group, node, cell, code) in order of group: for each member its `degree` nearest fellow members."""
+    """Of rows (group, node, cell, code, least) in order of group: for each member its `degree` nearest fellow members, without
+    those farther than `least`, which its list would not take in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches):
-            node, cell = b.column(1).to_numpy(), b.column(2).to_numpy()
+            node, cell, least = (b.column(k).to_numpy() for k in (1, 2, 4))
             x = model.decode(cell, np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(node), -1))
             begin, size = _groups(b.column(0).to_numpy())
-            src, dst, near = [], [], []
+            src, dst, near, need = [], [], [], []
             for n in np.unique(size).tolist():  # groups of one size are one stack of matrices
                 if n < 2:
                     continue
@@ -252,9 +253,10 @@ def _met(model: Quantiser, degree: int):
                     src.append(np.repeat(ids, k, axis=1).ravel())
                     dst.append(np.take_along_axis(np.broadcast_to(ids[:, None, :], s.shape), order, 2).ravel())
                     near.append(np.take_along_axis(s, order, 2).ravel())
+                    need.append(np.repeat(least[some], k, axis=1).ravel())
             if src:
                 s = np.concatenate(near)
-                real = s > -np.inf
+                real = (s > -np.inf) & (s >= np.concatenate(need))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)[real]), pa.array(np.concatenate(dst)[real]), pa.array(s[real].astype(np.float32))], ["src", "dst", "near"])
 
     return run
@@ -267,11 +269,11 @@ def build_graph(codes: DataFrame, model: Quantiser, degree: int = 24, rounds: in
     Equal codes are one node, the least vec_id of them, so copies in any number don't crowd each other's lists. Nodes first
     meet in random groups of about `group`, a few times over; then, round by round, the neighbours of each node (those it
     names and the nearest that name it) meet each other, and each keeps the `degree` nearest it has met. A round moves one
-    code per neighbour; groups have at most 2 * degree members. Rounds are cut by checkpoints in the shared folder.
+    code per neighbour, and of the pairs that meet those near enough for a list; groups have at most 2 * degree members. Rounds are cut by checkpoints in the shared folder.
     """
-    nodes = cut(codes.groupBy("cell", "code").agg(F.min("vec_id").alias("node")).select("node", "cell", "code"))
+    nodes = cut(codes.groupBy("cell", "code").agg(F.min("vec_id").alias("node")).select("node", "cell", "code", F.lit(float("-inf")).cast("float").alias("least")))
     n = nodes.count()
-    meet = lambda rows: rows.select("g", "node", "cell", "code").repartition("g").sortWithinPartitions("g").mapInArrow(_met(model, degree), "src long, dst long, near float")
+    meet = lambda rows: rows.select("g", "node", "cell", "code", "least").repartition("g").sortWithinPartitions("g").mapInArrow(_met(model, degree), "src long, dst long, near float")
     best = lambda rows: ranked(rows.groupBy("src", "dst").agg(F.max("near").alias("near")), ["src"], F.col("near").desc(), F.col("dst"), top=degree).drop("rank")
     at_random = [nodes.withColumn("g", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // group)))) for seed in range(3)]
     by_cell = nodes.withColumn("g", F.xxhash64("cell", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(max(1, n // (group * len(model.centres)))))))
@@ -283,7 +285,10 @@ def build_graph(codes: DataFrame, model: Quantiser, degree: int = 24, rounds: in
         return edges.select(F.col("src").alias("g"), F.col("dst").alias("node"), "near").unionByName(back).groupBy("g", "node").agg(F.max("near").alias("near"))
 
     for _ in range(rounds):
-        met = meet(around(edges).join(nodes, "node"))
+        # a list that is full takes in nothing farther than its last: such pairs need not leave the task where they meet
+        full = edges.groupBy(F.col("src").alias("node")).agg(F.min("near").alias("last"), F.count(F.lit(1)).alias("held")).where(F.col("held") >= degree)
+        known = nodes.drop("least").join(full, "node", "left").select("node", "cell", "code", F.coalesce("last", F.lit(float("-inf"))).cast("float").alias("least"))
+        met = meet(around(edges).join(known, "node"))
         edges = cut(best(edges.unionByName(met)))
     # who names a node for want of nearer ones comes first: else nothing would lead to nodes that are in nobody's list
     own = ranked(edges, ["src"], F.col("near").desc(), F.col("dst"), name="place")
