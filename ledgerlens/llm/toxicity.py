@@ -98,6 +98,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
     langs = got["lang"].to_numpy()
     by = {name: cut for name in sorted(set(langs)) if (cut := _best_cut(p[langs == name], y[langs == name], weight[langs == name])) is not None}
+    del got, texts, words
+    give_back()  # what training took would stay with the driver through all that follows
     return ToxicityModel(Ensemble(nets), slope, shift, by)
 
 
