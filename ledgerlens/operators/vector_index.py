@@ -77,7 +77,14 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 def fit_quantiser(vectors: DataFrame, cells: int = 16, stretches: int = 16, codes: int = 256, sample: int = SAMPLE, rounds: int = 12) -> Quantiser:
     """A quantiser from the `sample` vectors whose ids have the least hashes: the same on every run, bounded on the driver."""
-    rows = vectors.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+    held, place = vectors.where(F.col("embedding").isNotNull()), F.xxhash64("vec_id")
+    # every task sends the driver as many rows as are asked for: of a large table all but about twice the sample are dropped first
+    n = held.count()
+    few = held.where(place < F.lit(2 * sample * 2**64 // n - 2**63)) if n > 4 * sample else held
+    least = lambda rows: rows.orderBy(place, "vec_id").limit(sample).select("embedding").toPandas()
+    rows = least(few)
+    if len(rows) < min(sample, n):
+        rows = least(held)
     if not len(rows):
         return Quantiser(np.zeros((1, 1), np.float32), np.zeros((1, 1, 1), np.float32))
     x = unit(np.stack(rows["embedding"].to_list()))
@@ -271,13 +278,13 @@ def build_graph(codes: DataFrame, model: Quantiser, degree: int = 24, rounds: in
     names and the nearest that name it) meet each other, and each keeps the `degree` nearest it has met. A round moves one
     code per neighbour, and of the pairs that meet those near enough for a list; groups have at most 2 * degree members. Rounds are cut by checkpoints in the shared folder.
     """
-    nodes = cut(codes.groupBy("cell", "code").agg(F.min("vec_id").alias("node")).select("node", "cell", "code", F.lit(float("-inf")).cast("float").alias("least")))
+    nodes = cut(codes.groupBy("cell", "code").agg(F.min("vec_id").alias("node")).select("node", "cell", "code", F.lit(float("-inf")).cast("float").alias("least")), sized=False)
     n = nodes.count()
     meet = lambda rows: rows.select("g", "node", "cell", "code", "least").repartition("g").sortWithinPartitions("g").mapInArrow(_met(model, degree), "src long, dst long, near float")
     best = lambda rows: ranked(rows.groupBy("src", "dst").agg(F.max("near").alias("near")), ["src"], F.col("near").desc(), F.col("dst"), top=degree).drop("rank")
     at_random = [nodes.withColumn("g", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // group)))) for seed in range(3)]
     by_cell = nodes.withColumn("g", F.xxhash64("cell", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(max(1, n // (group * len(model.centres)))))))
-    edges = cut(best(meet(at_random[0]).unionByName(meet(at_random[1])).unionByName(meet(at_random[2])).unionByName(meet(by_cell))))
+    edges = cut(best(meet(at_random[0]).unionByName(meet(at_random[1])).unionByName(meet(at_random[2])).unionByName(meet(by_cell))), sized=False)
 
     def around(edges: DataFrame) -> DataFrame:
         """(g, node): whom each node names, and the nearest that name it."""
@@ -289,7 +296,7 @@ def build_graph(codes: DataFrame, model: Quantiser, degree: int = 24, rounds: in
         full = edges.groupBy(F.col("src").alias("node")).agg(F.min("near").alias("last"), F.count(F.lit(1)).alias("held")).where(F.col("held") >= degree)
         known = nodes.drop("least").join(full, "node", "left").select("node", "cell", "code", F.coalesce("last", F.lit(float("-inf"))).cast("float").alias("least"))
         met = meet(around(edges).join(known, "node"))
-        edges = cut(best(edges.unionByName(met)))
+        edges = cut(best(edges.unionByName(met)), sized=False)
     # who names a node for want of nearer ones comes first: else nothing would lead to nodes that are in nobody's list
     own = ranked(edges, ["src"], F.col("near").desc(), F.col("dst"), name="place")
     back = ranked(own, ["dst"], F.col("place"), F.col("near").desc(), F.col("src"), top=2 * degree).select(F.col("dst").alias("g"), F.col("src").alias("node"), "near")
@@ -356,13 +363,13 @@ def graph_topk(index: VectorIndex, queries: DataFrame, top: int, beam: int = 512
             ids, scores, opened = ids[order], scores[order], opened[order]
         return pd.DataFrame({"qid": [r["qid"]], "qv": [r["qv"]], "ids": [ids], "scores": [scores], "opened": [opened], "compared": [compared]})
 
-    state = cut(queries.select("qid", F.col("qv").cast("array<float>").alias("qv")).mapInPandas(begin, kind))
+    state = cut(queries.select("qid", F.col("qv").cast("array<float>").alias("qv")).mapInPandas(begin, kind), sized=False)
     for _ in range(rounds):
         opening = to_open(state)
         if opening.isEmpty():
             break
         met = opening.join(index.graph, "node").select(F.col("qid").alias("asked"), "near", "codes", "cells")
-        state = cut(state.groupBy("qid").cogroup(met.groupBy("asked")).applyInPandas(grown, kind))
+        state = cut(state.groupBy("qid").cogroup(met.groupBy("asked")).applyInPandas(grown, kind), sized=False)
     found = state.select("qid", F.explode(F.slice("ids", 1, short)).alias("node"))
     # a node's fellows of the same code: more than a result shows are never needed, and each task drops them before they move
     own = index.codes.join(found.select(F.col("node").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("node"), "cell", "code")
